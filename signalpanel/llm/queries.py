@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, substring, toxicity
+from . import bpe, chat, embedding, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(stored.unionByName(forged)))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out(column, mod: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder; rows without an id are not held out."""
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(mod)) == remainder, F.lit(False))
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "n_segments", "best_start", "best_end")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_byte_bpe, op8_chat_format, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_byte_bpe, op8_chat_format, op9_embedding_near_dedup, op10_toxicity)}
 
 #: op8: Spark and DuckDB read the rows; the digests follow from the contract alone.
 SQL = {

@@ -95,6 +95,14 @@ class Chunk:
     def __len__(self):
         return len(self.ids)
 
+    def part(self, k: int, n: int) -> Chunk:
+        """The k-th of n runs of this chunk's documents."""
+        lo, hi = (len(self) * j // n for j in (k, k + 1))
+        own = Chunk.__new__(Chunk)
+        own.chunk, own.ids, own.offsets = self.chunk, self.ids[lo:hi], self.offsets[lo : hi + 1] - self.offsets[lo]
+        own.data = self.data[self.offsets[lo] : self.offsets[hi]]
+        return own
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]]
 
@@ -201,7 +209,7 @@ def request_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, n_buckets: in
 
 def packed_counts(counts: np.ndarray) -> bytes:
     """Empty where all are 1; a byte each if they fit; else four."""
-    if not len(counts) or counts.max() <= 1:
+    if not len(counts) or counts.min() == counts.max() == 1:
         return b""
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else counts.astype("<u4").tobytes()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding, lm, substring, toxicity
+from . import bpe, chat, embedding, fingerprint, lm, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "n_segments", "best_start", "best_end")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_byte_bpe, op6_lm_score, op8_chat_format, op9_embedding_near_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op5_byte_bpe, op6_lm_score, op8_chat_format, op9_embedding_near_dedup, op10_toxicity)}
 
 #: op8: Spark and DuckDB read the rows; the digests follow from the contract alone.
 SQL = {

@@ -190,8 +190,9 @@ REQUEST = "chunk long, bucket long, keys binary, counts binary"
 REPLY = "chunk long, bucket long, reply binary"
 
 
-def request_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """Sorted distinct keys of a chunk, cut into the key ranges of the buckets."""
+def request_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, n_buckets: int, narrow: bool = False) -> pa.RecordBatch:
+    """Sorted distinct keys of a chunk, cut into the key ranges of the buckets. narrow: only the keys' last 32 bits
+    are sent, so a total may add up more than one key; it is never less than the key's own."""
     of = ((keys >> U64(32)) * U64(n_buckets)) >> U64(32)
     cut = np.flatnonzero(np.diff(of)) + 1 if len(of) else np.zeros(0, np.int64)
     edges = np.concatenate([[0], cut, [len(keys)]]) if len(of) else np.zeros(1, np.int64)
@@ -200,7 +201,7 @@ def request_rows(chunk: int, keys: np.ndarray, counts: np.ndarray, n_buckets: in
         [
             pa.array(np.full(len(lo), chunk, np.int64)),
             pa.array(of[lo].astype(np.int64) if len(lo) else np.zeros(0, np.int64)),
-            pa.array([keys[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary()),
+            pa.array([(keys[a:b].astype(np.uint32) if narrow else keys[a:b]).tobytes() for a, b in zip(lo, hi)], pa.binary()),
             pa.array([packed_counts(counts[a:b]) for a, b in zip(lo, hi)], pa.binary()),
         ],
         ["chunk", "bucket", "keys", "counts"],
@@ -220,13 +221,13 @@ def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == n else "<u4").astype(np.int64)
 
 
-def exchange_counts(requests: DataFrame, many_only: bool = False) -> DataFrame:
+def exchange_counts(requests: DataFrame, many_only: bool = False, narrow: bool = False) -> DataFrame:
     """For each request (a chunk's keys of one bucket), the totals of its keys over all chunks, in the keys' order.
 
     many_only: one bit a key instead, set where the total is 2 or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), U64) for x in table.column("keys")]
+        parts = [np.frombuffer(x.as_py(), np.uint32 if narrow else U64) for x in table.column("keys")]
         sizes = [len(x) for x in parts]
         counts = np.concatenate([unpacked_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes)])
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding, fingerprint, jaccard, lm, substring, suffix, toxicity
+from . import bpe, chat, embedding, fingerprint, jaccard, lm, mixing, substring, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -68,10 +72,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "n_segments", "best_start", "best_end")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op4_suffix_dedup, op5_byte_bpe, op6_lm_score, op7_ngram_jaccard, op8_chat_format, op9_embedding_near_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_substring_dedup, op3_mix_sources, op4_suffix_dedup, op5_byte_bpe, op6_lm_score, op7_ngram_jaccard, op8_chat_format, op9_embedding_near_dedup, op10_toxicity)}
 
 #: op8: Spark and DuckDB read the rows; the digests follow from the contract alone.
 SQL = {
+    "op3_mix_sources": mixing.oracle_sql(),
     "op8_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}'),

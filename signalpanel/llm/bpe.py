@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: Distinct pre-tokens whose ids a worker keeps; beyond it the store starts anew.
 CACHE = 400_000
@@ -125,6 +126,25 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 
+def with_ids(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """df without its text and with n_tokens and ids (array of int), after decoding the ids back to exactly the text."""
+    names = [c for c in df.columns if c != text_col]
+
+    def run(batches):
+        c = codec(path, pattern)
+        for batch in batches:
+            raw = []
+            for text in batch.column(text_col).to_pylist():
+                raw.append(c.ids_bytes(text or ""))
+                if c.decode(np.frombuffer(raw[-1], "<u4").tolist()) != (text or "").encode():
+                    raise ValueError("ids do not decode to their text")
+            off = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.diff(off).astype(np.int64)), ids], [*names, "n_tokens", "ids"])
+
+    return df.mapInArrow(run, StructType([*(df.schema[n] for n in names), StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))]))
+
+
 def decode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, data (binary): the bytes that the ids stand for; null ids give null."""
 

@@ -15,6 +15,7 @@ rows is one entry of each chunk, so hot keys are as cheap as others.
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_SCHEMA = "chunk long, ids array<long>, lens binary, blob binary"
+CHUNK_SCHEMA = "chunk long, ids array<long>, lens binary, blob binary, extra binary"
 CHUNK_BYTES = 2 << 20
 #: Bytes of one word, by the contract: everything but space, tab, newline, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -51,6 +52,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that no frame refers to any more.
+
+    It does so when the driver's JVM collects garbage (by itself every half hour, see
+    spark.cleaner.periodicGC.interval); between the phases of an operator that is too late for the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets(spark: SparkSession) -> int:
     """Key ranges of an exchange: several for each shuffle partition, so that partitions fill evenly."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -59,27 +69,38 @@ def buckets(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- chunks
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks of about `target` bytes of text (a longer text is a chunk of its own); null texts are empty."""
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of about `target` (else CHUNK_BYTES) bytes of text (a longer text is a chunk of its own); null texts are empty.
+
+    The columns named in `carry` travel along as one compressed Arrow table a chunk."""
+    target = target or CHUNK_BYTES
 
     def run(batches):
         part, seq, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, text = batch.column(0), batch.column(1).cast(pa.large_string()).fill_null("")
+            others = pa.Table.from_batches([batch.select(range(2, batch.num_columns))]) if carry else None
             off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             data = memoryview(text.buffers()[2] or b"")
             rows, at = [], 0
             while at < len(text):
                 end = max(at + 1, int(np.searchsorted(off, off[at] + target, side="right")) - 1)
-                rows.append(((part << 32) + seq, ids.slice(at, end - at), np.diff(off[at : end + 1]).astype("<i8").tobytes(), press.compress(data[off[at] : off[end]])))
+                extra = press.compress(_ipc(others.slice(at, end - at))) if carry else None
+                rows.append(((part << 32) + seq, ids.slice(at, end - at).to_pylist(), np.diff(off[at : end + 1]).astype("<i8").tobytes(), press.compress(data[off[at] : off[end]]), extra))
                 seq, at = seq + 1, end
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].to_pylist() for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
-                    ["chunk", "ids", "lens", "blob"],
-                )
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["chunk", "ids", "lens", "blob", "extra"])
 
-    return saved(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, CHUNK_SCHEMA))
+    own = [F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")]
+    return saved(df.select(*own, *(F.col(f"`{c}`") for c in carry)).mapInArrow(run, CHUNK_SCHEMA))
+
+
+def _ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 class Chunk:
@@ -91,10 +112,15 @@ class Chunk:
         lens = np.frombuffer(table.column("lens")[row].as_py(), "<i8")
         self.offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
         self.data = zstandard.ZstdDecompressor().decompress(table.column("blob")[row].as_py()) if self.offsets[-1] else b""
+        self._extra = table.column("extra")[row]
 
     def __len__(self):
         return len(self.ids)
 
+    def carried(self) -> pa.Table:
+        """The columns that were carried along, a row for each document."""
+        return pa.ipc.open_stream(zstandard.decompress(self._extra.as_py())).read_all()
+
     def part(self, k: int, n: int) -> Chunk:
         """The k-th of n runs of this chunk's documents."""
         lo, hi = (len(self) * j // n for j in (k, k + 1))
@@ -250,19 +276,21 @@ def read_reply(replies: pa.Table, keys: np.ndarray, n_buckets: int, many_only: b
     return np.concatenate(out) if out else np.zeros(0, bool if many_only else np.int64)
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame, fn, schema: str) -> DataFrame:
+def with_replies(chunks: DataFrame, replies: DataFrame, fn, schema) -> DataFrame:
     """fn(Chunk, its replies) -> Arrow table, for every chunk, also for those without replies."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [fn(Chunk(left, i), right) for i in range(left.num_rows)]
-        return pa.concat_tables(out) if out else empty(schema)
+        return pa.concat_tables([fn(Chunk(left, i), right) for i in range(left.num_rows)]) if left.num_rows else names
 
+    names = empty(schema)
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def empty(schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
-    return pa.table({c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(", ")})
+def empty(schema) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
 
 def id_array(ids) -> pa.Array:

@@ -35,13 +35,14 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from .components import components
 
-SETS = "doc_id long, n_shingles long, key long, grams binary, ranks binary"
+SETS = "doc_id long, n_shingles long, key long, grams binary, ranks binary, digest long"
 
 
 class Sets:
@@ -194,7 +195,7 @@ def _join_group(percent: int):
 
 
 def _sets(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, key of its set (null: empty), and, of texts that can link with another set, the n-grams that
+    """doc_id, n_shingles, key of its set (null: empty), Spark's xxhash64 of the text, and, of texts that can link with another set, the n-grams that
     occur in two documents or more (rare first) and their frequency classes."""
     n_buckets = C.buckets(df.sparkSession)
     chunks = C.pack(df, id_col, text_col)
@@ -226,6 +227,7 @@ def _sets(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> Da
         return pa.table({
             "doc_id": C.id_array(c.ids), "n_shingles": pa.array(size.astype(np.int64)), "key": pa.array(name.view(np.int64), mask=size == 0),
             "grams": pa.array(grams, pa.binary()), "ranks": pa.array(ranks, pa.binary()),
+            "digest": pa.array(np.array([xxhash.xxh64_intdigest(c.text(i), 42) for i in range(len(c))], C.U64).view(np.int64)),
         })
 
     replies = C.exchange_counts(chunks.mapInArrow(ask, C.REQUEST), narrow=True)
@@ -281,14 +283,30 @@ def set_links(nodes: DataFrame, percent: int, limit: int) -> DataFrame:
     return found.unionByName(large.where("start <> key").select(F.col("key").alias("a"), F.col("start").alias("b")))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _named(df: DataFrame, n: int, percent: int, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and key, component of every set."""
     sets = C.saved(_sets(df, n, percent, id_col, text_col))
     nodes = C.saved(sets.where("grams IS NOT NULL").select("key", "n_shingles", "grams", "ranks").dropDuplicates(["key"]))
     linked = components(C.saved(set_links(nodes, percent, limit)))
-    by_set = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
-    by_set = by_set.join(linked, by_set["key"] == linked["node"], "left").withColumn("component", F.coalesce("component", "key"))
+    keys = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
+    return sets, keys.join(linked, keys["key"] == linked["node"], "left").withColumn("component", F.coalesce("component", "key"))
+
+
+def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    sets, by_set = _named(df, n, percent, limit, id_col, text_col)
     by_component = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
     names = by_set.select("key", "component").join(by_component, "component").select("key", "component_id")
     out = sets.select("doc_id", "n_shingles", "key").join(names, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay: of each component the one of smallest id (nulls last), then smallest hash of the text; texts
+    without words stay; rows equal in id and text stay once."""
+    sets, by_set = _named(df, n, percent, limit, id_col, text_col)
+    first = by_set.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    stay = first.unionByName(sets.where("key IS NULL").select("doc_id", "digest")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    marked = df.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_digest"))
+    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).select(*df.columns)

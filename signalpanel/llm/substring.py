@@ -38,7 +38,6 @@ from . import common as C
 
 ROOTS = [C.ROOT, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5]
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, longest_removed long, kept_sha256 string"
-TEXTS = "doc_id long, text string, n_removed long"
 
 
 class Levels:
@@ -189,15 +188,24 @@ def dedup_digests(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_
     return repeated_windows(C.pack(df, id_col, text_col), window, finish, RESULT)
 
 
-def dedup_texts(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_removed: texts without their repeated passages; a text that loses nothing stays as it is."""
+def dedup_texts(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """df with its repeated passages removed from the text, and the column of text lengths, if there is one, made to agree.
+
+    A text that loses nothing stays as it is; of another, the words that are left are joined by one space."""
+    names, schema = tuple(df.columns), df.schema
 
     def finish(c, s, start):
-        ids, texts, counts = [], [], []
+        rows = c.carried()
+        texts, sizes = rows.column(text_col).to_pylist(), []
         for i, _, _, n, left in _kept(c, s, start):
-            ids.append(c.ids[i])
-            texts.append((left if n else c.text(i)).decode())
-            counts.append(n)
-        return pa.table({"doc_id": C.id_array(ids), "text": pa.array(texts, pa.string()), "n_removed": pa.array(counts, pa.int64())})
-
-    return repeated_windows(C.pack(df, id_col, text_col), window, finish, TEXTS)
+            if n:
+                texts[i] = left.decode()
+            sizes.append(len(texts[i] or "") if n else None)
+        rows = rows.set_column(names.index(text_col), text_col, pa.array(texts, pa.string()))
+        if chars_col in names:
+            at = names.index(chars_col)
+            kind = rows.schema.field(at).type
+            rows = rows.set_column(at, chars_col, pc.coalesce(pa.array(sizes, kind), rows.column(at)))
+        return rows
+
+    return repeated_windows(C.pack(df, id_col, text_col, carry=names), window, finish, schema)

@@ -290,6 +290,20 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCORED)
 
 
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text is not predicted toxic, as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            # the text comes last, as slices() wants it
+            for part in slices([pa.RecordBatch.from_arrays([*batch.columns, batch.column(at)], [*batch.schema.names, "_text"])]):
+                clean = [model.score(total) < 0.5 for *_, total in model.found(part.column(part.num_columns - 1))]
+                yield part.select(range(part.num_columns - 1)).filter(pa.array(clean, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first token, last token, normalised score of every significant passage."""
 

@@ -54,7 +54,7 @@ order = lambda x: tuple((v is None, v or 0) for v in x)
 @pytest.mark.parametrize("limit,n", [(1000, 5), (4, 5), (4, 1)])
 def test_equals_brute_force(spark, limit, n, monkeypatch):
     rows = corpus() + near_copies(3, 250)
-    monkeypatch.setattr(jaccard.C.pack, "__defaults__", ("doc_id", "text", 4000))
+    monkeypatch.setattr(jaccard.C, "CHUNK_BYTES", 4000)
     got = [tuple(x) for x in jaccard.near_duplicates(docs(spark, rows), n=n, limit=limit).collect()]
     assert sorted(got, key=order) == sorted(brute(rows, n, 75), key=order)
 
@@ -80,3 +80,18 @@ def test_tree_finds_every_component():
 
 def test_empty(spark):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = corpus() + near_copies(4, 100)
+    df = docs(spark, rows)
+    got = jaccard.keep_one(df)
+    assert got.schema == df.schema
+    texts = {(i, t) for i, t in rows}
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= texts
+    member = {}
+    for (i, t), (_, size, c) in zip(rows, brute(rows, 5, 75)):
+        member[(i, t)] = c if size else (i, t)
+    assert sorted(map(str, {member[k] for k in kept})) == sorted(map(str, set(member.values())))
+    assert len({member[k] for k in kept}) == len(kept)

@@ -29,13 +29,15 @@ key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
 @pytest.mark.parametrize("window", [35, 7])
 def test_equals_brute_force(spark, window, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(substring.C.pack, "__defaults__", ("doc_id", "text", 4000))
+    monkeypatch.setattr(substring.C, "CHUNK_BYTES", 4000)
     got = substring.dedup_digests(docs(spark, rows), window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, window), key=key)
 
 
 def test_texts_and_empty_table(spark):
     rows = [(1, "x  " + "a b c d " * 20), (2, "keep\tthis  as it is"), (3, None)]
-    got = {r.doc_id: (r.text, r.n_removed) for r in substring.dedup_texts(docs(spark, rows), 8).collect()}
-    assert got == {1: ("x", 80), 2: ("keep\tthis  as it is", 0), 3: ("", 0)}
+    df = docs(spark, rows)
+    got = substring.dedup_texts(df, 8)
+    assert got.schema == df.schema
+    assert {r.doc_id: (r.text, r.n_chars, r.lang, r.keys) for r in got.collect()} == {1: ("x", 1, "en", "k"), 2: ("keep\tthis  as it is", 19, "en", "k"), 3: (None, None, "en", "k")}
     assert substring.dedup_digests(docs(spark, []), 8).count() == 0

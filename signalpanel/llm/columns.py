@@ -13,6 +13,7 @@ last c before X, and likewise for the one after it.
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 import numpy as np
@@ -101,20 +102,22 @@ class Collection:
         before, after = np.zeros(k, np.int64), np.zeros(k, np.int64)
         count, since = np.zeros(256, np.int64), np.full(256, 255, np.int64)
         waiting, until = np.full(256, -1), np.full(256, 255, np.int64)
-        start = 0
+        start, whole = 0, os.path.getsize(self.columns[0].path())
         for b, h in zip(self.columns[0].blocks(self.block), self.columns[1].blocks(self.block)):
+            alone = len(b) == whole  # nothing crosses blocks
             n = np.bincount(b, minlength=256)
             order = np.argsort(b, kind="stable")
             first = np.cumsum(n) - n
             has = n > 0
-            lead = np.minimum.accumulate(h)
-            tail = np.append(np.minimum.accumulate(h[::-1])[::-1], np.uint8(255))[1:].astype(np.int64)  # least after each place
-            least = int(lead[-1])
-            # those that wait for their symbol's next occurrence since an earlier block
-            met = np.flatnonzero((waiting >= 0) & has)
-            after[waiting[met]] = np.minimum(until[met], lead[order[first[met]]]) + 1
-            waiting[met] = -1
-            until = np.minimum(until, least)
+            if not alone:
+                lead = np.minimum.accumulate(h)
+                tail = np.append(np.minimum.accumulate(h[::-1])[::-1], np.uint8(255))[1:].astype(np.int64)  # least after each place
+                least = int(lead[-1])
+                # those that wait for their symbol's next occurrence since an earlier block
+                met = np.flatnonzero((waiting >= 0) & has)
+                after[waiting[met]] = np.minimum(until[met], lead[order[first[met]]]) + 1
+                waiting[met] = -1
+                until = np.minimum(until, least)
             lo, hi = np.searchsorted(at, [start, start + len(b)])
             if hi > lo:
                 mine = np.zeros(len(b), bool)
@@ -126,13 +129,16 @@ class Collection:
                 symbol[own], rank[own] = c, count[c] + slot - first[c]
                 inner = slot > first[c]
                 before[own[inner]] = range_min(h, order[slot[inner] - 1] + 1, place[inner] + 1).astype(np.int64) + 1
-                outer = ~inner & (count[c] > 0)
-                before[own[outer]] = np.minimum(since[c[outer]], lead[place[outer]]) + 1
+                if not alone:
+                    outer = ~inner & (count[c] > 0)
+                    before[own[outer]] = np.minimum(since[c[outer]], lead[place[outer]]) + 1
                 inner = slot < first[c] + n[c] - 1
                 after[own[inner]] = range_min(h, place[inner] + 1, order[slot[inner] + 1] + 1).astype(np.int64) + 1
-                waiting[c[~inner]], until[c[~inner]] = own[~inner], tail[place[~inner]]
-            since = np.minimum(since, least)
-            since[has] = tail[order[(first + n - 1)[has]]]
+                if not alone:
+                    waiting[c[~inner]], until[c[~inner]] = own[~inner], tail[place[~inner]]
+            if not alone:
+                since = np.minimum(since, least)
+                since[has] = tail[order[(first + n - 1)[has]]]
             count += n
             start += len(b)
         return symbol, rank, np.minimum(before, MOST).astype(np.uint8), np.minimum(after, MOST).astype(np.uint8), count
@@ -142,20 +148,26 @@ class Collection:
         size = os.path.getsize(self.columns[0].path())
         old_place = place - np.arange(len(place))  # the old entry that each one goes before
         follows = np.flatnonzero(after > 0)
-        for column, values in zip(self.columns, added):
-            start = written = 0
-            with open(column.path(1), "wb") as out:
-                for part in column.blocks(self.block):
-                    end = start + len(part)
-                    lo, hi = np.searchsorted(old_place, [start, end if end < size else size + 1])
-                    part = np.insert(part, old_place[lo:hi] - start, values[lo:hi])
+        next_at, after = place[follows] + 1, after[follows]
+        start = written = 0
+        with contextlib.ExitStack() as files:
+            out = [files.enter_context(open(c.path(1), "wb")) for c in self.columns]
+            for parts in zip(*(c.blocks(self.block) for c in self.columns)):
+                end = start + len(parts[0])
+                lo, hi = np.searchsorted(old_place, [start, end if end < size else size + 1])
+                new = place[lo:hi] - written
+                stays = np.ones(len(parts[0]) + hi - lo, bool)
+                stays[new] = False
+                # what comes after an added suffix and begins alike has a new common prefix
+                a, b = np.searchsorted(next_at, [written, written + len(stays)])
+                for column, part, values, f in zip(self.columns, parts, added, out):
+                    block = np.empty(len(stays), column.kind)
+                    block[stays], block[new] = part, values[lo:hi]
                     if column.name == "lcp":
-                        # what comes after an added suffix and begins alike has a new common prefix
-                        next_at = place[follows] + 1
-                        a, b = np.searchsorted(next_at, [written, written + len(part)])
-                        part[next_at[a:b] - written] = after[follows[a:b]]
-                    part.tofile(out)
-                    start, written = end, written + len(part)
+                        block[next_at[a:b] - written] = after[a:b]
+                    block.tofile(f)
+                start, written = end, written + len(stays)
+        for column in self.columns:
             column.advance()
 
     def repeats(self, length: int):

@@ -49,55 +49,85 @@ TEXTS = "doc_id long, kept binary, n_removed long"
 PIECES = "chunk long, bucket long, kind int, body binary"
 REPLY = "chunk long, bucket long, reply binary"
 LOW = C.U64(0xFFFFFFFF)
-#: What a bucket says of a piece.
-STAYS, GOES, COLLECT, SINGLE = 0, 1, 2, 3
+#: What a bucket says of a piece: it stays or goes; or its windows to the right or left of the anchor may be in another
+#: piece, and are collected or, where there are very many pieces, looked up one by one.
+STAYS, GOES, RIGHT, LEFT, SINGLE = 0, 1, 2, 4, 8
+
+
+#: Window starts that are worked on at once, so that their arrays stay in a core's cache.
+STEP = 1 << 15
 
 
 class Anchors:
     """Anchors of a chunk: hash of their bytes, and the run of windows [first, last] of each."""
 
     def __init__(self, c: C.Chunk, window: int, gram: int):
-        raw = np.frombuffer(c.data, np.uint8)
-        n = len(raw)
-        self.c, self.window, self.raw = c, window, raw
+        self.c, self.window, self.reach = c, window, (window - gram + 1) // 2
+        self.size = gram
+        self.raw = raw = np.frombuffer(c.data, np.uint8)
+        n = len(raw) - window + 1
+        # windows lie in one document
+        ends = np.zeros(max(n, 0) + 1, np.int32)
+        long = np.diff(c.offsets) >= window
+        np.add.at(ends, c.offsets[:-1][long], 1)
+        np.add.at(ends, c.offsets[1:][long] - window + 1, -1)
+        inside = np.cumsum(ends[:-1], dtype=np.int32) > 0 if n > 0 else np.zeros(0, bool)
+        runs = [self._runs(raw[lo : lo + STEP + window - 1], inside[lo : lo + STEP], lo, window, gram) for lo in range(0, n, STEP)]
         empty = np.zeros(0, np.int64)
-        self.gram, self.first, self.last, self.doc = empty.astype(C.U64), empty, empty, empty
-        if n < window:
-            return
-        p, self.inv = C.powers(n + 1, C.ROOT)
-        self.total = np.zeros(n + 1, C.U64)
-        np.cumsum(C.BYTE[raw] * p[:-1], out=self.total[1:])
-        grams = C.mix((self.total[gram:] - self.total[:-gram]) * self.inv[: n - gram + 1])
+        anchor, self.gram, self.first, self.last = (np.concatenate(x) for x in zip(*runs)) if runs else (empty, empty.astype(C.U64), empty, empty)
+        # a run may go on in the next step
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (self.first[1:] != self.last[:-1] + 1)
+        head = np.flatnonzero(new)
+        self.anchor, self.gram, self.first = anchor[head], self.gram[head], self.first[head]
+        self.last = self.last[np.append(head[1:], len(anchor))[: len(head)] - 1]
+        self.doc = np.searchsorted(c.offsets, self.first, side="right") - 1
+        self.total = None
+
+    @staticmethod
+    def _runs(raw, inside, lo: int, window: int, gram: int):
+        """Anchor, hash, first and last window of each run of windows that name the same anchor."""
+        n = len(raw)
+        p, inv = C.powers(STEP + window, C.ROOT)
+        total = np.zeros(n + 1, C.U64)
+        np.cumsum(C.BYTE[raw] * p[:n], out=total[1:])
+        grams = C.mix((total[gram:] - total[:-gram]) * inv[: n - gram + 1])
         # the smallest hash of each window and, in its low bits, the leftmost place of it
-        bits = C.U64(max(24, n.bit_length()))
+        bits = C.U64(24)
         best = (grams >> bits << bits) | np.arange(len(grams), dtype=C.U64)
         width, span = 1, window - gram + 1
         while width < span:
             step = min(width, span - width)
             best = np.minimum(best[: len(best) - step], best[step:])
             width += step
-        anchor = (best & ((C.U64(1) << bits) - C.U64(1))).astype(np.int64)
-        # windows lie in one document
-        ends = np.zeros(n + 1, np.int64)
-        lens = np.diff(c.offsets)
-        long = lens >= window
-        np.add.at(ends, c.offsets[:-1][long], 1)
-        np.add.at(ends, c.offsets[1:][long] - window + 1, -1)
-        at = np.flatnonzero(np.cumsum(ends[: len(anchor)]) > 0)
-        anchor = anchor[at]
+        at = np.flatnonzero(inside)
+        anchor = (best & C.U64((1 << 24) - 1)).astype(np.int64)[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)
-        self.gram, self.first = grams[anchor[head]], at[head]
-        self.last = at[np.append(head[1:], len(at))[: len(head)] - 1] if len(head) else empty
-        self.doc = np.searchsorted(c.offsets, self.first, side="right") - 1
+        last = np.append(head[1:], len(at))[: len(head)] - 1
+        return anchor[head] + lo, grams[anchor[head]], at[head] + lo, at[last] + lo
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.gram, return_counts=True)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if self.total is None:
+            p, self.inv = C.powers(len(self.raw) + 1, C.ROOT)
+            self.total = np.zeros(len(self.raw) + 1, C.U64)
+            np.cumsum(C.BYTE[self.raw] * p[:-1], out=self.total[1:])
         return C.mix((self.total[end] - self.total[start]) * self.inv[start] + (end - start).astype(C.U64))
 
+    def sides(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the text that all windows share which hold more of what follows the anchor, and likewise of what
+        precedes it; 0 where the anchor has no such window."""
+        a = self.anchor[at]
+        right, left = np.zeros(len(at), C.U64), np.zeros(len(at), C.U64)
+        r, l = self.last[at] >= a - self.reach, self.first[at] < a - self.reach
+        right[r] = self.hashes(a[r], a[r] + self.window - self.reach)
+        left[l] = self.hashes(a[l] - self.reach - 1, a[l] + self.size)
+        return right & LOW, left & LOW
+
     def ids(self) -> np.ndarray:
         return np.array([-(2**63) if i is None else i for i in self.c.ids], np.int64)
 
@@ -116,8 +146,9 @@ def _read_body(raw: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: Anchor bytes' hash (its last 32 bits), the piece's, document id, place in the chunk.
-ENTRY = [np.uint32, np.uint64, np.int64, np.uint32]
+#: Anchor bytes' hash (its last 32 bits), the piece's, document id, place in the chunk; and the hashes of its sides.
+WINDOW_ENTRY = [np.uint32, np.uint64, np.int64, np.uint32]
+ENTRY = [*WINDOW_ENTRY, np.uint32, np.uint32]
 
 
 def _by_bucket(key: np.ndarray, n: int):
@@ -129,9 +160,10 @@ def _by_bucket(key: np.ndarray, n: int):
         yield int(of[at[0]]), at
 
 
-def _entries(chunk: int, key, piece, doc, place, n: int, kind: int):
-    """Rows of PIECES that carry ENTRY columns."""
-    return [(chunk, b, kind, _body(key[at].astype(np.uint32), piece[at], doc[at], place[at].astype(np.uint32))) for b, at in _by_bucket(key, n)]
+def _entries(chunk: int, key: np.ndarray, others: list[np.ndarray], n: int):
+    """Rows of PIECES of kind 0 that carry the columns of an entry."""
+    kinds = ENTRY[: 1 + len(others)]
+    return [(chunk, b, 0, _body(*(x[at].astype(k) for x, k in zip([key, *others], kinds)))) for b, at in _by_bucket(key, n)]
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -141,20 +173,26 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(col, kinds[kind]) for (name, kind), col in zip(fields, cols)})
 
 
-def _judge(chunks: list[int], bodies: list[bytes], limit: int) -> list[np.ndarray]:
-    """What becomes of each entry of each body."""
-    parts = [_read_body(b, ENTRY) for b in bodies]
+def _judge(chunks: list[int], bodies: list[bytes], limit: int | None) -> list[np.ndarray]:
+    """What becomes of each entry of each body; without a limit they are windows, which stay or go."""
+    parts = [_read_body(b, ENTRY if limit else WINDOW_ENTRY) for b in bodies]
     sizes = [len(p[0]) for p in parts]
-    key, piece, doc, place = (np.concatenate(x) for x in zip(*parts))
+    key, piece, doc, place, *sides = (np.concatenate(x) for x in zip(*parts))
     chunk = np.repeat(np.array(chunks, np.int64), sizes)
     order = np.lexsort((place, chunk, doc, piece, key))
     k, p = key[order], piece[order]
     new_key, new_piece = np.ones(len(k), bool), np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
     new_piece[1:] = new_key[1:] | (p[1:] != p[:-1])
-    group = np.cumsum(new_key) - 1
-    distinct = np.bincount(group, new_piece)[group]
-    verdict = np.where(new_piece, np.where(distinct == 1, STAYS, np.where(distinct <= limit, COLLECT, SINGLE)), GOES)
+    verdict = np.where(new_piece, STAYS, GOES)
+    if limit:
+        first = np.flatnonzero(new_piece)
+        distinct = np.bincount(np.cumsum(new_key) - 1, new_piece)[np.cumsum(new_key) - 1]
+        for side, bit in zip(sides, (RIGHT, LEFT)):
+            side = side[order[first]]
+            _, inverse, count = np.unique(k[first].astype(C.U64) << C.U64(32) | side, return_inverse=True, return_counts=True)
+            verdict[first] |= np.where((side > 0) & (count[inverse] > 1), bit, 0)
+        verdict[first] |= np.where((verdict[first] > 0) & (distinct[first] > limit), SINGLE, 0)
     out = np.empty(len(k), np.uint8)
     out[order] = verdict
     return np.split(out, np.cumsum(sizes)[:-1])
@@ -176,8 +214,8 @@ def _resolve(window: int):
         kind, chunks, bodies = t.column("kind")[0].as_py(), t.column("chunk").to_pylist(), [x.as_py() for x in t.column("body")]
         rows = []
         if kind == 0:
-            for c, body, verdict in zip(chunks, bodies, _judge(chunks, bodies, 1)):
-                rows.append((c, 0, _read_body(body, ENTRY)[3][verdict == GOES]))
+            for c, body, verdict in zip(chunks, bodies, _judge(chunks, bodies, None)):
+                rows.append((c, 0, _read_body(body, WINDOW_ENTRY)[3][verdict == GOES]))
         else:
             rows = _collect(chunks, bodies, window)
         return _table([(c, b, zstandard.compress(np.asarray(s, np.uint32).tobytes(), 1)) for c, b, s in rows if len(s)], REPLY)
@@ -185,30 +223,42 @@ def _resolve(window: int):
     return run
 
 
-PIECE = [np.int64, np.uint32, np.uint32]
+#: Document id, place in the chunk, size, hash of the anchor's bytes.
+PIECE = [np.int64, np.uint32, np.uint32, np.uint32]
+#: About as many bytes make one collection; one anchor's pieces are never parted.
+COLLECTION = 1 << 19
 
 
 def _collect(chunks: list[int], bodies: list[bytes], window: int) -> list[tuple]:
-    texts, chunk, doc, place = [], [], [], []
+    texts, chunk, doc, place, key = [], [], [], [], []
     for c, body in zip(chunks, bodies):
         head, data = body[:8], zstandard.decompress(body[8:])
         n = int.from_bytes(head, "little")
-        d, at, size = (np.frombuffer(data, k, n, n * o) for k, o in zip(PIECE, (0, 8, 12)))
-        cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]) + 16 * n
+        d, at, size, gram = (np.frombuffer(data, k, n, n * o) for k, o in zip(PIECE, (0, 8, 12, 16)))
+        cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]) + 20 * n
         texts += [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
         chunk.append(np.full(n, c))
         doc.append(d)
         place.append(at.astype(np.int64))
-    chunk, doc, place = np.concatenate(chunk), np.concatenate(doc), np.concatenate(place)
-    with tempfile.TemporaryDirectory() as folder:  # this task's own files, gone when it ends
-        piece, start, group = Collection(texts, folder).build().repeats(window)
-    if not len(piece):
-        return []
-    c, d, at = chunk[piece], doc[piece], place[piece] + start
-    order = np.lexsort((at, c, d, group))
-    later = np.zeros(len(order), bool)
-    later[order[1:]] = group[order][1:] == group[order][:-1]
-    return [(int(x), 1, at[later & (c == x)]) for x in np.unique(c[later])]
+        key.append(gram)
+    chunk, doc, place, key = (np.concatenate(x) for x in (chunk, doc, place, key))
+    rows, of = [], np.argsort(key, kind="stable")
+    size = np.cumsum([len(texts[i]) for i in of])
+    lo = 0
+    while lo < len(of):
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + COLLECTION)) + 1
+        while hi < len(of) and key[of[hi]] == key[of[hi - 1]]:
+            hi += 1
+        some = of[lo:hi]
+        with tempfile.TemporaryDirectory() as folder:  # this task's own files, gone at once
+            piece, start, group = Collection([texts[i] for i in some], folder).build().repeats(window)
+        c, d, at = chunk[some][piece], doc[some][piece], place[some][piece] + start
+        order = np.lexsort((at, c, d, group))
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = group[order][1:] == group[order][:-1]
+        rows += [(int(x), 1, at[later & (c == x)]) for x in np.unique(c[later])]
+        lo = hi
+    return rows
 
 
 def repeated_windows(chunks: DataFrame, window: int, gram: int, limit: int, finish, schema: str) -> DataFrame:
@@ -232,7 +282,7 @@ def repeated_windows(chunks: DataFrame, window: int, gram: int, limit: int, fini
 
     def to_pieces(c, replies):
         a, at = live(c, replies)
-        rows = _entries(c.chunk, a.gram[at], a.hashes(a.first[at], a.last[at] + window), a.ids()[a.doc[at]], a.first[at], n, 0) if len(at) else []
+        rows = _entries(c.chunk, a.gram[at], [a.hashes(a.first[at], a.last[at] + window), a.ids()[a.doc[at]], a.first[at], *a.sides(at)], n) if len(at) else []
         return _table(rows, PIECES)
 
     def verdicts(c, replies) -> tuple[Anchors, np.ndarray, np.ndarray]:
@@ -246,18 +296,21 @@ def repeated_windows(chunks: DataFrame, window: int, gram: int, limit: int, fini
     def to_collections(c, replies):
         a, at, verdict = verdicts(c, replies)
         rows, ids = [], a.ids()
-        single = at[verdict == SINGLE]
-        if len(single):
-            size = a.last[single] - a.first[single] + 1
-            start = np.repeat(a.first[single], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        # of an anchor's windows, those on the sides that another piece has too
+        lo = np.where(verdict & LEFT, a.first[at], np.maximum(a.first[at], a.anchor[at] - a.reach))
+        hi = np.where(verdict & RIGHT, a.last[at], np.minimum(a.last[at], a.anchor[at] - a.reach - 1))
+        single = (verdict & SINGLE) > 0
+        if single.any():
+            size = hi[single] - lo[single] + 1
+            start = np.repeat(lo[single], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             h = a.hashes(start, start + window)
-            rows += _entries(c.chunk, h, h, np.repeat(ids[a.doc[single]], size), start, n, 0)
-        some = at[verdict == COLLECT]
+            rows += _entries(c.chunk, h, [h, np.repeat(ids[a.doc[at[single]]], size), start], n)
+        collect = np.flatnonzero(((verdict & (RIGHT | LEFT)) > 0) & ~single)
+        some, lo, hi = at[collect], lo[collect], hi[collect]
         for b, k in _by_bucket(a.gram[some], n) if len(some) else []:
-            k = some[k]
-            size = a.last[k] - a.first[k] + window
-            pieces = b"".join(c.data[x : x + y] for x, y in zip(a.first[k].tolist(), size.tolist()))
-            columns = b"".join(x.astype(t).tobytes() for x, t in zip((ids[a.doc[k]], a.first[k], size), PIECE))
+            start, size, k = lo[k], hi[k] - lo[k] + window, some[k]
+            pieces = b"".join(c.data[x : x + y] for x, y in zip(start.tolist(), size.tolist()))
+            columns = b"".join(x.astype(t).tobytes() for x, t in zip((ids[a.doc[k]], start, size, a.gram[k]), PIECE))
             rows.append((c.chunk, b, 1, len(k).to_bytes(8, "little") + zstandard.compress(columns + pieces, 1)))
         return _table(rows, PIECES)
 

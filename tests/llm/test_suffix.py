@@ -32,7 +32,7 @@ def test_equals_brute_force(spark, window, gram, limit, monkeypatch):
     rows = corpus()
     hot = "one line that is in very many of all the documents here "
     rows += [(5000 + i, f"{i * 7919} {hot}{i * 104729}" + hot * (i % 3)) for i in range(60)]
-    monkeypatch.setattr(suffix.C.pack, "__defaults__", ("doc_id", "text", 3000))
+    monkeypatch.setattr(suffix.C, "CHUNK_BYTES", 3000)
     got = [tuple(x) for x in suffix.dedup_digests(docs(spark, rows), window, gram, limit).collect()]
     assert sorted(got, key=key) == sorted(brute(rows, window), key=key)
 

@@ -1,4 +1,6 @@
 """Every query of the engine by name, and the SQL that must give the same rows."""
 
-QUERIES = {}
-SQL = {}
+from signalpanel.plans import panel_queries
+
+QUERIES = dict(panel_queries.QUERIES)
+SQL = dict(panel_queries.SQL)

@@ -1,6 +1,6 @@
 """Every query of the engine by name, and the SQL that must give the same rows."""
 
-from signalpanel.plans import panel_queries
+from signalpanel.plans import study_queries
 
-QUERIES = dict(panel_queries.QUERIES)
-SQL = dict(panel_queries.SQL)
+QUERIES = dict(study_queries.QUERIES)
+SQL = dict(study_queries.SQL)

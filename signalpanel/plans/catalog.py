@@ -1,6 +1,6 @@
 """Every query of the engine by name, and the SQL that must give the same rows."""
 
-from signalpanel.plans import study_queries
+from signalpanel.plans import fleet_queries, study_queries
 
-QUERIES = dict(study_queries.QUERIES)
-SQL = dict(study_queries.SQL)
+QUERIES = study_queries.QUERIES | fleet_queries.QUERIES
+SQL = study_queries.SQL | fleet_queries.SQL

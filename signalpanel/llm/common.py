@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +57,12 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints that no frame refers to any more.
 
     It does so when the driver's JVM collects garbage (by itself every half hour, see
-    spark.cleaner.periodicGC.interval); between the phases of an operator that is too late for the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.cleaner.periodicGC.interval); between the phases of an operator that is too late for
+    the disks. The first collection lets frames go, the second what only they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def buckets(spark: SparkSession) -> int:
@@ -169,12 +173,25 @@ def powers(n: int, root: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
+#: Values whose running sum is taken at once, so that it and the powers stay in a core's cache.
+STEP = 1 << 15
+
+
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, root: int = ROOT) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, by differences of one running sum."""
-    p, inv = powers(len(values) + 1, root)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * p[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(U64))
+    """A 64-bit hash of values[start:end] for each span (starts ascend), by differences of running sums."""
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(start, base + STEP))
+        lo, hi = start[i:j] - base, end[i:j] - base
+        own = values[base : base + int(hi.max())]
+        p, inv = powers(len(own) + 1, root)
+        total = np.zeros(len(own) + 1, U64)
+        np.cumsum(own * p[:-1], out=total[1:])
+        out[i:j] = mix((total[hi] - total[lo]) * inv[lo] + (hi - lo).astype(U64))
+        i = j
+    return out
 
 
 #: Random odd weights for byte values, from a rule.

@@ -286,13 +286,14 @@ def set_links(nodes: DataFrame, percent: int, limit: int) -> DataFrame:
 def _named(df: DataFrame, n: int, percent: int, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and key, component of every set."""
     sets = C.saved(_sets(df, n, percent, id_col, text_col))
+    C.release(df.sparkSession)  # the packed texts and the exchange have served
     nodes = C.saved(sets.where("grams IS NOT NULL").select("key", "n_shingles", "grams", "ranks").dropDuplicates(["key"]))
     linked = components(C.saved(set_links(nodes, percent, limit)))
     keys = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
     return sets, keys.join(linked, keys["key"] == linked["node"], "left").withColumn("component", F.coalesce("component", "key"))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sets, by_set = _named(df, n, percent, limit, id_col, text_col)
     by_component = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -301,7 +302,7 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 1
     return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay: of each component the one of smallest id (nulls last), then smallest hash of the text; texts
     without words stay; rows equal in id and text stay once."""
     sets, by_set = _named(df, n, percent, limit, id_col, text_col)

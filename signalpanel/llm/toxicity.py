@@ -10,8 +10,8 @@
 3. Extreme values. The best segment of a clean text of m tokens exceeds x with
    probability 1 - exp(-K m exp(-lambda x)) (Karlin and Altschul). lambda solves
    E[exp(lambda s)] = 1 over tokens of clean texts, K is its maximum-likelihood
-   estimate; both, and a logistic curve over the summed normalised scores of the
-   significant segments, come from labelled documents that the log-odds did not see.
+   estimate; both, and a logistic curve over the best normalised score and the logarithm of
+   the sum over significant segments, come from labelled documents that the log-odds did not see.
 
 Scores depend on text alone. The model is fitted on at most `max_labelled` labelled
 documents, chosen by a hash of the id, and keeps at most `max_terms` scored terms; both
@@ -44,6 +44,8 @@ CAUTION = 2.5
 DRIFT = 0.25
 #: Segments with an expectation below this in a clean text of the same length are significant.
 SIGNIFICANT = 0.5
+#: Normalised scores count up to this in the calibration.
+MOST = 30.0
 
 
 class Tokens:
@@ -71,7 +73,7 @@ class Tokens:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
 
-def slices(batches, limit: int = 4 << 20):
+def slices(batches, limit: int = 1 << 20):
     """Batches cut so that each holds about `limit` bytes of text in its last column."""
     for batch in batches:
         text = batch.column(batch.num_columns - 1).cast(pa.large_string())
@@ -113,7 +115,7 @@ class Model:
         self.word = self.prefix = np.zeros(0, C.U64)
         self.word_score = self.prefix_score = np.zeros(0)
         self.lam, self.k = 1.0, 1.0
-        self.curve = (math.log(min(base, 0.49) / (1 - min(base, 0.49))), 0.0)
+        self.curve = (math.log(min(base, 0.49) / (1 - min(base, 0.49))), 0.0, 0.0)
 
     def token_scores(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the tokens with evidence, and their scores."""
@@ -131,7 +133,8 @@ class Model:
         return at, score[at]
 
     def found(self, texts: pa.Array):
-        """For each text: tokens, best segment score, its segments, and the summed normalised score."""
+        """For each text: tokens, best segment score, significant segments, and two figures of those: the best normalised score and the
+        logarithm of their sum."""
         t = Tokens(texts)
         at, score = self.token_scores(t)
         cut = np.searchsorted(at, t.first)
@@ -143,11 +146,11 @@ class Model:
             floor = math.log(self.k * max(m, 1))
             norm = [(x, y, self.lam * s - floor) for x, y, s in segs]
             hit = [(x, y, v) for x, y, v in norm if math.exp(min(50.0, -v)) < SIGNIFICANT]
-            yield m, best, hit, sum(v + 1 for *_, v in hit)
+            yield m, best, hit, (max((min(v + 1, MOST) for *_, v in hit), default=0.0), math.log1p(sum(v + 1 for *_, v in hit)))
 
-    def score(self, total: float) -> float:
-        a, b = self.curve
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * total))))
+    def score(self, figures: tuple[float, float]) -> float:
+        z = sum(w * x for w, x in zip(self.curve, (1.0, *figures)))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 def _logit(p):
@@ -197,25 +200,26 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max
     if not 0 < t_all < n_all:
         return model
     pre = got[got.kind == 1].sort_values("term")
-    q = (pre.t + PRIOR * base) / (pre.n + PRIOR)
-    by_prefix = dict(zip(pre.term, q))
+    mean = lambda rows, prior: (rows.t + PRIOR * prior) / (rows.n + PRIOR)
     words = got[got.kind == 0]
-    qw = (words.t + PRIOR * words.parent.map(by_prefix).fillna(base)) / (words.n + PRIOR)
+    # a prior near certainty would leave a few documents nothing to say
+    by_prefix = dict(zip(pre.term, mean(pre, base).clip(upper=0.9)))
 
-    def evidence(rows, share):
-        share = share.to_numpy(float)
-        spread = np.sqrt(1 / ((rows.n.to_numpy() + PRIOR) * share * (1 - share)))
-        return rows.term.to_numpy(np.int64).view(C.U64), _logit(share) - _logit(base) - CAUTION * spread - DRIFT
+    def evidence(rows, prior):
+        """Keys and scores: posterior log-odds against the base, less CAUTION standard errors and the drift."""
+        hits, misses = rows.t + PRIOR * prior, rows.n - rows.t + PRIOR * (1 - prior)
+        value = np.log(hits / misses) - _logit(base) - CAUTION * np.sqrt(1 / hits + 1 / misses) - DRIFT
+        return rows.term.to_numpy(np.int64).view(C.U64), value.to_numpy(float)
 
-    def table(rows, share):
-        keys, value = evidence(rows, share)
+    def table(rows, prior):
+        keys, value = evidence(rows, prior)
         order = np.argsort(keys)
         keep = order[value[order] > 0]
         return keys[keep], value[keep]
 
-    model.prefix, model.prefix_score = table(pre, q)
+    model.prefix, model.prefix_score = table(pre, base)
     # words that say less than the base are left to count as drift, and keep their prefix from speaking for them
-    keys, value = evidence(words, qw)
+    keys, value = evidence(words, words.parent.map(by_prefix).fillna(base))
     order = np.argsort(keys)
     model.word, model.word_score = keys[order], np.maximum(value, -DRIFT)[order]
 
@@ -249,26 +253,26 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max
     clean = best[best.y == 0]
     model.k = len(clean) / max(1e-9, float((clean.a.clip(lower=1) * np.exp(-model.lam * clean.b)).sum()))
 
-    def totals(batches, m=model):
+    def figures(batches, m=model):
         for batch in slices(batches):
             y = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([x[3] for x in m.found(batch.column(2))], pa.float64()), pa.array(y, pa.float64())], ["total", "y"])
+            best, total = zip(*(x[3] for x in m.found(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (best, total, y)], ["best", "total", "y"])
 
-    at = apart.mapInArrow(totals, "total double, y double").toPandas()
-    model.curve = logistic(at.total.to_numpy(), at.y.to_numpy())
+    at = apart.mapInArrow(figures, "best double, total double, y double").toPandas()  # of the sample
+    model.curve = logistic(at[["best", "total"]].to_numpy(), at.y.to_numpy())
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Intercept and slope by Newton steps; the ridge keeps separable data finite."""
-    scale = max(1e-9, float(np.abs(x).max()))
-    a = np.stack([np.ones_like(x), np.minimum(x / scale * 10, 10)], axis=1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Intercept and slopes by Newton steps; the ridge keeps separable data finite."""
+    a = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(a.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-a @ w))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
         w += np.clip(step, -5, 5)
-    return float(w[0]), float(w[1] * 10 / scale)
+    return tuple(map(float, w))
 
 
 SCORED = "doc_id long, score double, predicted int, n_segments long, best_start long, best_end long"

@@ -54,7 +54,17 @@ def test_no_labels(spark):
 
 
 def test_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    n, right = got.count(), got.where("predicted = toxic").count()
-    assert n > 30 and right / n > 0.9
+    toxic, found, wrong = got.selectExpr("sum(toxic)", "sum(toxic * predicted)", "sum((1 - toxic) * predicted)").first()
+    # about a tenth of the toxic labels are on texts without any telling word
+    assert toxic > 50 and found / toxic > 0.8 and wrong <= 0.02 * got.count()
+
+
+def test_scores_do_not_depend_on_slices(spark):
+    """A term of many documents is found in every slice of a batch."""
+    rows = [(i, ("grim " if i % 3 == 0 else "") + "plain text " * 40) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows).coalesce(1), labels)
+    got = toxicity.score_documents(docs(spark, rows), model).join(labels, "doc_id")
+    assert got.where("predicted <> toxic").count() == 0

@@ -15,8 +15,8 @@ Turns are formatted row by row; ``read_back`` follows one conversation at a time
 order and holds one turn in memory, however long the conversation is.
 
 Null text or content is empty; a null role is the empty role and never under the
-mask; turns are ordered by turn (nulls first), then role and text, so ties have one
-order; repeated rows are turns of their own; rows with a null conv_id form one
+mask; turns are ordered by turn (nulls first), then by what they are written as, so ties
+have one order; repeated rows are turns of their own; rows with a null conv_id form one
 conversation; an empty table gives no rows; further columns are ignored.
 """
 
@@ -39,8 +39,13 @@ def escape(text: str) -> str:
     return text.replace(ESCAPE, ESCAPE * 2).replace("<|", "<" + ESCAPE + "|")
 
 
+def escape_role(role: str) -> str:
+    """A role ends at the first newline, so its own newlines are escaped too."""
+    return escape(role).replace("\n", ESCAPE + "n")
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S)
 
 
 class Flatten:
@@ -92,7 +97,7 @@ def format_turns(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
             for role, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 parts = [p for p in c or [] if p] if typed else [{"type": "text", "text": c}]
                 body, attached, tokens = flatten(parts)
-                head = f"{START}{escape(role or '')}\n"
+                head = f"{START}{escape_role(role or '')}\n"
                 masked = role == loss_role
                 rows.append((head + body + END + "\n", len(head) if masked else 0, len(head) + len(body) if masked else 0, [{"slot": n, "kind": k, "ref": r} for n, k, r in attached], tokens))
             cols = list(zip(*rows)) if rows else [()] * 5

@@ -80,7 +80,7 @@ SQL = {
     "op8_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}'),
-e AS (SELECT *, '<|im_start|>' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || chr(10)
+e AS (SELECT *, '<|im_start|>' || replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n') || chr(10)
                 || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|im_end|>' || chr(10) AS f FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, f)) AS turns_sha256,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: Distinct pre-tokens whose ids a worker keeps; beyond it the store starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_chars() -> list[str]:

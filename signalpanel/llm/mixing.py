@@ -50,12 +50,12 @@ def draw(id_col: Column, seed: int) -> Column:
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """df with _source, _lang, _topic, _tokens and _draw."""
+    """df with __mix_source, __mix_lang, __mix_topic, __mix_tokens and __mix_draw."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     topic = F.col("topic").cast("string") if "topic" in df.columns else topic_of(F.col(text_col))
-    named = {"_source": F.col("source").cast("string"), "_lang": F.col("lang").cast("string"), "_topic": topic}
-    return df.withColumns({k: F.coalesce(v, F.lit(NONE)) for k, v in named.items()} | {"_tokens": words, "_draw": draw(F.col(id_col), seed)})
+    named = {"__mix_source": F.col("source").cast("string"), "__mix_lang": F.col("lang").cast("string"), "__mix_topic": topic}
+    return df.withColumns({k: F.coalesce(v, F.lit(NONE)) for k, v in named.items()} | {"__mix_tokens": words, "__mix_draw": draw(F.col(id_col), seed)})
 
 
 def rake(cells: DataFrame, powers: dict[str, float], bound: float, rounds: int) -> DataFrame:
@@ -77,31 +77,30 @@ def rake(cells: DataFrame, powers: dict[str, float], bound: float, rounds: int)
     return cells.select(*MARGINS, "tokens", (F.col("x") / F.col("tokens")).alias("factor"))
 
 
-def with_probability(df: DataFrame, keep: float = 0.5, powers: dict[str, float] = POWERS, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """df with _source, _lang, _topic, _tokens, _draw, _factor and _probability."""
-    rows = features(df, id_col, text_col, seed)
-    named = [F.col(f"_{m}").alias(m) for m in MARGINS]
-    cells = rows.groupBy(*named).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0")
+def with_probability(rows: DataFrame, keep: float = 0.5, powers: dict[str, float] = POWERS, rounds: int = 12) -> DataFrame:
+    """Rows that have features(), with __mix_factor and __mix_probability."""
+    named = [F.col(f"__mix_{m}").alias(m) for m in MARGINS]
+    cells = rows.groupBy(*named).agg(F.sum("__mix_tokens").alias("tokens")).where("tokens > 0")
     cells = saved(cells)
     few = cells.count() <= BROADCAST_CELLS
     raked = saved(rake(cells.coalesce(1) if few else cells, powers, 1 / keep, rounds))
-    factors = raked.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.col("factor").alias("_factor"))
-    out = rows.join(F.broadcast(factors) if few else factors, [f"_{m}" for m in MARGINS], "left")
-    factor = F.when(F.col("_tokens") > 0, F.col("_factor")).otherwise(F.lit(1.0))
-    return out.withColumn("_factor", factor).withColumn("_probability", F.least(F.lit(1.0), F.col("_factor") * F.lit(keep)))
+    factors = raked.select(*(F.col(m).alias(f"__mix_{m}") for m in MARGINS), F.col("factor").alias("__mix_factor"))
+    out = rows.join(F.broadcast(factors) if few else factors, [f"__mix_{m}" for m in MARGINS], "left")
+    factor = F.when(F.col("__mix_tokens") > 0, F.col("__mix_factor")).otherwise(F.lit(1.0))
+    return out.withColumn("__mix_factor", factor).withColumn("__mix_probability", F.least(F.lit(1.0), F.col("__mix_factor") * F.lit(keep)))
 
 
-def plan(df: DataFrame, **options) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, kept of every row."""
-    rows = with_probability(df, **options)
-    own = F.col(options.get("id_col", "doc_id")).cast("long").alias("doc_id")
-    names = [F.col(f"_{m}").alias(m) for m in MARGINS]
-    return rows.select(own, *names, F.col("_tokens").alias("n_tokens"), F.round("_factor", 6).alias("weight"), F.round("_probability", 6).alias("probability"), (F.col("_draw") < F.col("_probability")).alias("kept"))
+def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, **options) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, probability, kept of every row. Texts are read once."""
+    slim = features(df, id_col, text_col, seed).select(F.col(id_col).cast("long").alias("doc_id"), *(f"__mix_{m}" for m in MARGINS), "__mix_tokens", "__mix_draw")
+    rows = with_probability(saved(slim), **options)
+    names = [F.col(f"__mix_{m}").alias(m) for m in MARGINS]
+    return rows.select("doc_id", *names, F.col("__mix_tokens").alias("n_tokens"), F.round("__mix_factor", 6).alias("weight"), F.round("__mix_probability", 6).alias("probability"), (F.col("__mix_draw") < F.col("__mix_probability")).alias("kept"))
 
 
-def sample(df: DataFrame, **options) -> DataFrame:
-    """The rows of df that are drawn, with df's own columns."""
-    return with_probability(df, **options).where("_draw < _probability").select(*df.columns)
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, **options) -> DataFrame:
+    """The rows of df that are drawn, with df's own columns. Texts are read twice rather than written once more."""
+    return with_probability(features(df, id_col, text_col, seed), **options).where("__mix_draw < __mix_probability").select(*df.columns)
 
 
 def oracle_sql(keep: float = 0.5, powers: dict[str, float] = POWERS, rounds: int = 12, seed: int = 1) -> str:

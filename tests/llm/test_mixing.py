@@ -8,7 +8,7 @@ from signalpanel.llm import mixing
 
 from .helpers import docs
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens long, factor double, x int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens long, factor double, _draw int"
 
 
 def table(spark):

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from .common import bound_batches
+
 #: Distinct pre-tokens whose ids a worker keeps; beyond it the store starts anew.
 CACHE = 150_000
 
@@ -114,6 +116,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) of every text."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         c = codec(path, pattern)
@@ -128,6 +131,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
 def with_ids(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """df without its text and with n_tokens and ids (array of int), after decoding the ids back to exactly the text."""
+    bound_batches(df.sparkSession)
     names = [c for c in df.columns if c != text_col]
 
     def run(batches):
@@ -162,6 +166,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def roundtrip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and decodes its ids in one pass; digests of both."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         c = codec(path, pattern)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = "\\"
 #: Tokens that one part of each kind expands to for each unit of its size.
@@ -87,6 +89,7 @@ def format_turns(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Each turn's formatted text, its span under the loss mask (start = end: none), attachments and expanded tokens.
 
     Content is the column ``parts`` (array of struct type, text, ref, size) if there is one, else ``text``."""
+    bound_batches(df.sparkSession)
     kept = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string")]
     typed = "parts" in df.columns
     content = F.col("parts") if typed else F.col("text").cast("string")

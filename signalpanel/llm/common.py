@@ -53,6 +53,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB instead of 64, unless the session says otherwise: workers and executors hold several of them
+    outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(4 << 20))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints that no frame refers to any more.
 
@@ -78,6 +86,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target:
 
     The columns named in `carry` travel along as one compressed Arrow table a chunk."""
     target = target or CHUNK_BYTES
+    bound_batches(df.sparkSession)
 
     def run(batches):
         part, seq, press = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
@@ -96,7 +105,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target:
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["chunk", "ids", "lens", "blob", "extra"])
 
-    own = [F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")]
+    own = [F.col(id_col).cast("long").alias("__pack_id"), F.col(text_col).cast("string").alias("__pack_text")]
     return saved(df.select(*own, *(F.col(f"`{c}`") for c in carry)).mapInArrow(run, CHUNK_SCHEMA))
 
 

@@ -307,7 +307,7 @@ def keep_one(df: DataFrame, n: int = 5, percent: int = 75, limit: int = 256, id_
     without words stay; rows equal in id and text stay once."""
     sets, by_set = _named(df, n, percent, limit, id_col, text_col)
     first = by_set.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
-    stay = first.unionByName(sets.where("key IS NULL").select("doc_id", "digest")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    marked = df.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_digest"))
-    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).select(*df.columns)
+    stay = first.unionByName(sets.where("key IS NULL").select("doc_id", "digest")).select(F.col("doc_id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
+    marked = df.withColumn("__keep_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__keep_hash") == F.col("__keep_digest"))
+    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "__keep_hash"]).select(*df.columns)

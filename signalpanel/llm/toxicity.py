@@ -159,6 +159,7 @@ def _logit(p):
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max_terms: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows given; `labels` has doc_id and toxic."""
+    C.bound_batches(documents.sparkSession)
     ids = F.col("doc_id").cast("long")
     picked = (
         labels.select(ids.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -280,6 +281,7 @@ SCORED = "doc_id long, score double, predicted int, n_segments long, best_start
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, number of significant passages, and the best one's token span."""
+    C.bound_batches(df.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
@@ -296,6 +298,7 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of df whose text is not predicted toxic, as they are."""
+    C.bound_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches):

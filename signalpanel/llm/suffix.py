@@ -54,10 +54,6 @@ LOW = C.U64(0xFFFFFFFF)
 STAYS, GOES, RIGHT, LEFT, SINGLE = 0, 1, 2, 4, 8
 
 
-#: Window starts that are worked on at once, so that their arrays stay in a core's cache.
-STEP = 1 << 15
-
-
 class Anchors:
     """Anchors of a chunk: hash of their bytes, and the run of windows [first, last] of each."""
 
@@ -72,23 +68,23 @@ class Anchors:
         np.add.at(ends, c.offsets[:-1][long], 1)
         np.add.at(ends, c.offsets[1:][long] - window + 1, -1)
         inside = np.cumsum(ends[:-1], dtype=np.int32) > 0 if n > 0 else np.zeros(0, bool)
-        runs = [self._runs(raw[lo : lo + STEP + window - 1], inside[lo : lo + STEP], lo, window, gram) for lo in range(0, n, STEP)]
+        runs = [self._runs(raw[lo : lo + C.STEP + window - 1], inside[lo : lo + C.STEP], lo, window, gram) for lo in range(0, n, C.STEP)]
         empty = np.zeros(0, np.int64)
         anchor, self.gram, self.first, self.last = (np.concatenate(x) for x in zip(*runs)) if runs else (empty, empty.astype(C.U64), empty, empty)
         # a run may go on in the next step
         new = np.ones(len(anchor), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (self.first[1:] != self.last[:-1] + 1)
         head = np.flatnonzero(new)
-        self.anchor, self.gram, self.first = anchor[head], self.gram[head], self.first[head]
+        # anchors have small hashes; mixed again, they fill all buckets evenly
+        self.anchor, self.gram, self.first = anchor[head], C.mix(self.gram[head]), self.first[head]
         self.last = self.last[np.append(head[1:], len(anchor))[: len(head)] - 1]
         self.doc = np.searchsorted(c.offsets, self.first, side="right") - 1
-        self.total = None
 
     @staticmethod
     def _runs(raw, inside, lo: int, window: int, gram: int):
         """Anchor, hash, first and last window of each run of windows that name the same anchor."""
         n = len(raw)
-        p, inv = C.powers(STEP + window, C.ROOT)
+        p, inv = C.powers(C.STEP + window, C.ROOT)
         total = np.zeros(n + 1, C.U64)
         np.cumsum(C.BYTE[raw] * p[:n], out=total[1:])
         grams = C.mix((total[gram:] - total[:-gram]) * inv[: n - gram + 1])
@@ -112,11 +108,7 @@ class Anchors:
         return np.unique(self.gram, return_counts=True)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if self.total is None:
-            p, self.inv = C.powers(len(self.raw) + 1, C.ROOT)
-            self.total = np.zeros(len(self.raw) + 1, C.U64)
-            np.cumsum(C.BYTE[self.raw] * p[:-1], out=self.total[1:])
-        return C.mix((self.total[end] - self.total[start]) * self.inv[start] + (end - start).astype(C.U64))
+        return C.span_hashes(C.BYTE[self.raw], start, end)
 
     def sides(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the text that all windows share which hold more of what follows the anchor, and likewise of what

@@ -65,7 +65,8 @@ class Levels:
         self.near = np.unique(self.anchor)
 
     def first_keys(self) -> np.ndarray:
-        return self.grams[self.near] if len(self.near) else np.zeros(0, C.U64)
+        """The anchors' hashes, mixed again: they are small ones, and must fill all buckets evenly."""
+        return C.mix(self.grams[self.near]) if len(self.near) else np.zeros(0, C.U64)
 
     def second(self, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which anchors repeat, and of those the hashes of the stretches after and before (0: it leaves the document)."""

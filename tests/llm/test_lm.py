@@ -66,3 +66,54 @@ def test_better_than_the_base_on_held_out_documents(spark):
     rows = queries.op6_lm_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert rows.s > rows.b
     assert lm.score_documents(docs(spark, [])).count() == 0
+
+
+def test_listed_words_grow_with_the_corpus_and_add_up_to_one():
+    """Every word above the count threshold has parameters of its own, as context and as target."""
+    rng = np.random.default_rng(1)
+    for size in (50, 5000):
+        keys = np.unique(rng.integers(1, 2**62, size).astype(np.uint64))
+        count = rng.integers(5, 500, len(keys))
+        group = (keys & np.uint64(lm.GROUPS - 1)).astype(int)
+        group_n, group_v = np.bincount(group, count, lm.GROUPS) + 6, np.bincount(group, minlength=lm.GROUPS) + 3
+        top = [(int(k), int(c)) for k, c in zip(keys[:9], count[:9])]
+        words = lm.Vocabulary(top, int(group_n.sum()), int(group_v.sum()), 0, group_n, group_v, (keys, count))
+        assert len(words.own_keys) == len(keys) - 9
+        model, listed = lm.LogBilinear(words.size, 4, np.maximum(words.counts, 0.5)), lm.Listed(words, 4)
+        listed.rows += rng.normal(0, 0.3, listed.rows.shape).astype(np.float32)
+        listed.rows[listed.none] = 0
+        # after one context: every listed word, a word of each group with count 3 and one with count 2 and 1, the unseen, the end
+        unseen = np.arange(lm.GROUPS, dtype=np.uint64)
+        every = np.concatenate([keys, unseen, unseen, unseen, unseen, [lm.END]])
+        own = np.concatenate([count, *(np.full(lm.GROUPS, c) for c in (3, 2, 1, 0)), [0]])
+        for first in keys[20:23]:
+            got = [lm.token_log10(model, listed, np.array([first, k]), np.arange(2), np.array([5, c]))[1] for k, c in zip(every[-600:], own[-600:])]
+            got = np.concatenate([lm.token_log10(model, listed, np.ravel(np.column_stack([np.full(len(every), first), every])), np.tile([0, 1], len(every)), np.ravel(np.column_stack([own, own])))[1::2][: len(every) - len(got)], got])
+            assert abs((10.0**got).sum() - 1) < 1e-3
+        ctx = [lm.token_log10(model, listed, np.array([k, keys[0]]), np.arange(2), np.array([5, 5]))[1] for k in keys[9:40]]
+        assert len(set(np.round(ctx, 9))) == len(ctx)  # no two listed words are the same context
+
+
+def test_gradient_of_ways_equals_differences():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(1, 2**62, 900).astype(np.uint64))
+    group = (keys & np.uint64(lm.GROUPS - 1)).astype(int)
+    count = rng.integers(5, 99, len(keys))
+    words = lm.Vocabulary([], 0, 0, 0, np.bincount(group, count, lm.GROUPS) + 1, np.bincount(group, minlength=lm.GROUPS) + 1, (keys, count))
+    listed = lm.Listed(words, 3)
+    listed.rows += rng.normal(0, 0.5, listed.rows.shape).astype(np.float32)
+    ids, own, hat = words.ids(keys), words.own(keys, words.ids(keys)), rng.normal(0, 1, (len(keys), 3))
+    leaf = words.leaves(ids, own)
+    g = lm.ListedTrainer(listed, 0.0).nodes(hat, ids, leaf)
+    for j in range(3):
+        step = np.zeros(3)
+        step[j] = 1e-2
+        want = -(listed.log_share(hat + step, ids, leaf) - listed.log_share(hat - step, ids, leaf)) / 2e-2
+        assert np.abs(want - g[:, j]).max() < 1e-2
+
+
+def test_moves_of_listed_rows_are_averaged_by_how_often_they_were_met():
+    pack = lambda rows, used, moved: (np.array(rows, "<u2").tobytes() + np.array(used, "<f4").tobytes() + np.array(moved, "<f2").tobytes(), len(rows))
+    n, raw = lm.met_mean([pack([3, 7], [1, 2], [[1.0, 0.5], [2.0, 1.0]]), pack([7], [6], [[-2.0, 3.0]])])
+    at, used, moved = lm.met_rows(raw, n)
+    assert at.tolist() == [3, 7] and used.tolist() == [1, 8] and moved.tolist() == [[1.0, 0.5], [-1.0, 2.5]]

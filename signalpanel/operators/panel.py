@@ -80,8 +80,7 @@ def class_sample(labeled: DataFrame, ratio: int = 6, max_rows: int = 150_000, se
     n = known.agg(F.sum((F.col("y") == 1).cast("long")).alias("_p"), F.sum((F.col("y") == 0).cast("long")).alias("_n"))
     most = max(1000, max_rows // (1 + ratio))
     take_p = F.least(F.col("_p"), F.lit(most))
-    take_n = F.least(F.col("_n"), F.greatest(take_p * ratio, F.lit(1)), F.lit(max_rows) - take_p)
-    sizes = n.select("_p", "_n", take_p.cast("long").alias("_tp")).withColumn("_tn", F.least(F.col("_n"), F.greatest(F.col("_tp") * ratio, F.lit(1)), F.lit(max_rows) - F.col("_tp")).cast("long"))
+    sizes = n.select("_p", "_n", take_p.cast("long").alias("_tp")).withColumn("_tn", F.least(F.col("_n"), F.greatest(F.col("_tp") * ratio, F.lit(1)), F.greatest(F.lit(max_rows) - F.col("_tp"), F.lit(1))).cast("long"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("_u", "vehicle_id", "date"))
     rows = known.withColumn("_rank", rank).crossJoin(F.broadcast(sizes))
     taken, whole = F.when(F.col("y") == 1, F.col("_tp")).otherwise(F.col("_tn")), F.when(F.col("y") == 1, F.col("_p")).otherwise(F.col("_n"))

@@ -387,6 +387,12 @@ def class_sample_weights(v):
     return panel.class_sample(v.labeled, 2, 600).select("vehicle_id", "date", "y", "weight")
 
 
+@query()
+def class_sample_weights_full(v):
+    """The operator's own ratio and size."""
+    return panel.class_sample(v.labeled).select("vehicle_id", "date", "y", "weight")
+
+
 FOLDS = f", pg AS (SELECT vehicle_id, sum(y)::BIGINT AS n_pos FROM labeled WHERE y >= 0 GROUP BY 1), fold AS (SELECT *, ((row_number() OVER (ORDER BY n_pos DESC, {uniform_sql(42, 'vehicle_id')}, vehicle_id) - 1) % 5)::INT AS fold FROM pg)"
 
 

@@ -481,8 +481,12 @@ ct AS (SELECT replicate, vehicle_id, count(*) AS times FROM dr JOIN nb USING (po
 bt AS (SELECT replicate, score, other, y, weight * times AS w FROM known JOIN ct USING (vehicle_id))"""
 
 
-def _counts(v):
-    return metrics.resample_counts(v.known, B)
+#: Replicates of the queries without SQL.
+B_FULL = 300
+
+
+def _counts(v, replicates=B):
+    return metrics.resample_counts(v.known, replicates)
 
 
 @query(KNOWN + DRAWS + f", a AS (SELECT * FROM {_auc_sql('bt', 'score', 'y', 'w', 'replicate')}), result AS (SELECT (SELECT auc FROM {_auc_sql('known', 'score', 'y', 'weight')}) AS point, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi, avg(auc) AS mean, count(auc) AS replicates FROM a)", "point~ lo~ hi~ mean~ replicates")
@@ -490,16 +494,31 @@ def bootstrap_auc_ci(v):
     return metrics.auc_interval(v.known, "score", "y", _counts(v), "weight")
 
 
+@query()
+def bootstrap_auc_ci_full(v):
+    return metrics.auc_interval(v.known, "score", "y", _counts(v, B_FULL), "weight")
+
+
 @query(KNOWN + DRAWS + f", d AS (SELECT a.auc - b.auc AS delta FROM {_auc_sql('bt', 'score', 'y', 'w', 'replicate')} a JOIN {_auc_sql('bt', 'other', 'y', 'w', 'replicate')} b USING (replicate)), result AS (SELECT quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi, avg((delta > 0)::INT) AS p_above, (quantile_cont(delta, 0.975) - quantile_cont(delta, 0.025)) / 2 AS half_width FROM d)", "lo~ hi~ p_above~ half_width~")
 def paired_delta_auc(v):
     return metrics.paired_delta(v.known, "score", "other", "y", _counts(v), "weight")
 
 
+@query()
+def paired_delta_auc_full(v):
+    return metrics.paired_delta(v.known, "score", "other", "y", _counts(v, B_FULL), "weight")
+
+
 @query(EVENT.replace("result AS", "unused AS") + DRAWS + ", pe AS (SELECT vehicle_id, sum(caught) AS c, count(*) AS e FROM ev WHERE fraction = 0.1::DOUBLE GROUP BY 1), rr AS (SELECT replicate, sum(c * times) / sum(e * times) AS recall FROM pe JOIN ct USING (vehicle_id) GROUP BY 1), result AS (SELECT quantile_cont(recall, 0.025) AS lo, quantile_cont(recall, 0.975) AS hi, avg(recall) AS mean, count(recall) AS replicates FROM rr)", "lo~ hi~ mean~ replicates")
-def event_recall_ci(v):
+def event_recall_ci(v, replicates=B):
     rows = metrics.flagged(v.known, "score", [0.1], "weight", "row_id").where("y = 1")
     events = rows.groupBy("vehicle_id", F.date_add("date", F.col("days_to_event"))).agg(F.max(F.col("flag").cast("int")).alias("caught"))
-    return metrics.event_recall_interval(events, _counts(v))
+    return metrics.event_recall_interval(events, _counts(v, replicates))
+
+
+@query()
+def event_recall_ci_full(v):
+    return event_recall_ci(v, B_FULL)
 
 
 LEAK = KNOWN_LONG + """, av AS (SELECT signal, avg((value IS NOT NULL)::INT) FILTER (y = 1) AS pos_avail, avg((value IS NOT NULL)::INT) FILTER (y = 0) AS neg_avail FROM kl GROUP BY 1),

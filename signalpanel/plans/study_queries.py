@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalpanel.functions.draws import triangular_sql, uniform_sql
 from signalpanel.operators import economics, metrics, panel, policy, studies
-from signalpanel.plans.panel_queries import FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SQL as PANEL_SQL, View, _auc_sql, query, rounded
+from signalpanel.plans.panel_queries import B_FULL, FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SQL as PANEL_SQL, View, _auc_sql, query, rounded
 from signalpanel.sources import fleet
 from signalpanel.streaming import rollup
 
@@ -88,7 +88,7 @@ def perm_importance(v):
 def ablation_trace(v):
     rows = study_rows(v)
     signals = sorted({f.split("__")[0] for f in FEATURES})
-    counts = metrics.resample_counts(rows, 20)
+    counts = metrics.resample_counts(rows, B_FULL)
     trace = studies.ablation(rows, studies.binned(rows, FEATURES), signals, {}, counts)
     return v.spark.createDataFrame([tuple(t.values()) for t in trace], "step int, signal string, p_above double, lo double, hi double, accepted boolean, underpowered boolean, kept_conservatively boolean")
 
@@ -160,7 +160,7 @@ def tuning_headroom(v):
     rows = study_rows(v)
     scored = lambda c, **s: studies.mllib_out_of_fold(rows, FEATURES, "logistic", **s).withColumnRenamed("score", c)
     both = scored("base").join(scored("loose", regParam=0.0).select("vehicle_id", "date", "loose"), ["vehicle_id", "date"])
-    out = metrics.paired_delta(both, "loose", "base", "y", metrics.resample_counts(rows, 20))
+    out = metrics.paired_delta(both, "loose", "base", "y", metrics.resample_counts(rows, B_FULL))
     return out.withColumn("headroom", F.col("lo") > 0.01)
 
 
@@ -239,6 +239,11 @@ def roi_distribution(v):
     return economics.roi_summary(economics.value_terms(economics.drawn(economics.scenarios(v.spark, BASE_CASE), N_DRAWS, SEED)))
 
 
+@query()
+def roi_distribution_full(v):
+    return economics.roi_summary(economics.value_terms(economics.drawn(economics.scenarios(v.spark, BASE_CASE), 10_000, SEED)))
+
+
 @query()
 def roi_distribution_pert(v):
     return economics.roi_summary(economics.value_terms(economics.drawn_pert(economics.scenarios(v.spark, BASE_CASE), 10_000, SEED)))
@@ -253,15 +258,25 @@ def _tornado_rows():
 
 
 @query(simulation_sql(_tornado_rows()) + ", r AS (SELECT split_part(scenario, '|', 1) AS input, max(net_p50) FILTER (scenario LIKE '%|bad') AS bad, max(net_p50) FILTER (scenario LIKE '%|good') AS good FROM summary GROUP BY 1), result AS (SELECT *, abs(good - bad) AS swing FROM r)", "input bad~ good~ swing~")
-def tornado(v):
+def tornado(v, draws=N_DRAWS):
     cases = economics.tornado_cases(v.spark, economics.INPUTS, COST, FALSE_100)
-    return economics.tornado(economics.roi_summary(economics.value_terms(economics.drawn(cases, N_DRAWS, SEED))))
+    return economics.tornado(economics.roi_summary(economics.value_terms(economics.drawn(cases, draws, SEED))))
+
+
+@query()
+def tornado_full(v):
+    return tornado(v, 2_000)
 
 
 @query(simulation_sql(_point_cases()) + ", result AS (SELECT scenario, net_p50, p_positive FROM summary ORDER BY net_p50 DESC, scenario DESC LIMIT 1)", "scenario net_p50~ p_positive~")
-def operating_point_choice(v):
+def operating_point_choice(v, draws=N_DRAWS):
     cases = economics.scenarios(v.spark, _point_cases())
-    return economics.operating_point(economics.roi_summary(economics.value_terms(economics.drawn(cases, N_DRAWS, SEED))))
+    return economics.operating_point(economics.roi_summary(economics.value_terms(economics.drawn(cases, draws, SEED))))
+
+
+@query()
+def operating_point_choice_full(v):
+    return operating_point_choice(v, 3_000)
 
 
 # ---------------------------------------------------------------- policy

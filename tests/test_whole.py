@@ -1,9 +1,11 @@
 """Operators at the size of the whole job, against brute force on small rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalpanel.operators import panel
+from signalpanel.operators import economics, metrics, panel
+from signalpanel.plans import catalog, study_queries
 
 
 def test_class_sample_keeps_negatives_when_positives_exceed_the_size(spark):
@@ -12,3 +14,24 @@ def test_class_sample_keeps_negatives_when_positives_exceed_the_size(spark):
     assert got[1] == (700, pytest.approx(700)) and got[0] == (1, pytest.approx(2300))
     whole = {r.y: (r.n, r.w) for r in panel.class_sample(rows).groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
     assert whole == {1: (700, pytest.approx(700)), 0: (2300, pytest.approx(2300))}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_full_queries_draw_the_reference_numbers(spark, monkeypatch):
+    seen = []
+    real_counts, real_drawn = metrics.resample_counts, economics.drawn
+    monkeypatch.setattr(metrics, "resample_counts", lambda rows, n, *a, **b: seen.append(n) or real_counts(rows, n, *a, **b))
+    monkeypatch.setattr(economics, "drawn", lambda cases, n, *a, **b: seen.append(n) or real_drawn(cases, n, *a, **b))
+    for name in ("bootstrap_auc_ci", "paired_delta_auc", "event_recall_ci", "roi_distribution", "tornado", "operating_point_choice"):
+        catalog.QUERIES[f"{name}_full"](spark, SF)
+    assert seen == [300, 300, 300, 10_000, 2_000, 3_000]
+
+
+def test_roi_of_all_draws_against_brute_force(spark):
+    got = catalog.QUERIES["roi_distribution_full"](spark, SF).first()
+    rows = economics.value_terms(economics.drawn(economics.scenarios(spark, study_queries.BASE_CASE), 10_000, study_queries.SEED)).collect()
+    roi = np.array([r.roi for r in rows])
+    assert len(roi) == 10_000
+    assert [got.p5, got.p50, got.p95, got.p_positive] == pytest.approx([*np.quantile(roi, [0.05, 0.5, 0.95]), (roi > 0).mean()], abs=2e-6)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columns import Collection
+from .columns import MOST, Collection
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TEXTS = "doc_id long, kept binary, n_removed long"
@@ -253,6 +253,12 @@ def _collect(chunks: list[int], bodies: list[bytes], window: int) -> list[tuple]
     return rows
 
 
+def check_reach(window: int, gram: int) -> None:
+    """Pieces of 2 window - gram bytes must fit the columns' owners, and windows their common prefixes."""
+    if 2 * window - gram > 254 or window > MOST:
+        raise ValueError(f"window {window} with gram {gram}: pieces may have at most 254 bytes, windows {MOST}")
+
+
 def repeated_windows(chunks: DataFrame, window: int, gram: int, limit: int, finish, schema: str) -> DataFrame:
     """finish(chunk, boolean for each byte: it goes) -> Arrow table, for every chunk."""
     n = C.buckets(chunks.sparkSession)
@@ -340,6 +346,7 @@ def _kept(c: C.Chunk, gone: np.ndarray):
 
 def dedup_digests(df: DataFrame, window: int = 100, gram: int = 64, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes, removed bytes and runs, and the digest of what is left of each document."""
+    check_reach(window, gram)
 
     def finish(c, gone):
         rows = [(n, runs, hashlib.sha256(left).hexdigest()) for _, n, runs, left in _kept(c, gone)]
@@ -351,6 +358,7 @@ def dedup_digests(df: DataFrame, window: int = 100, gram: int = 64, limit: int =
 
 def dedup_bytes(df: DataFrame, window: int = 100, gram: int = 64, limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kept (binary), n_removed of each document."""
+    check_reach(window, gram)
 
     def finish(c, gone):
         rows = [(left, n) for _, n, _, left in _kept(c, gone)]

@@ -41,3 +41,10 @@ def test_texts_and_empty_table(spark):
     got = {r.doc_id: (bytes(r.kept), r.n_removed) for r in suffix.dedup_bytes(docs(spark, [(2, "xé" * 9), (1, "xé" * 9 + "y"), (3, None)]), 6, 3).collect()}
     assert got == {1: ("xéy".encode(), 24), 2: (b"", 27), 3: (b"", 0)}
     assert suffix.dedup_digests(docs(spark, [])).count() == 0
+
+
+def test_windows_beyond_the_columns_are_refused():
+    for window, gram in ((200, 64), (252, 252)):
+        for dedup in (suffix.dedup_bytes, suffix.dedup_digests):
+            with pytest.raises(ValueError):
+                dedup(None, window, gram)

@@ -63,7 +63,7 @@ def world_vehicles(spark, sf_dir):
 @query()
 def world_days(spark, sf_dir):
     """Readings and events of a small synthetic fleet by vehicle."""
-    _, signals, events = world.build(spark, world.World(vehicles=40, days=60))
+    _, signals, events = world.build(spark, world.World.profile("small"))
     n = events.groupBy("vehicle_id").agg(F.count("*").alias("events"))
     return signals.groupBy("vehicle_id").agg(F.count("*").alias("days"), F.sum(F.col("active").cast("int")).alias("active"), F.avg("pad_wear").alias("pad_wear")).join(n, "vehicle_id", "left")
 

@@ -35,3 +35,8 @@ def test_roi_of_all_draws_against_brute_force(spark):
     roi = np.array([r.roi for r in rows])
     assert len(roi) == 10_000
     assert [got.p5, got.p50, got.p95, got.p_positive] == pytest.approx([*np.quantile(roi, [0.05, 0.5, 0.95]), (roi > 0).mean()], abs=2e-6)
+
+
+def test_world_days_cover_the_smallest_profile(spark):
+    rows = catalog.QUERIES["world_days"](spark, SF).collect()
+    assert len(rows) == 600 and max(r.days for r in rows) > 60

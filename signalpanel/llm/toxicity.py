@@ -14,8 +14,9 @@
    the sum over significant segments, come from labelled documents that the log-odds did not see.
 
 Scores depend on text alone. The model is fitted on at most `max_labelled` labelled
-documents, chosen by a hash of the id, and keeps at most `max_terms` scored terms; both
-bound what is broadcast. All documents are scored in one pass without a shuffle.
+documents, chosen by a hash of the id, and keeps every term of theirs that scores or that
+keeps its beginning from scoring; so what is broadcast is bounded by that sample. All
+documents are scored in one pass without a shuffle, very long texts in linear time.
 
 Null and empty texts have no segment; rows without an id are never fitted on; a label
 table without rows of both classes gives every text the score of its base rate, at
@@ -29,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -86,8 +87,11 @@ def slices(batches, limit: int = 1 << 20):
 
 
 def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """Every maximal-scoring segment (first token, last token, score) of a text whose other tokens score -drift."""
-    found: list[list] = []  # [first, last, sum before it, sum through it]
+    """Every maximal-scoring segment (first token, last token, score) of a text whose other tokens score -drift.
+
+    Each candidate keeps the place of the last candidate before it whose left sum is smaller. A search follows these links,
+    and never again meets what it has passed, so the scan is linear in the tokens given."""
+    first, last, left, right, link = [], [], [], [], []  # of the candidates: tokens, sums before and through them, links
     total, before = 0.0, -1
     for p, s in zip(at, score):
         total -= drift * (p - before - 1)
@@ -95,16 +99,20 @@ def segments(at: list[int], score: list[float], drift: float) -> list[tuple[int,
         if s <= 0:
             total += s
             continue
-        new = [p, p, total, total + s]
+        a, low = p, total
         total += s
+        j = len(left) - 1
         while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
-            if j is None or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and left[j] >= low:
+                j = link[j]
+            if j < 0 or right[j] >= total:
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, r - left) for a, b, left, r in found]
+            a, low = first[j], left[j]  # the candidate and all after it become one with the new one
+            k, j = j, link[j]
+            del first[k:], last[k:], left[k:], right[k:], link[k:]
+        for column, value in zip((first, last, left, right, link), (a, p, low, total, j)):
+            column.append(value)
+    return [(a, b, r - x) for a, b, x, r in zip(first, last, left, right)]
 
 
 class Model:
@@ -153,11 +161,35 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _logit(p):
-    return np.log(p / (1 - p))
+def evidence(n: str, t: str, prior: Column, base: float) -> Column:
+    """Posterior log-odds of a term that t of n texts marked toxic hold, against the base, less CAUTION standard errors and the drift."""
+    hits, misses = F.col(t) + PRIOR * prior, F.col(n) - F.col(t) + PRIOR * (1 - prior)
+    return F.log(hits / misses) - math.log(base / (1 - base)) - CAUTION * F.sqrt(1 / hits + 1 / misses) - DRIFT
+
+
+def table(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of term, value: as many as the bounded sample of labelled texts holds."""
+    got = terms.toPandas()
+    keys, value = got.term.to_numpy(np.int64).view(C.U64), got.value.to_numpy(float)
+    order = np.argsort(keys)
+    return keys[order], value[order]
+
+
+def decay(score: np.ndarray, weight: np.ndarray) -> float:
+    """The positive solution lambda of sum(weight exp(lambda score)) = sum(weight), between 0.001 and 20."""
+    lo, hi = 1e-3, 20.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (weight * np.expm1(np.minimum(mid * score, 600))).sum() < 0 else (lo, mid)
+    return lo
+
+
+def extent(lam: float, size: np.ndarray, best: np.ndarray, weight: np.ndarray) -> float:
+    """The maximum-likelihood K of texts of these sizes and best scores, each `weight` times."""
+    return float(weight.sum()) / max(1e-9, float((weight * np.maximum(size, 1) * np.exp(-lam * best)).sum()))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max_terms: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows given; `labels` has doc_id and toxic."""
     C.bound_batches(documents.sparkSession)
     ids = F.col("doc_id").cast("long")
@@ -190,39 +222,21 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if i == 0 else x.view(np.int64) if x.dtype == C.U64 else x.astype(np.int64)) for i, x in enumerate(cols)], ["kind", "term", "parent", "n", "t"])
 
     counts = joined.where("counted").mapInArrow(count, "kind int, term long, parent long, n long, t long")
-    counts = counts.groupBy("kind", "term", "parent").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    # terms of which at least two documents tell something, those with most toxic documents above their share first
-    share = counts.where("t >= 2 OR kind = 2").withColumn("gain", F.col("t") * F.col("t") / F.col("n"))
-    got = share.orderBy((F.col("kind") == 2).desc(), F.col("gain").desc(), "kind", "term").limit(max_terms + 1).toPandas()
-    total = got[got.kind == 2]
-    n_all, t_all = (int(total.n.sum()), int(total.t.sum())) if len(total) else (0, 0)
+    counts = C.saved(counts.groupBy("kind", "term", "parent").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    total = counts.where("kind = 2").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    n_all, t_all = total.n or 0, total.t or 0
     base = (t_all + 0.5) / (n_all + 1.0)
     model = Model(base)
     if not 0 < t_all < n_all:
         return model
-    pre = got[got.kind == 1].sort_values("term")
-    mean = lambda rows, prior: (rows.t + PRIOR * prior) / (rows.n + PRIOR)
-    words = got[got.kind == 0]
+    # a word that a toxic text holds begins as one does, so words of other beginnings say nothing and have no prefix that does
+    pre = counts.where("kind = 1 AND t > 0").select(F.col("term").alias("parent"), evidence("n", "t", F.lit(base), base).alias("by_prefix"), ((F.col("t") + PRIOR * base) / (F.col("n") + PRIOR)).alias("prior"))
     # a prior near certainty would leave a few documents nothing to say
-    by_prefix = dict(zip(pre.term, mean(pre, base).clip(upper=0.9)))
-
-    def evidence(rows, prior):
-        """Keys and scores: posterior log-odds against the base, less CAUTION standard errors and the drift."""
-        hits, misses = rows.t + PRIOR * prior, rows.n - rows.t + PRIOR * (1 - prior)
-        value = np.log(hits / misses) - _logit(base) - CAUTION * np.sqrt(1 / hits + 1 / misses) - DRIFT
-        return rows.term.to_numpy(np.int64).view(C.U64), value.to_numpy(float)
-
-    def table(rows, prior):
-        keys, value = evidence(rows, prior)
-        order = np.argsort(keys)
-        keep = order[value[order] > 0]
-        return keys[keep], value[keep]
-
-    model.prefix, model.prefix_score = table(pre, base)
+    words = counts.where("kind = 0").join(pre, "parent").withColumn("value", evidence("n", "t", F.least("prior", F.lit(0.9)), base))
     # words that say less than the base are left to count as drift, and keep their prefix from speaking for them
-    keys, value = evidence(words, words.parent.map(by_prefix).fillna(base))
-    order = np.argsort(keys)
-    model.word, model.word_score = keys[order], np.maximum(value, -DRIFT)[order]
+    words = words.where((F.col("value") > -DRIFT) | (F.col("by_prefix") > 0)).select("term", F.greatest("value", F.lit(-DRIFT)).alias("value"))
+    model.word, model.word_score = table(words)
+    model.prefix, model.prefix_score = table(pre.where("by_prefix > 0").select(F.col("parent").alias("term"), F.col("by_prefix").alias("value")))
 
     def features(batches, m=model):
         """Token scores of clean texts as a histogram (kind 0), best segment of each text (kind 1)."""
@@ -238,21 +252,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.float64()) for i in (1, 2, 3))], ["kind", "a", "b", "y"])
 
     apart = joined.where("NOT counted")
-    seen = apart.mapInArrow(features, "kind int, a double, b double, y double")
-    tokens = seen.where("kind = 0").groupBy("a").agg(F.sum("b").alias("b")).toPandas()  # scores to one decimal: a few hundred rows
-    best = seen.where("kind = 1").select("a", "b", "y").toPandas()  # of the sample: at most max_labelled rows
-    if not len(best) or not 0 < best.y.sum() < len(best):
+    seen = C.saved(apart.mapInArrow(features, "kind int, a double, b double, y double").groupBy("kind", "a", F.when(F.col("kind") == 1, F.col("b")).alias("best"), "y").agg(F.sum("b").alias("b"), F.count("*").alias("n")))
+    tokens = seen.where("kind = 0").toPandas()  # scores to one decimal: a few hundred rows
+    best = seen.where("kind = 1").toPandas()  # equal texts are one row, so at most as many as labelled texts
+    if not len(best) or best.y.nunique() < 2:
         return model
     # one pseudo-token at each positive level, so that lambda is finite where clean texts show none
-    score = np.concatenate([tokens.a, np.arange(0.5, 6, 0.5)])
-    weight = np.concatenate([tokens.b, np.full(11, 0.5)])
-    lo, hi = 1e-3, 20.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (weight * np.expm1(np.minimum(mid * score, 600))).sum() < 0 else (lo, mid)
-    model.lam = lo
+    model.lam = decay(np.concatenate([tokens.a, np.arange(0.5, 6, 0.5)]), np.concatenate([tokens.b, np.full(11, 0.5)]))
     clean = best[best.y == 0]
-    model.k = len(clean) / max(1e-9, float((clean.a.clip(lower=1) * np.exp(-model.lam * clean.b)).sum()))
+    model.k = extent(model.lam, clean.a.to_numpy(), clean.best.to_numpy(), clean.n.to_numpy())
 
     def figures(batches, m=model):
         for batch in slices(batches):
@@ -260,18 +268,19 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 40_000, max
             best, total = zip(*(x[3] for x in m.found(batch.column(2))))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (best, total, y)], ["best", "total", "y"])
 
-    at = apart.mapInArrow(figures, "best double, total double, y double").toPandas()  # of the sample
-    model.curve = logistic(at[["best", "total"]].to_numpy(), at.y.to_numpy())
+    at = apart.mapInArrow(figures, "best double, total double, y double").groupBy("best", "total", "y").count().toPandas()  # of the sample
+    at = at.sort_values(["best", "total", "y"])  # sums in one order whatever the partitions
+    model.curve = logistic(at[["best", "total"]].to_numpy(), at.y.to_numpy(), at["count"].to_numpy())
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Intercept and slopes by Newton steps; the ridge keeps separable data finite."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Intercept and slopes of weighted rows by Newton steps; the ridge keeps separable data finite."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (weight * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
     return tuple(map(float, w))
 

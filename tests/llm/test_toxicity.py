@@ -1,5 +1,10 @@
 import itertools
+import math
 import random
+import time
+
+import numpy as np
+import pyarrow as pa
 
 from signalpanel.llm import queries, toxicity
 
@@ -68,3 +73,50 @@ def test_scores_do_not_depend_on_slices(spark):
     model = toxicity.fit(docs(spark, rows).coalesce(1), labels)
     got = toxicity.score_documents(docs(spark, rows), model).join(labels, "doc_id")
     assert got.where("predicted <> toxic").count() == 0
+
+
+def test_scan_is_linear():
+    """A very long text whose sums fall with every hit, and one whose sums rise and fall."""
+    n = 200_000
+    began = time.process_time()
+    assert len(toxicity.segments(list(range(0, 20 * n, 20)), [1.0] * n, 0.25)) == n
+    assert len(toxicity.segments(list(range(n)), [1.0 if i % 2 else -2.0 for i in range(n)], 0.25)) == n // 2
+    assert time.process_time() - began < 10
+
+
+def test_every_telling_term_scores(spark):
+    """More terms than any fixed list would hold: each of 60,000 words of toxic texts alone marks a text."""
+    n, each = 60_000, 1000
+    word = lambda k: f"{k % 90_007:05d}x{k}"
+    rows = [(i, " ".join(word(k) for k in range(i * each % n, i * each % n + each))) for i in range(0, 12 * n // each)] + [(10**6 + i, f"plain{i % 50} text") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i < 10**6)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    assert sum(model.token_scores(toxicity.Tokens(pa.array([word(k)])))[1].sum() > 0 for k in range(0, n, 7)) == len(range(0, n, 7))
+
+
+def test_repeated_rows_of_a_labelled_id_count(spark):
+    """Rows of one id are texts of their own; equal ones are one row where the calibration is collected."""
+    rows = [(i % 40, ("grim " if i % 40 < 10 else "") + "plain text") for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    assert [x.predicted for x in toxicity.score_documents(docs(spark, [(1, "grim tale"), (2, "plain tale")]), model).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_extreme_value_constants():
+    """lambda by its equation; K makes the law's likelihood of the best scores largest, by a fine search."""
+    score, weight = np.array([-0.25, 0.5, 2.0, 4.0]), np.array([900.0, 20.0, 5.0, 1.0])
+    lam = toxicity.decay(score, weight)
+    assert lam > 0.01 and abs((weight * np.exp(lam * score)).sum() / weight.sum() - 1) < 1e-9
+    size, best, times = np.array([10.0, 200.0, 40.0]), np.array([1.0, 6.0, 0.0]), np.array([3.0, 1.0, 2.0])
+    k = toxicity.extent(lam, size, best, times)
+    # density of exp(-k m exp(-lam x)) in x, up to what does not depend on k
+    like = lambda k: (times * (math.log(k) - k * size * np.exp(-lam * best))).sum()
+    assert like(k) >= max(like(k * f) for f in np.linspace(0.2, 5, 997)) - 1e-9
+
+
+def test_curve_equals_a_plain_search():
+    x, y = np.array([[0.0, 0.0], [1.0, 0.5], [3.0, 2.0], [4.0, 1.0]]), np.array([0.0, 1.0, 0.0, 1.0])
+    weight = np.array([50.0, 3.0, 2.0, 9.0])
+    cost = lambda w: sum(n * math.log1p(math.exp(-(2 * t - 1) * (w[0] + w[1] * a + w[2] * b))) for (a, b), t, n in zip(x, y, weight)) + 0.005 * sum(v * v for v in w)
+    w = list(toxicity.logistic(x, y, weight))
+    assert all(cost(w) <= cost([v + (d if i == j else 0) for j, v in enumerate(w)]) for i in range(3) for d in (-1e-3, 1e-3))

@@ -7,28 +7,29 @@ cell is kept, by a hash of its id. Expected tokens of every margin are `keep` ti
 target, wherever the bound allows the target.
 
 All steps are DataFrame functions. Documents are read, aggregated with partial sums, and
-joined with the raked cells; cells are broadcast only while there are at most
-`BROADCAST_CELLS` of them and joined otherwise. Raking runs in one task while the cells
-are that few, in shuffled windows otherwise.
+joined with the raked cells. Raking adds up margins with partial sums and joins them with
+the cells: up to `TASK_CELLS` cells lie in one partition, where this takes no shuffle, and
+are broadcast to the documents; more are shuffled and joined, by the same steps.
 
 A topic column is used if there is one; else the topic is what a whole text's characters
 say: ``tabular`` (a hundredth or more are | or tabs), ``numeric`` (a twentieth or more are
 digits), ``marked`` (a twentieth or more are symbols), else ``prose``. Null sources,
 languages and topics form a value of their own; null and empty texts have no tokens and
-are kept at the rate `keep`; a null id draws like the text 'null', rows of equal id draw
-alike; an empty table gives no rows; further columns stay as they are.
+are kept at the rate `keep`; texts count whole, however long; a null id draws like the text
+'null', rows of equal id draw alike; an empty table gives no rows; further columns stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
-BROADCAST_CELLS = 50_000
+#: A cell has some hundred bytes; so many are a few MB.
+TASK_CELLS = 50_000
 #: Powers that shares are raised to for targets: below 1, large shares give way to small ones.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 SYMBOLS = "!#$%&*+/<=>@[]^_`{}~"
@@ -58,34 +59,38 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     return df.withColumns({k: F.coalesce(v, F.lit(NONE)) for k, v in named.items()} | {"__mix_tokens": words, "__mix_draw": draw(F.col(id_col), seed)})
 
 
-def rake(cells: DataFrame, powers: dict[str, float], bound: float, rounds: int) -> DataFrame:
-    """source, lang, topic, tokens -> the same and factor: raked tokens over tokens."""
-    whole = Window.partitionBy(F.lit(1))
+def rake(cells: DataFrame, powers: dict[str, float], bound: float, rounds: int, settled: float = 1e-13) -> DataFrame:
+    """source, lang, topic, tokens -> the same and factor: raked tokens over tokens.
+
+    Rounds end early once none moves a cell by more than the share `settled` of itself."""
+    whole = cells.agg(F.sum("tokens")).scalar()
     for m in MARGINS:
-        total = F.sum("tokens").over(Window.partitionBy(m))
-        cells = cells.withColumn(f"p_{m}", F.pow(total / F.sum("tokens").over(whole), F.lit(powers[m])))
-        # a margin's target: its tempered share, once for each value, over the sum of all values
-        first = F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1
-        cells = cells.withColumn("one", F.when(first, F.col(f"p_{m}")).otherwise(0.0))
-        cells = cells.withColumn(f"t_{m}", F.col(f"p_{m}") / F.sum("one").over(whole) * F.sum("tokens").over(whole))
-    cells = cells.withColumn("x", F.col("tokens").cast("double"))
-    for turn in range(rounds):
-        if turn % 3 == 0:  # a plan of all rounds would be too deep
-            cells = saved(cells)
+        # a margin's target: its tempered share over the sum of all of its values' shares
+        own = cells.groupBy(m).agg(F.pow(F.sum("tokens") / whole, F.lit(powers[m])).alias("p"))
+        cells = cells.join(own.select(m, (F.col("p") / own.agg(F.sum("p")).scalar() * whole).alias(f"t_{m}")), m)
+    cells = saved(cells.withColumn("x", F.col("tokens").cast("double")))
+    for _ in range(rounds):
+        cells = cells.withColumn("before", F.col("x"))
         for m in MARGINS:
-            cells = cells.withColumn("x", F.least(F.col("x") * F.col(f"t_{m}") / F.sum("x").over(Window.partitionBy(m)), F.col("tokens") * F.lit(bound)))
+            cells = cells.join(cells.groupBy(m).agg(F.sum("x").alias("sum")), m)  # partial sums and a join, no window
+            cells = cells.withColumn("x", F.least(F.col("x") * F.col(f"t_{m}") / F.col("sum"), F.col("tokens") * F.lit(bound))).drop("sum")
+        cells = saved(cells)  # a plan of all rounds would be too deep
+        if not cells.where(F.abs(F.col("x") - F.col("before")) > F.col("before") * settled).limit(1).count():
+            break
+        cells = cells.drop("before")
     return cells.select(*MARGINS, "tokens", (F.col("x") / F.col("tokens")).alias("factor"))
 
 
-def with_probability(rows: DataFrame, keep: float = 0.5, powers: dict[str, float] = POWERS, rounds: int = 12) -> DataFrame:
+def with_probability(rows: DataFrame, keep: float = 0.5, powers: dict[str, float] = POWERS, rounds: int = 12, task_cells: int = TASK_CELLS) -> DataFrame:
     """Rows that have features(), with __mix_factor and __mix_probability."""
     named = [F.col(f"__mix_{m}").alias(m) for m in MARGINS]
     cells = rows.groupBy(*named).agg(F.sum("__mix_tokens").alias("tokens")).where("tokens > 0")
     cells = saved(cells)
-    few = cells.count() <= BROADCAST_CELLS
-    raked = saved(rake(cells.coalesce(1) if few else cells, powers, 1 / keep, rounds))
+    n = cells.count()
+    # one partition needs no shuffle for any of the sums and joins, more share them
+    raked = saved(rake(cells.coalesce(1) if n <= task_cells else cells, powers, 1 / keep, rounds))
     factors = raked.select(*(F.col(m).alias(f"__mix_{m}") for m in MARGINS), F.col("factor").alias("__mix_factor"))
-    out = rows.join(F.broadcast(factors) if few else factors, [f"__mix_{m}" for m in MARGINS], "left")
+    out = rows.join(F.broadcast(factors) if n <= task_cells else factors, [f"__mix_{m}" for m in MARGINS], "left")
     factor = F.when(F.col("__mix_tokens") > 0, F.col("__mix_factor")).otherwise(F.lit(1.0))
     return out.withColumn("__mix_factor", factor).withColumn("__mix_probability", F.least(F.lit(1.0), F.col("__mix_factor") * F.lit(keep)))
 

@@ -47,3 +47,17 @@ def test_bound_rows_and_columns(spark):
     assert mixing.plan(docs(spark, [])).count() == 0
     topics = {r.topic: r.n for r in got.groupBy("topic").agg(F.count("*").alias("n")).collect()}
     assert set(topics) == {"prose", "numeric", "tabular", "marked"}
+
+
+def test_many_cells_are_raked_alike(spark):
+    """The plan for more cells than one task takes, and very long texts."""
+    df = table(spark).unionByName(spark.createDataFrame([(9000, "long " * 400_000, "en", "s1", 1, 9, 1.0, 1)], SCHEMA))
+    rows = lambda got: sorted(map(str, got.collect()))
+    assert rows(mixing.plan(df, keep=0.7)) == rows(mixing.plan(df, keep=0.7, task_cells=0))
+    assert mixing.plan(df).where("doc_id = 9000").first().n_tokens == 400_000
+
+
+def test_raking_ends_when_settled(spark):
+    df = mixing.features(table(spark))
+    a, b = (sorted((str(r[:4]), round(r.factor, 12)) for r in mixing.rake(cells, mixing.POWERS, 2.0, n).collect()) for n in (60, 400) for cells in [df.groupBy(*(F.col(f"__mix_{m}").alias(m) for m in mixing.MARGINS)).agg(F.sum("__mix_tokens").alias("tokens")).where("tokens > 0").coalesce(1)])
+    assert a == b

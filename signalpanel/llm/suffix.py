@@ -20,8 +20,9 @@ is possible, which have at most 2 window - gram bytes:
    hold, would make one large collection: beyond `limit` distinct pieces their windows are
    looked up one by one, as pieces of a single window, in an exchange of their own.
 
-Texts are shuffled once and chunks exchange packed hashes, so hot passages cost an entry
-a chunk. Hashes have 64 bits, and a common prefix compares bytes.
+Texts are shuffled once and chunks exchange packed hashes. Of equal pieces, and of equal
+windows in step 4, a chunk sends its earliest and settles the others itself, so passages that
+very many documents hold cost an entry a chunk. Hashes have 64 bits, and a common prefix compares bytes.
 
 Null texts are empty; shorter texts than a window lose nothing; of equal ids the order of
 reading decides, null ids come first; repeated rows lose all but the first; an empty table
@@ -152,6 +153,14 @@ def _by_bucket(key: np.ndarray, n: int):
         yield int(of[at[0]]), at
 
 
+def _firsts(key: np.ndarray, piece: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Ascending numbers of the earliest entry of each key and piece."""
+    order = np.lexsort((place, doc, piece, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (piece[order[1:]] != piece[order[:-1]])
+    return np.sort(order[new])
+
+
 def _entries(chunk: int, key: np.ndarray, others: list[np.ndarray], n: int):
     """Rows of PIECES of kind 0 that carry the columns of an entry."""
     kinds = ENTRY[: 1 + len(others)]
@@ -278,31 +287,51 @@ def repeated_windows(chunks: DataFrame, window: int, gram: int, limit: int, fini
         keys, inverse = np.unique(a.gram, return_inverse=True)
         return a, np.flatnonzero(C.read_reply(of(replies, 1), keys, n, many_only=True)[inverse]) if len(keys) else inverse
 
+    def earliest(a: Anchors, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' hashes, and the places in `at` of the chunk's earliest anchor with each piece; all others go."""
+        piece = a.hashes(a.first[at], a.last[at] + window)
+        return piece, _firsts(a.gram[at], piece, a.ids()[a.doc[at]], a.first[at])
+
     def to_pieces(c, replies):
         a, at = live(c, replies)
-        rows = _entries(c.chunk, a.gram[at], [a.hashes(a.first[at], a.last[at] + window), a.ids()[a.doc[at]], a.first[at], *a.sides(at)], n) if len(at) else []
-        return _table(rows, PIECES)
+        if not len(at):
+            return _table([], PIECES)
+        piece, some = earliest(a, at)
+        at = at[some]
+        return _table(_entries(c.chunk, a.gram[at], [piece[some], a.ids()[a.doc[at]], a.first[at], *a.sides(at)], n), PIECES)
 
     def verdicts(c, replies) -> tuple[Anchors, np.ndarray, np.ndarray]:
         a, at = live(c, replies)
         said = {b: r for b, r in zip(of(replies, 2).column("bucket").to_pylist(), of(replies, 2).column("reply").to_pylist())}
-        out = np.zeros(len(at), np.uint8)
-        for b, some in _by_bucket(a.gram[at], n) if len(at) else []:
-            out[some] = np.frombuffer(zstandard.decompress(said[b]), np.uint8)
+        out = np.full(len(at), GOES, np.uint8)
+        if len(at):
+            first = earliest(a, at)[1]
+            for b, some in _by_bucket(a.gram[at[first]], n):
+                out[first[some]] = np.frombuffer(zstandard.decompress(said[b]), np.uint8)
         return a, at, out
 
+    def sides(a: Anchors, at: np.ndarray, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of an anchor's windows, first and last of those on the sides that another piece has too."""
+        lo = np.where(verdict & LEFT, a.first[at], np.maximum(a.first[at], a.anchor[at] - a.reach))
+        return lo, np.where(verdict & RIGHT, a.last[at], np.minimum(a.last[at], a.anchor[at] - a.reach - 1))
+
+    def singles(a: Anchors, at: np.ndarray, verdict: np.ndarray):
+        """Hash, document id and start of the windows that are looked up one by one, and the chunk's earliest of each hash."""
+        single = (verdict & SINGLE) > 0
+        lo, hi = (x[single] for x in sides(a, at, verdict))
+        size = hi - lo + 1
+        start = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        h, doc = a.hashes(start, start + window), np.repeat(a.ids()[a.doc[at[single]]], size)
+        return h, doc, start, _firsts(h, h, doc, start)
+
     def to_collections(c, replies):
         a, at, verdict = verdicts(c, replies)
         rows, ids = [], a.ids()
-        # of an anchor's windows, those on the sides that another piece has too
-        lo = np.where(verdict & LEFT, a.first[at], np.maximum(a.first[at], a.anchor[at] - a.reach))
-        hi = np.where(verdict & RIGHT, a.last[at], np.minimum(a.last[at], a.anchor[at] - a.reach - 1))
+        lo, hi = sides(a, at, verdict)
         single = (verdict & SINGLE) > 0
         if single.any():
-            size = hi[single] - lo[single] + 1
-            start = np.repeat(lo[single], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            h = a.hashes(start, start + window)
-            rows += _entries(c.chunk, h, [h, np.repeat(ids[a.doc[at[single]]], size), start], n)
+            h, doc, start, first = singles(a, at, verdict)
+            rows += _entries(c.chunk, h[first], [h[first], doc[first], start[first]], n)
         collect = np.flatnonzero(((verdict & (RIGHT | LEFT)) > 0) & ~single)
         some, lo, hi = at[collect], lo[collect], hi[collect]
         for b, k in _by_bucket(a.gram[some], n) if len(some) else []:
@@ -318,8 +347,12 @@ def repeated_windows(chunks: DataFrame, window: int, gram: int, limit: int, fini
         gone = at[verdict == GOES]
         np.add.at(edge, a.first[gone], 1)
         np.add.at(edge, a.last[gone] + window, -1)
-        for raw in of(replies, 3).column("reply").to_pylist():
-            start = np.frombuffer(zstandard.decompress(raw), np.uint32).astype(np.int64)
+        again = []
+        if ((verdict & SINGLE) > 0).any():
+            _, _, start, first = singles(a, at, verdict)
+            again.append(np.delete(start, first))
+        again += [np.frombuffer(zstandard.decompress(raw), np.uint32).astype(np.int64) for raw in of(replies, 3).column("reply").to_pylist()]
+        for start in again:
             np.add.at(edge, start, 1)
             np.add.at(edge, start + window, -1)
         return finish(c, np.cumsum(edge[:-1]) > 0)

@@ -17,9 +17,11 @@ links, never pairs.
    counted so far; a subtree is left where overlap plus what remains of the set and of the
    subtree's longest set cannot reach the bound for the subtree's shortest set, and where
    all of its sets are known to be in the component of the one that is looked up.
-4. A group of more than `limit` nodes is split. Each node is compared with the group's
-   first; those that link are one component already. The others are looked up in blocks of
-   at most `limit` nodes that together hold the whole group, so nothing is lost.
+4. A group of more than `limit` nodes is split. Each node is compared with the group's most
+   typical one, whose n-grams are the most frequent on average: of a family of near copies that
+   is the text they come from. Those that link with it are one component already. The others
+   are looked up, at most `limit` at once, in blocks of at most `limit` nodes that together
+   hold the whole group, so nothing is lost and no task holds more than two blocks.
 5. Components of all links found.
 
 Words are runs of bytes other than white space, A-Z lower-cased; a text of fewer words
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-SETS = "doc_id long, n_shingles long, key long, grams binary, ranks binary, digest long"
+SETS = "doc_id long, n_shingles long, key long, grams binary, ranks binary, typical double, digest long"
 
 
 class Sets:
@@ -214,6 +216,7 @@ def _sets(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> Da
         full = np.flatnonzero(size)
         if len(full):
             name[full] = C.mix(np.add.reduceat(C.mix(s.gram), s.cut[full]) + size[full].astype(C.U64))
+        total = np.concatenate([[0], np.cumsum(cls, dtype=np.int64)])[s.cut]
         grams, ranks = [], []
         for lo, hi in zip(s.cut[:-1], s.cut[1:]):
             many = np.flatnonzero(count[lo:hi] > 1) + lo
@@ -227,6 +230,7 @@ def _sets(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> Da
         return pa.table({
             "doc_id": C.id_array(c.ids), "n_shingles": pa.array(size.astype(np.int64)), "key": pa.array(name.view(np.int64), mask=size == 0),
             "grams": pa.array(grams, pa.binary()), "ranks": pa.array(ranks, pa.binary()),
+            "typical": pa.array(np.diff(total) / np.maximum(size, 1)),
             "digest": pa.array(np.array([xxhash.xxh64_intdigest(c.text(i), 42) for i in range(len(c))], C.U64).view(np.int64)),
         })
 
@@ -257,8 +261,8 @@ def set_links(nodes: DataFrame, percent: int, limit: int) -> DataFrame:
     small = rows.where(F.col("size") <= limit).withColumn("start", F.col("key")).withColumn("asks", F.lit(True)).withColumn("block", F.lit(0))
 
     large = C.saved(rows.where(F.col("size") > limit))
-    # the group's first set, to every node of the group: a join, not one task
-    head = large.groupBy("grp").agg(F.min_by(F.struct("key", "n_shingles", "grams"), "key").alias("head"))
+    # the group's most typical set, to every node of the group: a join, not one task
+    head = large.groupBy("grp").agg(F.min_by(F.struct("key", "n_shingles", "grams"), F.struct(-F.col("typical"), "key")).alias("head"))
 
     def beside_head(batches):
         for batch in batches:
@@ -273,13 +277,15 @@ def set_links(nodes: DataFrame, percent: int, limit: int) -> DataFrame:
     schema = "key long, n_shingles long, grams binary, ranks binary, grp long, size long, start long, asks boolean"
     large = large.join(head, "grp").select("key", "n_shingles", "grams", "ranks", "grp", "size", "head").mapInArrow(beside_head, schema)
     large = C.saved(large)
-    blocks = F.ceil(F.col("size") / limit).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    every = F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    dealt = large.withColumn("own", own).withColumn("block", F.explode(every)).withColumn("member", F.col("own") == F.col("block"))
-    columns = ["grp", "block", "key", "n_shingles", "grams", "ranks", "start", "asks", "member"]
-    dealt = dealt.select(columns).unionByName(small.withColumn("member", F.lit(True)).select(columns))
-    found = dealt.groupBy("grp", "block").applyInArrow(_join_group(percent), EDGES)
+    asking = large.where("asks").groupBy("grp").agg(F.ceil(F.count("*") / limit).cast("int").alias("askers"))
+    dealt = large.join(asking, "grp").withColumns({"blocks": F.ceil(F.col("size") / limit).cast("int")})  # groups without askers are done
+    of = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["grp", "block", "asker", "key", "n_shingles", "grams", "ranks", "start", "asks", "member"]
+    members = dealt.withColumns({"block": of("blocks", 1), "asker": every("askers"), "asks": F.lit(False), "member": F.lit(True)})
+    askers = dealt.where("asks").withColumns({"block": every("blocks"), "asker": of("askers", 2), "member": F.lit(False)})
+    dealt = small.withColumns({"asker": F.lit(0), "member": F.lit(True)}).select(columns).unionByName(members.select(columns)).unionByName(askers.select(columns))
+    found = dealt.groupBy("grp", "block", "asker").applyInArrow(_join_group(percent), EDGES)
     return found.unionByName(large.where("start <> key").select(F.col("key").alias("a"), F.col("start").alias("b")))
 
 
@@ -287,7 +293,7 @@ def _named(df: DataFrame, n: int, percent: int, limit: int, id_col: str, text_co
     """The sets of all rows, and key, component of every set."""
     sets = C.saved(_sets(df, n, percent, id_col, text_col))
     C.release(df.sparkSession)  # the packed texts and the exchange have served
-    nodes = C.saved(sets.where("grams IS NOT NULL").select("key", "n_shingles", "grams", "ranks").dropDuplicates(["key"]))
+    nodes = C.saved(sets.where("grams IS NOT NULL").select("key", "n_shingles", "grams", "ranks", "typical").dropDuplicates(["key"]))
     linked = components(C.saved(set_links(nodes, percent, limit)))
     keys = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"))
     return sets, keys.join(linked, keys["key"] == linked["node"], "left").withColumn("component", F.coalesce("component", "key"))

@@ -2,7 +2,7 @@
 
 1. Equal vectors of one label are one node with a multiplicity (grouped with partial
    sums, so a vector that a third of all rows share is one row).
-2. Spherical k-means on a bounded sample, chosen by hash, gives cells. Every node is
+2. Spherical k-means on a bounded sample, chosen by hash, gives cells for each vector length. Every node is
    indexed in the cell of its nearest centre.
 3. For unit vectors at cosine t or more, |x - y| <= sqrt(2 - 2t). If x lives in cell a
    and y in cell b, (x - y).(a - b) is the sum of both nodes' shortfalls, so at least
@@ -113,25 +113,18 @@ def compare(cells: Cells, threshold: float, query: dict, index: dict, step: int
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, cells: int | None = None, margin: float | None = None, sample: int = 20_000, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    v = F.col(vector_col).cast("array<double>")
+    # single precision, where the table has it, until the products: half the bytes of a shuffle
+    kind = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("x"))
     finite = F.size("x") > 0
-    finite &= ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("x", lambda e: e != 0.0)
+    finite &= ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("x", lambda e: e != 0)
     rows = rows.withColumn("key", F.when(F.col("label").isNotNull() & F.col("x").isNotNull() & finite, F.xxhash64("label", "x")))
     rows = saved(rows)
     valid = rows.where("key IS NOT NULL")
     nodes = saved(valid.groupBy("key", "label", "x").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")))
-    edges, counted = [], []
-    n_nodes = nodes.count()
-    for (dim,) in nodes.select(F.size("x")).distinct().collect():  # a table has one length, or a few
-        links = saved(_links(nodes.where(F.size("x") == dim), dim, threshold, cells or max(1, min(1024, int(n_nodes**0.5 / 4))), margin, sample, block))
-        edges.append(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
-        counted.append(links.groupBy("key").agg(F.sum("links").alias("links")))
-    none = rows.limit(0)
-    pairs = none.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    links = none.select("key", F.col("key").alias("links"))
-    for x, y in zip(edges, counted):
-        pairs, links = pairs.unionByName(x), links.unionByName(y)
+    found = saved(_links(nodes, threshold, cells, margin, sample, block))
+    pairs, links = found.select(F.col("key").alias("a"), F.col("root").alias("b")), found.groupBy("key").agg(F.sum("links").alias("links"))
     found = components(pairs).withColumnRenamed("node", "key")
     own = nodes.select("key", "n", "least").join(links, "key", "left").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -141,40 +134,60 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, cells: int | None =
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _links(nodes: DataFrame, dim: int, threshold: float, cells: int, margin: float | None, sample: int, block: int) -> DataFrame:
-    """key, links, root of the nodes of one length that meet another; a key may come from several blocks."""
-    seen = nodes.select("key", "x").orderBy(F.xxhash64("key"), "key").limit(max(1, min(sample, (64 << 20) // (8 * dim)))).toPandas()
-    x = unit(np.stack(seen.x.to_numpy()).astype(np.float64))
-    grid = Cells(spherical_kmeans(x, min(cells, len(x))), threshold, margin)
+def _grids(nodes: DataFrame, threshold: float, cells: int | None, margin: float | None, sample: int) -> dict[int, Cells]:
+    """Cells of each vector length that a bounded sample holds; other lengths are rare and have one cell each."""
+    n, longest = nodes.agg(F.count("*"), F.max("dim")).first()
+    seen = nodes.select("key", "dim", "x").orderBy(F.xxhash64("key"), "key").limit(max(1, min(sample, (64 << 20) // (8 * (longest or 1))))).toPandas()
+    grids = {}
+    for dim, x in seen.groupby("dim").x:
+        x = unit(np.stack(x.to_numpy()).astype(np.float64))
+        share = n * len(x) / len(seen)
+        grids[int(dim)] = Cells(spherical_kmeans(x, min(cells or max(1, int(share**0.5 / 4)), max(1, len(x) // 8) if cells is None else len(x))), threshold, margin)
+    return grids
+
+
+def _links(nodes: DataFrame, threshold: float, cells: int | None, margin: float | None, sample: int, block: int) -> DataFrame:
+    """key, links, root of the nodes that meet another; a key may come from several blocks."""
+    nodes = nodes.withColumn("dim", F.size("x"))
+    grids = _grids(nodes, threshold, cells, margin, sample)
+
+    def dealt_cells(batches, column: int):
+        """For parts of a batch whose vectors have one length: its rows, their home cells, and the cells that they query."""
+        for big in batches:
+            length = np.diff(big.column(column).offsets.to_numpy())
+            for dim in np.unique(length):
+                rows = np.flatnonzero(length == dim)
+                for lo in range(0, len(rows), 4096):
+                    part = big.take(pa.array(rows[lo : lo + 4096]))
+                    if int(dim) in grids:
+                        yield part, *grids[int(dim)].probe(vectors(part.column(column), int(dim)))
+                    else:
+                        yield part, np.zeros(len(part), np.int64), np.ones((len(part), 1), bool)
 
     def deal(batches):
         """A row for each cell that a node queries; home says whether it is indexed there."""
-        for big in batches:
-            for lo in range(0, big.num_rows, 4096):
-                batch = big.slice(lo, 4096)
-                home, probe = grid.probe(vectors(batch.column(3), dim))
-                at, cell = np.nonzero(probe)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(4)), pa.array(cell.astype(np.int32)), pa.array(home[at] == cell)], ["key", "label", "n", "x", "cell", "home"])
+        for part, home, probe in dealt_cells(batches, 4):
+            at, cell = np.nonzero(probe)
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(at)) for i in range(5)), pa.array(cell.astype(np.int32)), pa.array(home[at] == cell)], ["key", "label", "n", "dim", "x", "cell", "home"])
 
     def deal_home(batches):
-        for big in batches:
-            for lo in range(0, big.num_rows, 4096):
-                batch = big.slice(lo, 4096)
-                home, _ = grid.probe(vectors(batch.column(1), dim))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home.astype(np.int32))], ["label", "cell"])
+        for part, home, _ in dealt_cells(batches, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(home.astype(np.int32))], ["label", "dim", "cell"])
 
-    sizes = nodes.select("label", "x").mapInArrow(deal_home, "label string, cell int").groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = nodes.select("key", "label", "n", "x").mapInArrow(deal, "key long, label string, n long, x array<double>, cell int, home boolean")
+    sizes = nodes.select("label", "dim", "x").mapInArrow(deal_home, "label string, dim int, cell int").groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = nodes.select("key", "label", "n", "dim", "x").mapInArrow(deal, f"key long, label string, n long, dim int, x {dict(nodes.dtypes)['x']}, cell int, home boolean")
     # cells without indexed nodes are queried in vain: the inner join drops those rows
-    dealt = dealt.join(sizes, ["label", "cell"])
+    dealt = dealt.join(sizes, ["label", "dim", "cell"])
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("indexed", F.col("home") & (F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")) == F.col("block")))
 
     def block_links(t: pa.Table) -> pa.Table:
+        dim = t.column("dim")[0].as_py()
         key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
         x, own = vectors(t.column("x"), dim), t.column("indexed").to_numpy().astype(bool)
         every = {"key": key, "n": n, "x": x}
+        grid = grids.get(dim) or Cells(x[:1], threshold, margin)  # one cell, which all query
         k, links, root = compare(grid, threshold, every, {name: v[own] for name, v in every.items()})
         return pa.table({"key": pa.array(k, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
 
-    return dealt.select("label", "cell", "block", "key", "n", "x", "indexed").groupBy("label", "cell", "block").applyInArrow(block_links, "key long, links long, root long")
+    return dealt.select("label", "dim", "cell", "block", "key", "n", "x", "indexed").groupBy("label", "dim", "cell", "block").applyInArrow(block_links, "key long, links long, root long")

@@ -273,6 +273,16 @@ def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == n else "<u4").astype(np.int64)
 
 
+def packed_totals(totals: np.ndarray) -> bytes:
+    """Four bytes each if they fit, else eight."""
+    return zstandard.compress(totals.astype("<u4" if not len(totals) or totals.max() < 2**32 else "<i8").tobytes(), 1)
+
+
+def unpacked_totals(raw: bytes, n: int) -> np.ndarray:
+    raw = zstandard.decompress(raw)
+    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<i8").astype(np.int64)
+
+
 def exchange_counts(requests: DataFrame, many_only: bool = False, narrow: bool = False) -> DataFrame:
     """For each request (a chunk's keys of one bucket), the totals of its keys over all chunks, in the keys' order.
 
@@ -285,7 +295,7 @@ def exchange_counts(requests: DataFrame, many_only: bool = False, narrow: bool =
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
         cuts = np.split(total, np.cumsum(sizes)[:-1])
-        reply = [np.packbits(x >= 2).tobytes() if many_only else zstandard.compress(np.minimum(x, 2**32 - 1).astype("<u4").tobytes(), 1) for x in cuts]
+        reply = [np.packbits(x >= 2).tobytes() if many_only else packed_totals(x) for x in cuts]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "reply": pa.array(reply, pa.binary())})
 
     return requests.groupBy("bucket").applyInArrow(run, REPLY)
@@ -298,7 +308,7 @@ def read_reply(replies: pa.Table, keys: np.ndarray, n_buckets: int, many_only: b
     out = []
     for b, n in zip(*np.unique(of, return_counts=True)):
         raw = got[int(b)]
-        out.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if many_only else np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int64))
+        out.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if many_only else unpacked_totals(raw, n))
     return np.concatenate(out) if out else np.zeros(0, bool if many_only else np.int64)
 
 

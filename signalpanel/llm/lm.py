@@ -3,27 +3,30 @@
 1. Counts. Every chunk sends its distinct words with their number in training documents
    to the buckets of a counting exchange, and gets their totals back: exact counts of
    all training documents for every word of every text, without a broadcast vocabulary.
-2. Model. The `classes` most frequent tokens, the end, and GROUPS classes that the other
-   words fall into by their last bytes are predicted from the two tokens before: the context's representations, each times its
-   position's matrix, add up to a predicted representation, whose product with a
-   class's own, plus its bias, is the class's score. Every word that training documents
-   hold `least` times or more is listed: as context it adds a representation of its own to
-   its class's, as target it is a leaf of its class's binary tree, each inner node of
-   which has a representation and a bias too. The list grows with the corpus.
+2. Classes. Every token that makes up at least `share` of the training tokens (at most
+   1 / share of them), the end, and GROUPS classes that the other words fall into by their
+   last bytes are predicted from the two tokens before: the context's representations,
+   each times its position's matrix, add up to a predicted representation, whose product
+   with a class's own, plus its bias, is the class's score.
 3. Training. Each round, every task takes its share of the training documents through
    Adam steps of noise-contrastive estimation in numpy, from the same parameters; the
-   tasks' parameters are averaged by tokens, slice by slice on the executors; listed words
-   and nodes are sent only where a task has met them, and averaged by how often. All
-   training documents are used.
-4. Scores. For the distinct contexts of a chunk, one batch of matrix products gives the
-   scores of all classes; their softmax, times the way down the class's tree, is the token's
-   probability. A word that is not listed has, within its group's leaf for such words,
-   probability (c + 1) / (N' + V' + 1), with N' and V' the tokens and distinct tokens of
-   that leaf, so all probabilities add up to one.
+   tasks' parameters are averaged by tokens, slice by slice, in a tree on the executors.
+   All training documents are used.
+4. Words. Every word that training documents hold `least` times or more has, as context, a
+   representation of its own beside its class's: a Newton step towards its most likely value,
+   given a prior and the loss of all places where it stands before a token. Chunks send their
+   words' gradients and numbers of places to the words' buckets, which add them up over all
+   chunks and send the representations back. So this vocabulary grows with the corpus, and no machine
+   holds more of it than a bucket or a chunk.
+5. Scores. For the distinct contexts of a chunk, one batch of matrix products gives the
+   scores of all classes, and their softmax the probability. A word of a group has, within
+   it, probability (c + 1) / (N' + V' + 1), with N' and V' the group's tokens and distinct
+   tokens, so all probabilities add up to one.
 
 Null texts are empty and hold the end alone; words are runs of bytes that are not white
 space, A-Z lower-cased; rows without an id are training documents like any other;
-repeated rows count as often as they occur; an empty table gives no rows; without
+repeated rows count as often as they occur; an empty table gives no rows; very long texts
+are chunks of their own; scores depend on how the table is split into tasks, as training does; without
 training tokens every score is the base score; further columns are ignored.
 """
 
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +95,9 @@ def contexts(ids: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """Class ids of the listed tokens, and what is left to the groups: tokens and distinct tokens of each.
+    """Class ids of the listed tokens, and what is left to the groups: tokens and distinct tokens of each."""
 
-    tail: keys and counts of the words listed within groups. The leaves of all groups' trees are numbered on; a group's first
-    one is for words that are not listed, the others are its words by falling count."""
-
-    def __init__(self, top: list[tuple[int, int]], n: int, v: int, ends: int, group_n: np.ndarray, group_v: np.ndarray, tail: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, top: list[tuple[int, int]], n: int, v: int, ends: int, group_n: np.ndarray, group_v: np.ndarray):
         top = [(k, c) for k, c in top if np.uint64(k) != END and c > 0]
         keys = np.array([k for k, _ in top], C.U64)
         order = np.argsort(keys)
@@ -107,47 +108,6 @@ class Vocabulary:
         self.rest_v = group_v - np.bincount(group, minlength=GROUPS)
         self.counts = np.concatenate([self.rest_n, [ends], listed])
         self.size = len(self.counts)
-        keys, count = tail or (np.zeros(0, C.U64), np.zeros(0))
-        keep = (keys != END) & ~np.isin(keys, self.keys)
-        order = np.argsort(keys[keep])
-        self.own_keys, count = keys[keep][order], count[keep][order].astype(float)
-        group = (self.own_keys & C.U64(GROUPS - 1)).astype(np.int64)
-        size = np.bincount(group, minlength=GROUPS)
-        self.left_n, self.left_v = self.rest_n - np.bincount(group, count, GROUPS), self.rest_v - size
-        self.start = np.concatenate([[0], np.cumsum(size + 1)])
-        order = np.lexsort((self.own_keys, -count, group))
-        self.leaf = np.empty(len(order), np.int64)
-        self.leaf[order] = np.arange(len(order)) + group[order] + 1
-        mass = np.empty(self.start[-1])
-        mass[self.start[:-1]], mass[self.leaf] = np.maximum(self.left_n, 0) + 1, count
-        self._grow(np.concatenate([[0], np.cumsum(mass)]))
-
-    def _grow(self, sums: np.ndarray) -> None:
-        """The groups' trees: each run of leaves is split near half of its tokens; a node is the number of the first leaf on its right.
-
-        root: of each group; below: a node's nodes on the left and right; 0 where there is none. odds: of right against left."""
-        self.root, self.below, self.odds = np.zeros(GROUPS, np.int32), np.zeros((len(sums) - 1, 2), np.int32), np.zeros(len(sums) - 1)
-        lo, hi, above, side = self.start[:-1], self.start[1:], np.full(GROUPS, -1), np.arange(GROUPS)
-        while (inner := hi - lo > 1).any():
-            lo, hi, above, side = lo[inner], hi[inner], above[inner], side[inner]
-            half = (sums[lo] + sums[hi]) / 2
-            mid = np.searchsorted(sums, half)
-            mid = np.clip(mid - (half - sums[mid - 1] < sums[mid] - half), lo + 1, hi - 1)
-            self.odds[mid] = np.log((sums[hi] - sums[mid]) / (sums[mid] - sums[lo]))
-            first = above < 0
-            self.root[side[first]] = mid[first]
-            self.below[above[~first], side[~first]] = mid[~first]
-            lo, hi, above, side = np.concatenate([lo, mid]), np.concatenate([mid, hi]), np.concatenate([mid, mid]), np.repeat([0, 1], len(mid))
-
-    def own(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Number of each token among the words listed within groups; their count if it is none of them."""
-        none = len(self.own_keys)
-        slot = np.minimum(np.searchsorted(self.own_keys, keys), max(none - 1, 0))
-        return np.where((self.own_keys[slot] == keys) & (ids < GROUPS), slot, none) if none else np.zeros(len(keys), np.int64)
-
-    def leaves(self, ids: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Leaf of each token of a group, given its class and number."""
-        return np.append(self.leaf, 0)[own] * (own < len(self.leaf)) + self.start[ids] * (own == len(self.leaf))
 
     def ids(self, keys: np.ndarray) -> np.ndarray:
         out = (keys & C.U64(GROUPS - 1)).astype(np.int64)
@@ -177,12 +137,9 @@ class LogBilinear:
             self.c[:] = np.eye(dim) / ORDER
             self.b[:] = np.log(self.noise)
 
-    def inputs(self, ctx: np.ndarray, own: np.ndarray | None = None) -> list[np.ndarray]:
-        """Representations of the tokens before; own: what listed words add to their class's."""
-        return [self.r[ctx[:, k]] + (0 if own is None else own[:, k]) for k in range(ORDER)]
-
     def predicted(self, ctx: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        return sum(x @ c for x, c in zip(self.inputs(ctx, own), self.c))
+        """own: (tokens, ORDER, dim) what words add to the representations of the classes before."""
+        return sum((self.r[ctx[:, k]] if own is None else self.r[ctx[:, k]] + own[:, k]) @ self.c[k] for k in range(ORDER))
 
     def scores(self, ctx: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(contexts, classes) scores, and of each context the natural logarithm that normalises them."""
@@ -191,16 +148,12 @@ class LogBilinear:
         top = s.max() if s.size else 0
         return s, np.log(np.exp(s - top).sum(1, dtype=np.float64)) + top
 
-    def gradient(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-        """Of the mean noise-contrastive loss; all tokens share the drawn noise classes."""
-        return self.gradients(ctx, target, drawn)[0]
-
-    def gradients(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray, own: np.ndarray | None = None, within=None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Of the mean loss by parameters, and by each token before. within(predicted): gradient of a further summed loss."""
+    def gradient(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean noise-contrastive loss; all tokens share the drawn noise classes. And the loss's mean curvature by the
+        representation of a token before."""
         n, k = len(target), len(drawn)
         shift = np.log(k * self.noise)
-        before = self.inputs(ctx, own)
-        hat = sum(x @ c for x, c in zip(before, self.c))
+        hat = self.predicted(ctx)
         pos = (hat * self.q[target]).sum(1) + self.b[target] - shift[target]
         neg = hat @ self.q[drawn].T + (self.b - shift)[drawn]
         gp = -1 / (1 + np.exp(np.clip(pos, -30, 30))) / n
@@ -208,119 +161,27 @@ class LogBilinear:
         out = LogBilinear.__new__(LogBilinear)
         LogBilinear.__init__(out, len(self.b), self.q.shape[1], self.noise, np.zeros_like(self.flat))
         g_hat = gp[:, None] * self.q[target] + gn @ self.q[drawn]
-        if within:
-            g_hat += within(hat) / n
         gt, gd = gp[:, None] * hat, gn.T @ hat
         for j in range(hat.shape[1]):
             out.q[:, j] = np.bincount(target, gt[:, j], len(self.b)) + np.bincount(drawn, gd[:, j], len(self.b))
         out.b[:] = np.bincount(target, gp, len(self.b)) + np.bincount(drawn, gn.sum(0), len(self.b))
-        backs = [g_hat @ c.T for c in self.c]
-        for i, back in enumerate(backs):
-            out.c[i] = before[i].T @ g_hat
+        for i in range(ORDER):
+            out.c[i] = self.r[ctx[:, i]].T @ g_hat
+            back = g_hat @ self.c[i].T
             for j in range(hat.shape[1]):
                 out.r[:, j] += np.bincount(ctx[:, i], back[:, j], len(self.r))
-        return out.flat, backs
-
-
-class Listed:
-    """What words listed within groups have of their own. Rows: a representation of each word as context, one of zeros for
-    all other tokens, then representation and bias (last column) of the inner nodes; node m is the m-th."""
-
-    def __init__(self, words: Vocabulary, dim: int, rows: np.ndarray | None = None):
-        self.words, self.none, self.nodes = words, len(words.leaf), len(words.leaf) + 1
-        self.rows = rows
-        if rows is None:  # nodes begin with the counts' odds, so that words begin with their shares of the class
-            self.rows = np.zeros((self.nodes + len(words.odds), dim + 1), np.float32)
-            self.rows[self.nodes :, -1] = words.odds
-
-    def before(self, own: np.ndarray) -> np.ndarray:
-        return self.rows[own, :-1]
-
-    def ways(self, ids: np.ndarray, leaf: np.ndarray):
-        """For each level: which tokens are still above their leaf, their nodes' rows, and whether they turn right."""
-        at, node = np.arange(len(ids)), self.words.root[ids]
-        while True:
-            inner = node > 0
-            if not inner.all():
-                at, node, leaf = at[inner], node[inner], leaf[inner]
-            if not len(at):
-                return
-            right = leaf >= node
-            yield at, self.nodes + node, right
-            node = self.words.below[node, right.astype(np.int8)]
-
-    def log_share(self, hat: np.ndarray, ids: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each token's leaf's probability within its class."""
-        out, hat = np.zeros(len(ids)), hat.astype(np.float32)
-        for at, node, right in self.ways(ids, leaf):
-            own = self.rows[node]
-            s = np.einsum("ij,ij->i", hat[at], own[:, :-1]) + own[:, -1]
-            out[at] -= np.logaddexp(0, np.where(right, -s, s))
-        return out
-
-
-class ListedTrainer:
-    """Steps for the rows that a batch meets, each row's shorter the more it has moved (Adagrad by rows)."""
-
-    def __init__(self, listed: Listed, rate: float):
-        self.listed, self.rate = listed, rate
-        self.given, self.rows = listed.rows, listed.rows.copy()
-        listed.rows = self.rows
-        self.moved, self.used = np.ones(len(self.rows), np.float32), np.zeros(len(self.rows), np.float32)
-
-    def step(self, row: np.ndarray, g: np.ndarray) -> None:
-        if not len(row):
-            return
-        order = np.argsort(row)
-        row = row[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        total, row = np.add.reduceat(g[order], first, axis=0), row[first]
-        self.used[row] += np.diff(np.append(first, len(order)))
-        self.moved[row] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-        self.rows[row, : total.shape[1]] -= (self.rate / np.sqrt(self.moved[row]))[:, None] * total
-
-    def words(self, own: np.ndarray, g: np.ndarray) -> None:
-        met = own != self.listed.none
-        self.step(own[met], g[met].astype(np.float32))
-
-    def nodes(self, hat: np.ndarray, ids: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """A step of the nodes on the tokens' ways; the summed loss's gradient by what was predicted."""
-        hat = np.concatenate([hat, np.ones((len(hat), 1))], axis=1).astype(np.float32)
-        out, rows, parts = np.zeros_like(hat), [], []
-        for at, node, right in self.listed.ways(ids, leaf):
-            own, h = self.rows[node], hat[at]
-            s = np.einsum("ij,ij->i", h, own)
-            g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - right).astype(np.float32)[:, None]
-            out[at] += g * own
-            rows.append(node)
-            parts.append(g * h)
-        if rows:
-            self.step(np.concatenate(rows), np.concatenate(parts))
-        return out[:, :-1]
-
-    def met(self):
-        """(slice, rows, payload) of what this task has met: how often, and how far it has moved, in half precision."""
-        row = np.flatnonzero(self.used)
-        for r in np.split(row, np.flatnonzero(np.diff(row // SLICE)) + 1) if len(row) else []:
-            yield int(r[0] // SLICE), len(r), (r % SLICE).astype("<u2").tobytes() + self.used[r].tobytes() + (self.rows[r] - self.given[r]).astype("<f2").tobytes()
-
-
-def met_rows(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows within a slice, how often they were met, and how far they have moved."""
-    return np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<f4", n, 2 * n), np.frombuffer(raw, "<f2", offset=6 * n).reshape(n, -1).astype(np.float32)
-
-
-def met_mean(parts: list[tuple[bytes, int]]) -> tuple[int, bytes]:
-    """One slice's moves, averaged over tasks by how often each has met the rows."""
-    often, total = np.zeros(SLICE), 0.0
-    for raw, n in parts:
-        at, used, values = met_rows(raw, n)
-        if np.isscalar(total):
-            total = np.zeros((SLICE, values.shape[1]))
-        often[at] += used
-        total[at] += used[:, None].astype(float) * values
-    at = np.flatnonzero(often)
-    return len(at), at.astype("<u2").tobytes() + often[at].astype("<f4").tobytes() + (total[at] / often[at, None]).astype("<f2").tobytes()
+        bend, slope = -gp * (1 + n * gp), (gn * (1 - n * gn)).sum(0)
+        bend = (self.q[target] * bend[:, None]).T @ self.q[target] + (self.q[drawn] * slope[:, None]).T @ self.q[drawn]
+        return out.flat, sum(c @ bend @ c.T for c in self.c) / ORDER
+
+
+    def backs(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
+        """Of each token's own loss, the gradient by the representation of each token before."""
+        q, b = self.q.astype(np.float32), (self.b - np.log(len(drawn) * self.noise)).astype(np.float32)
+        hat = self.predicted(ctx).astype(np.float32)
+        pos, neg = np.einsum("ij,ij->i", hat, q[target]) + b[target], hat @ q[drawn].T + b[drawn]
+        g = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) @ q[drawn] - q[target] / (1 + np.exp(np.clip(pos, -30, 30)))[:, None]
+        return [g @ c.T.astype(np.float32) for c in self.c]
 
 
 class Trainer:
@@ -328,24 +189,16 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, rate: float, batch: int, noise: int, seed: int):
         self.model, self.rate, self.batch, self.k = model, rate, batch, noise
-        self.rng, self.m, self.v, self.t, self.seen = np.random.default_rng(seed), 0.0, 0.0, 0, 0
+        self.rng, self.m, self.v, self.t, self.seen, self.bend = np.random.default_rng(seed), 0.0, 0.0, 0, 0, 0.0
 
-    def feed(self, ctx: np.ndarray, target: np.ndarray, listed: ListedTrainer, own: np.ndarray, leaf: np.ndarray) -> None:
-        """own: numbers of the tokens before; leaf: of the targets that are in groups."""
+    def feed(self, ctx: np.ndarray, target: np.ndarray) -> None:
         order = self.rng.permutation(len(target))
         for lo in range(0, len(order), self.batch):
             at = order[lo : lo + self.batch]
             drawn = self.rng.choice(len(self.model.noise), self.k, p=self.model.noise)
-            low = np.flatnonzero(target[at] < GROUPS)
-
-            def within(hat, at=at, low=low):
-                out = np.zeros_like(hat)
-                out[low] = listed.nodes(hat[low], target[at[low]], leaf[at[low]])
-                return out
-
-            g, backs = self.model.gradients(ctx[at], target[at], drawn, listed.listed.before(own[at]), within)
-            listed.words(own[at].T.ravel(), np.concatenate(backs) * len(at))
+            g, bend = self.model.gradient(ctx[at], target[at], drawn)
             self.t += 1
+            self.bend = self.bend + bend * len(at)
             self.m = 0.9 * self.m + 0.1 * g
             self.v = 0.99 * self.v + 0.01 * g * g
             rate = self.rate / (1 + self.t / 200) ** 0.5
@@ -354,7 +207,7 @@ class Trainer:
 
 
 def top_rows(replies: DataFrame) -> DataFrame:
-    """key, n: the tokens that each bucket lists."""
+    """key, n: the most frequent tokens that each bucket reported."""
 
     def run(batches):
         for batch in batches:
@@ -365,9 +218,9 @@ def top_rows(replies: DataFrame) -> DataFrame:
     return replies.where("chunk = -2").select("reply").mapInArrow(run, "key long, n long")
 
 
-def counted(requests: DataFrame, top: int, least: int) -> DataFrame:
-    """The exchange's replies, and for each bucket its distinct tokens and total (chunk -1) and, in chunk -2, its `top` tokens
-    and all that occur `least` times."""
+def counted(requests: DataFrame, share: float) -> DataFrame:
+    """The exchange's replies, and for each bucket its distinct tokens and total (chunk -1) and its tokens that make up at
+    least `share` of its own (chunk -2): among them are all that make up as much of the whole."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py(), C.U64) for x in table.column("keys")]
@@ -375,8 +228,8 @@ def counted(requests: DataFrame, top: int, least: int) -> DataFrame:
         counts = np.concatenate([C.unpacked_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes)])
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
-        reply = [zstandard.compress(x.astype("<u4").tobytes(), 1) for x in np.split(np.minimum(total, 2**32 - 1)[inverse], np.cumsum(sizes)[:-1])]
-        best = np.argsort(-total, kind="stable")[: max(top, int((total >= least).sum()))]
+        reply = [C.packed_totals(x) for x in np.split(total[inverse], np.cumsum(sizes)[:-1])]
+        best = np.flatnonzero(total >= max(1, share * total.sum()))
         end = keys == END
         word, group = total * ~end, (keys & C.U64(GROUPS - 1)).astype(np.int64)
         sums = [np.bincount(group, word, GROUPS), np.bincount(group, word > 0, GROUPS), [(total > 0).sum(), total.sum(), total[end].sum()]]
@@ -389,57 +242,111 @@ def counted(requests: DataFrame, top: int, least: int) -> DataFrame:
 
 
 SLICE = 4096
-LISTED_RATE = 0.3
+#: Tasks whose parameters meet in one sum.
+MEET = 256
+PARAMETERS = "slice int, part int, n long, total binary"
+
 
+def added(t: pa.Table) -> pa.Table:
+    """One row of the sums of its rows' parameters."""
+    total = np.sum([np.frombuffer(x.as_py()) for x in t.column("total")], axis=0)
+    return pa.table({"slice": t.column("slice")[:1], "part": t.column("part")[:1], "n": pa.array([pc.sum(t.column("n")).as_py()], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
-def train(chunks: DataFrame, words: Vocabulary, mod: int, remainder: int, dim: int, rounds: int, rate: float, batch: int, noise: int) -> tuple[LogBilinear, Listed]:
-    """Rounds of local training and averaging; round r takes the r-th part of every chunk."""
+
+def train(chunks: DataFrame, words: Vocabulary, mod: int, remainder: int, dim: int, rounds: int, rate: float, batch: int, noise: int) -> tuple[LogBilinear, np.ndarray]:
+    """Rounds of local training and averaging; round r takes the r-th part of every chunk. The model, and the loss's mean
+    curvature in the last round."""
     prior = np.maximum(words.counts, 0.5)
-    model, listed = LogBilinear(words.size, dim, prior), Listed(words, dim)
-    schema = "listed boolean, slice int, n long, total binary"
+    model, bend = LogBilinear(words.size, dim, prior), np.eye(dim)
     for turn in range(rounds):
-        given = chunks.sparkSession.sparkContext.broadcast((words, model.flat, listed.rows))
 
-        def local(batches, given=given, turn=turn):
-            words, flat, rows = given.value
+        def local(batches, flat=model.flat.copy(), turn=turn):
             own, trainer = LogBilinear(words.size, dim, prior, flat), None
             for c in C.each_chunk(batches):
                 c = c.part(turn, rounds)
-                if trainer is None:
-                    trainer = Trainer(own, rate / (1 + turn), batch, noise, c.chunk + 1)
-                    beside = ListedTrainer(Listed(words, dim, rows), LISTED_RATE / (1 + turn))
+                trainer = trainer or Trainer(own, rate / (1 + turn), batch, noise, c.chunk + 1)
                 s = Sequence(c, mod, remainder)
                 ids = words.ids(s.keys)
-                number = words.own(s.keys, ids)
                 use = ~s.held[s.doc]
-                leaf = np.where(ids < GROUPS, words.leaves(np.minimum(ids, GROUPS - 1), number), 0)
-                trainer.feed(contexts(ids, s.at, words.size)[use], ids[use], beside, contexts(number, s.at, beside.listed.none)[use], leaf[use])
+                trainer.feed(contexts(ids, s.at, words.size)[use], ids[use])
             if trainer and trainer.seen:
-                parts = [(False, k, trainer.seen, (own.flat[lo : lo + SLICE] * trainer.seen).tobytes()) for k, lo in enumerate(range(0, len(own.flat), SLICE))]
-                for some in [parts, *([(True, *x)] for x in beside.met())]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some), [pa.bool_(), pa.int32(), pa.int64(), pa.binary()])], ["listed", "slice", "n", "total"])
-
-        def add(t: pa.Table) -> pa.Table:
-            if t.column("listed")[0].as_py():
-                n, total = met_mean(list(zip(t.column("total").to_pylist(), t.column("n").to_pylist())))
-            else:
-                n, total = pc.sum(t.column("n")).as_py(), np.sum([np.frombuffer(x.as_py()) for x in t.column("total")], axis=0).tobytes()
-            return pa.table({"listed": t.column("listed")[:1], "slice": t.column("slice")[:1], "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.binary())})
-
-        parts = chunks.mapInArrow(local, schema).groupBy("listed", "slice").applyInArrow(add, schema).collect()
-        given.destroy()
-        C.release(chunks.sparkSession)
+                total = np.concatenate([own.flat * trainer.seen, trainer.bend.ravel()])
+                parts = [total[lo : lo + SLICE] for lo in range(0, len(total), SLICE)]
+                meet = TaskContext.get().partitionId() // MEET
+                cols = [range(len(parts)), [meet] * len(parts), [trainer.seen] * len(parts), [p.tobytes() for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary()])], ["slice", "part", "n", "total"])
+
+        parts = chunks.mapInArrow(local, PARAMETERS).groupBy("slice", "part").applyInArrow(added, PARAMETERS).groupBy("slice").applyInArrow(added, PARAMETERS).select("slice", "n", "total").collect()
         if parts:
-            flat = sorted((p.slice, p.n, p.total) for p in parts if not p.listed)
-            model = LogBilinear(words.size, dim, prior, np.concatenate([np.frombuffer(total) / n for _, n, total in flat]))
-            for p in parts:
-                if p.listed:
-                    at, _, values = met_rows(p.total, p.n)
-                    listed.rows[p.slice * SLICE + at] += values
-    return model, listed
+            parts.sort()
+            mean = np.concatenate([np.frombuffer(p.total) / p.n for p in parts])
+            model, bend = LogBilinear(words.size, dim, prior, mean[: -dim * dim]), mean[-dim * dim :].reshape(dim, dim)
+    return model, bend
 
 
-def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, classes: int = 256, dim: int = 16, rounds: int = 3, rate: float = 0.03, batch: int = 2048, noise: int = 64, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Known:
+    """A chunk's tokens with the counts of the first exchange, and which of its words have a representation of their own."""
+
+    def __init__(self, c: C.Chunk, replies: pa.Table, words: Vocabulary, least: int, n_buckets: int, mod: int, remainder: int):
+        self.s = s = Sequence(c, mod, remainder)
+        keys, inverse = np.unique(s.keys, return_inverse=True)
+        count = C.read_reply(replies, keys, n_buckets)
+        ids = words.ids(keys)
+        own = (ids < GROUPS) & (count >= least)
+        self.keys = keys[own]
+        number = np.where(own, np.cumsum(own) - 1, len(self.keys))
+        self.count, self.ids, self.number = count[inverse].astype(float), ids[inverse], number[inverse]
+
+
+def evidence_rows(c: C.Chunk, k: Known, model: LogBilinear, words: Vocabulary, batch: int, noise: int, n_buckets: int) -> pa.Table:
+    """For each bucket, the chunk's words with a representation of their own: keys, summed gradients, number of places."""
+    n, dim, rng = len(k.keys), model.q.shape[1], np.random.default_rng(c.chunk + 1)
+    grad, places = np.zeros((n + 1, dim)), np.zeros(n + 1, np.int64)
+    use = np.flatnonzero(~k.s.held[k.s.doc])
+    ctx, own = contexts(k.ids, k.s.at, words.size), contexts(k.number, k.s.at, n)
+    for lo in range(0, len(use) if n else 0, batch):
+        at = use[lo : lo + batch]
+        drawn = rng.choice(len(model.noise), noise, p=model.noise)
+        for i, g in enumerate(model.backs(ctx[at], k.ids[at], drawn)):
+            order = np.argsort(own[at, i], kind="stable")
+            word = own[at, i][order]
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            grad[word[first]] += np.add.reduceat(g[order], first)
+            places[word[first]] += np.diff(first, append=len(word))
+    of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
+    rows = []
+    for b in np.unique(of):
+        a = of == b
+        rows.append((c.chunk, int(b), k.keys[a].tobytes(), np.clip(grad[:-1][a], -6e4, 6e4).astype("<f2").tobytes(), C.packed_counts(places[:-1][a])))
+    cols = list(zip(*rows)) if rows else [()] * 5
+    return pa.table({f.split()[0]: pa.array(x, t) for f, x, t in zip(EVIDENCE.split(", "), cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])})
+
+
+EVIDENCE = "chunk long, bucket long, keys binary, grad binary, places binary"
+#: Precision of the prior of a word's own representation, which has the mean 0.
+PRECISION = 16.0
+
+
+def representations(evidence: DataFrame, bend: np.ndarray) -> DataFrame:
+    """For each row of evidence, its words' representations in half precision: one Newton step of each from its summed
+    gradient, with the mean curvature for each of its places and the prior's."""
+    dim = len(bend)
+    curve, axes = np.linalg.eigh((bend + bend.T) / 2)
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), C.U64) for x in t.column("keys")]
+        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        places = np.bincount(inverse, np.concatenate([C.unpacked_counts(x.as_py(), len(p)) for x, p in zip(t.column("places"), parts)]))
+        grad = np.concatenate([np.frombuffer(x.as_py(), "<f2").reshape(-1, dim) for x in t.column("grad")])
+        grad = np.stack([np.bincount(inverse, grad[:, j]) for j in range(dim)], axis=1)
+        own = -(grad @ axes / (places[:, None] * np.maximum(curve, 0) + PRECISION) @ axes.T).astype("<f2")
+        replies = [own[x].tobytes() for x in np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])]
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "reply": pa.array(replies, pa.binary())})
+
+    return evidence.groupBy("bucket").applyInArrow(run, C.REPLY)
+
+
+def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, share: float = 1 / 4096, dim: int = 16, rounds: int = 3, rate: float = 0.03, batch: int = 2048, noise: int = 64, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every text; documents whose crc32 of the id modulo `mod` is `remainder` are held out of all learning."""
     n_buckets = C.buckets(df.sparkSession)
     chunks = C.pack(df, id_col, text_col)
@@ -448,58 +355,64 @@ def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, classes: in
         for c in C.each_chunk(batches):
             yield C.request_rows(c.chunk, *Sequence(c, mod, remainder).request(), n_buckets)
 
-    replies = C.saved(counted(chunks.mapInArrow(ask, C.REQUEST), classes, least))
+    replies = C.saved(counted(chunks.mapInArrow(ask, C.REQUEST), share))
     totals = np.sum([np.frombuffer(r.reply, "<i8") for r in replies.where("chunk = -1").select("reply").collect()] or [np.zeros(2 * GROUPS + 3, np.int64)], axis=0)
     v, n, ends = (int(x) for x in totals[2 * GROUPS :])
-    top = top_rows(replies)
-    most = top.orderBy(F.col("n").desc(), "key").limit(classes).collect()
-    tail = top.where(F.col("n") >= least).toArrow()
-    tail = tail.column("key").to_numpy().view(C.U64), tail.column("n").to_numpy()
-    words = Vocabulary([(r.key & (1 << 64) - 1, r.n) for r in most], n, v, ends, totals[:GROUPS], totals[GROUPS : 2 * GROUPS], tail)
-    given = None
-    if n:
-        model, listed = train(chunks, words, mod, remainder, dim, rounds, rate, batch, noise)
-        given = df.sparkSession.sparkContext.broadcast((model, listed))
+    top = top_rows(replies).where(F.col("n") >= share * n).collect()  # at most 1 / share rows
+    words = Vocabulary([(r.key & (1 << 64) - 1, r.n) for r in top], n, v, ends, totals[:GROUPS], totals[GROUPS : 2 * GROUPS])
+    model, bend = train(chunks, words, mod, remainder, dim, rounds, rate, batch, noise) if n else (None, None)
+    replies = replies.where("chunk >= 0")
+
+    def known(c, replies):
+        return Known(c, replies.filter(pc.is_valid(replies.column("reply"))) if replies.num_rows else replies, words, least, n_buckets, mod, remainder)
+
+    def weigh(c, replies):
+        return evidence_rows(c, known(c, replies), model, words, batch, noise, n_buckets)
+
+    both = replies.withColumn("own", F.lit(None).cast("binary"))
+    if model:
+        own = representations(C.saved(C.with_replies(chunks, replies, weigh, EVIDENCE)), bend)
+        C.release(df.sparkSession)  # the first exchange's shuffles have served
+        both = both.unionByName(own.select("chunk", "bucket", F.lit(None).cast("binary").alias("reply"), F.col("reply").alias("own")))
 
     def score(c, replies):
-        s = Sequence(c, mod, remainder)
-        keys, inverse = np.unique(s.keys, return_inverse=True)
-        count = C.read_reply(replies, keys, n_buckets)[inverse].astype(float)
-        base = np.log10((count + 1) / (n + v + 1))
-        own = token_log10(*given.value, s.keys, s.at, count) if given else base
+        k = known(c, replies)
+        s, vectors = k.s, np.zeros((len(k.keys) + 1, dim), np.float32)
+        if model and len(k.keys):
+            got = {b: o for b, o in zip(replies.column("bucket").to_pylist(), replies.column("own").to_pylist()) if o is not None}
+            of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
+            vectors[:-1] = np.concatenate([np.frombuffer(got[int(b)], "<f2").reshape(-1, dim) for b in np.unique(of)])
+        base = np.log10((k.count + 1) / (n + v + 1))
+        own = token_log10(model, words, k.ids, s.at, k.count, k.number, vectors) if model else base
         first = np.concatenate([[0], s.stop[:-1]]).astype(np.int64)
         add = lambda x: np.add.reduceat(x, first) if len(first) else x
         return pa.table({
             "doc_id": C.id_array(c.ids), "held_out": pa.array(s.held), "n_tokens": pa.array(np.diff(np.concatenate([[0], s.stop])).astype(np.int64)),
-            "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(c), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(own)),
+            "n_known": pa.array(add((k.count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(c), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(own)),
         })
 
-    return C.with_replies(chunks, replies.where("chunk >= 0"), score, SCORED)
+    return C.with_replies(chunks, both, score, SCORED)
 
 
-def token_log10(model: LogBilinear, listed: Listed, keys: np.ndarray, at: np.ndarray, count: np.ndarray, step: int = 4096) -> np.ndarray:
-    """log10 probability of each token, by batches of distinct contexts."""
-    words = listed.words
-    ids = words.ids(keys)
-    number = words.own(keys, ids)
-    size = words.size + 1 + listed.none  # a context's token is a class, the begin, or a listed word
-    ctx = contexts(np.where(number < listed.none, words.size + 1 + number, ids), at, words.size)
-    group = np.concatenate([np.arange(words.size + 1), (words.own_keys & C.U64(GROUPS - 1)).astype(np.int64)])
-    code, inverse = np.unique(ctx @ size ** np.arange(ORDER), return_inverse=True)
+def token_log10(model: LogBilinear, words: Vocabulary, ids: np.ndarray, at: np.ndarray, count: np.ndarray, number: np.ndarray, vectors: np.ndarray, step: int = 4096) -> np.ndarray:
+    """log10 probability of each token, by batches of distinct contexts; number: each token's row of `vectors`, whose last is
+    zero and stands for words without a representation of their own."""
+    none, size = len(vectors) - 1, words.size + 1
+    code = contexts(np.where(number < none, size + number, ids), at, words.size)  # a class, the begin, or a word
+    code, inverse = np.unique(code @ (size + none) ** np.arange(ORDER), return_inverse=True)
+    of = np.zeros(none, np.int64)
+    of[number[number < none]] = ids[number < none]
+    of = np.concatenate([np.arange(size), of])
     order = np.argsort(inverse, kind="stable")
     edge = np.searchsorted(inverse[order], np.arange(0, len(code) + step, step))
     out = np.empty(len(ids))
     for k, lo in enumerate(range(0, len(code), step)):
         some = code[lo : lo + step]
-        some = np.stack([some // size**i % size for i in range(ORDER)], axis=1)
-        own = listed.before(np.where(some > words.size, some - words.size - 1, listed.none))
-        raw, norm = model.scores(group[some], own)
+        some = np.stack([some // (size + none) ** i % (size + none) for i in range(ORDER)], axis=1)
+        raw, norm = model.scores(of[some], vectors[np.where(some < size, none, some - size)])
         tokens = order[edge[k] : edge[k + 1]]
         row = inverse[tokens] - lo
         out[tokens] = raw[row, ids[tokens]] - norm[row]
-        low = ids[tokens] < GROUPS
-        tokens, hat = tokens[low], model.predicted(group[some], own)[row[low]]
-        out[tokens] += listed.log_share(hat, ids[tokens], words.leaves(ids[tokens], number[tokens]))
-    rest = (ids < GROUPS) & (number == listed.none)
-    out[rest] += np.log((count[rest] + 1) / (words.left_n + words.left_v + 1)[ids[rest]])
+    rest = ids < GROUPS
+    out[rest] += np.log((count[rest] + 1) / (words.rest_n + words.rest_v + 1)[ids[rest]])
     return out / np.log(10)

@@ -1,10 +1,11 @@
-import itertools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from signalpanel.llm import common as C
 from signalpanel.llm import lm, queries
 
 from .helpers import corpus, docs
@@ -12,7 +13,7 @@ from .helpers import corpus, docs
 
 def test_counts_equal_brute_force(spark):
     rows = corpus()
-    got = lm.score_documents(docs(spark, rows), classes=20, dim=4).collect()
+    got = lm.score_documents(docs(spark, rows), share=0.02, dim=4, least=3).collect()
     words = [((t or "").encode().lower()).split() for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     count = Counter()
@@ -28,18 +29,123 @@ def test_counts_equal_brute_force(spark):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def vocabulary(rng, size=300):
+    """A vocabulary of random words with counts, the most frequent as classes of their own; the words left to the groups, and their counts."""
+    keys = np.unique(rng.integers(1, 2**62, size).astype(np.uint64))
+    count = rng.integers(1, 30, len(keys))
+    group = (keys & np.uint64(lm.GROUPS - 1)).astype(int)
+    top = [(int(k), int(c)) for k, c in zip(keys[:9], count[:9])]
+    group_n, group_v = np.bincount(group, count, lm.GROUPS), np.bincount(group, minlength=lm.GROUPS)
+    return lm.Vocabulary(top, int(count.sum()) + 5, len(keys) + 1, 5, group_n, group_v), keys, count
+
+
 def test_probabilities_add_up_to_one():
-    group_n, group_v = np.arange(lm.GROUPS) * 3.0, np.minimum(np.arange(lm.GROUPS), 9.0)
-    listed = [(5 << 20 | 100, 40), (9 << 20 | 90, 30)]
-    words = lm.Vocabulary(listed, int(group_n.sum()) + 7, 0, 7, group_n, group_v)
-    model = lm.LogBilinear(words.size, 4, words.counts + 1)
-    ids = np.array([3, words.size - 1, lm.STOP])
-    for ctx in itertools.permutations(ids, 2):
-        raw, norm = model.scores(np.array([ctx]))
-        p = np.exp(raw[0] - norm[0])
-        # the words of a group share (N' + V' + 1) parts: c + 1 each, and one for all unseen words
-        within = (words.rest_n + words.rest_v + 1) / (words.rest_n + words.rest_v + 1)
-        assert abs(p[: lm.GROUPS] @ within + p[lm.GROUPS :].sum() - 1) < 1e-5
+    """Of all words, the unseen of each group, and the end, after classes, words with a representation of their own, and the begin."""
+    rng = np.random.default_rng(4)
+    words, keys, count = vocabulary(rng)
+    model = lm.LogBilinear(words.size, 4, np.maximum(words.counts, 0.5))
+    unseen = np.arange(lm.GROUPS, dtype=np.uint64)  # a word of count 0 stands for all unseen ones of its group
+    every, c = np.concatenate([keys, unseen, [lm.END]]), np.concatenate([count, np.zeros(lm.GROUPS), [5]])
+    ids, own = words.ids(every), np.flatnonzero(words.ids(every) < lm.GROUPS)[:40]
+    number = np.full(len(every), len(own))
+    number[own] = np.arange(len(own))
+    vectors = np.concatenate([rng.normal(0, 0.5, (len(own), 4)), np.zeros((1, 4))]).astype(np.float32)
+    for before in ([], [3], [own[0]], [own[1], 2], [own[2], own[3]]):
+        total = 0.0
+        for k in range(len(every)):
+            at = [*before, k]
+            got = lm.token_log10(model, words, ids[at], np.arange(len(at)), c[at], number[at], vectors)[-1]
+            total += 10.0**got
+        assert abs(total - 1) < 1e-4
+
+
+def test_scores_equal_plain_loops():
+    """Token probabilities by the definition, one token and class at a time."""
+    rng = np.random.default_rng(5)
+    words, keys, count = vocabulary(rng, 60)
+    model = lm.LogBilinear(words.size, 3, np.maximum(words.counts, 0.5))
+    ids, number = words.ids(keys), np.where(words.ids(keys) < lm.GROUPS, np.arange(len(keys)), len(keys))
+    vectors = np.concatenate([rng.normal(0, 0.5, (len(keys), 3)), np.zeros((1, 3))]).astype(np.float32)
+    got = lm.token_log10(model, words, ids, np.arange(len(keys)), count, number, vectors, step=7)
+    for i in range(len(keys)):
+        hat = np.zeros(3)
+        for k in range(lm.ORDER):
+            j = i - k - 1
+            hat += (model.r[words.size] if j < 0 else model.r[ids[j]] + vectors[number[j]]) @ model.c[k]
+        score = [float(hat @ model.q[y] + model.b[y]) for y in range(words.size)]
+        p = math.exp(score[ids[i]]) / sum(map(math.exp, score))
+        if ids[i] < lm.GROUPS:
+            p *= (count[i] + 1) / (words.rest_n[ids[i]] + words.rest_v[ids[i]] + 1)
+        assert abs(got[i] - math.log10(p)) < 1e-4
+
+
+def test_vocabulary_of_words_grows_with_the_corpus(spark):
+    """Every word above the count threshold has a representation of its own: the Newton step from all of its places."""
+    grad = lambda *rows: np.array(rows, "<f2").tobytes()
+    key = lambda *k: np.array(k, np.uint64).tobytes()
+    rows = [(0, 0, key(3, 9), grad([1, 2], [4, 0]), C.packed_counts(np.array([2, 300]))), (7, 0, key(9, 11), grad([-2, 2], [0, 0]), C.packed_counts(np.array([1, 0]))), (7, 5, key(77), grad([1, 1]), C.packed_counts(np.array([1])))]
+    bend = np.array([[2.0, 0.5], [0.5, 1.0]])
+    got = {(r.chunk, r.bucket): np.frombuffer(r.reply, "<f2").reshape(-1, 2) for r in lm.representations(spark.createDataFrame(rows, lm.EVIDENCE), bend).collect()}
+    step = lambda g, n: -np.linalg.solve(n * bend + lm.PRECISION * np.eye(2), g)
+    want = {(0, 0): [step([1, 2], 2), step([2, 2], 301)], (7, 0): [step([2, 2], 301), step([0, 0], 0)], (7, 5): [step([1, 1], 1)]}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=2e-3) for k in want)
+    for n in (50, 3000):
+        rng = np.random.default_rng(n)
+        text = [" ".join(f"w{x}" for x in rng.integers(0, n, 40)) for _ in range(n // 4)]
+        chunk = C.pack(docs(spark, list(enumerate(text))).coalesce(1)).toArrow()
+        c = C.Chunk(chunk)
+        s = lm.Sequence(c, 7, 2)
+        keys, counts = s.request()
+        replies = pa.table({"bucket": [0], "reply": [C.packed_totals(counts)]})
+        group = (keys & np.uint64(lm.GROUPS - 1)).astype(int)
+        words = lm.Vocabulary([], int(counts.sum()), len(keys), 0, np.bincount(group, counts * (keys != lm.END), lm.GROUPS), np.bincount(group, minlength=lm.GROUPS))
+        k = lm.Known(c, replies, words, 3, 1, 7, 2)
+        assert len(k.keys) == (counts[keys != lm.END] >= 3).sum() > n * 0.9
+        # gradients and places of all training tokens before others, by one loop over them
+        model = lm.LogBilinear(words.size, 4, np.maximum(words.counts, 0.5))
+        t = lm.evidence_rows(c, k, model, words, 10**9, 6, 1)
+        use = np.flatnonzero(~s.held[s.doc])
+        drawn = np.random.default_rng(c.chunk + 1).choice(words.size, 6, p=model.noise)
+        backs = model.backs(lm.contexts(k.ids, s.at, words.size)[use], k.ids[use], drawn)
+        want, places = np.zeros((len(k.keys), 4)), np.zeros(len(k.keys), int)
+        for j, at in enumerate(use):
+            for i in range(lm.ORDER):
+                if s.at[at] > i and k.number[at - i - 1] < len(k.keys):
+                    want[k.number[at - i - 1]] += backs[i][j]
+                    places[k.number[at - i - 1]] += 1
+        assert np.allclose(np.frombuffer(t.column("grad")[0].as_py(), "<f2").reshape(-1, 4), want, atol=0.02, rtol=2e-3)
+        assert C.unpacked_counts(t.column("places")[0].as_py(), len(places)).tolist() == places.tolist()
+
+
+def test_backs_equal_differences():
+    """The gradient by a token before, and the mean curvature by second differences."""
+    rng = np.random.default_rng(6)
+    noise = rng.random(9) + 0.1
+    model = lm.LogBilinear(9, 3, noise)
+    ctx, target, drawn = rng.integers(0, 10, (4, 2)), rng.integers(0, 9, 4), rng.integers(0, 9, 5)
+
+    def loss(own):
+        hat = model.predicted(ctx, own)
+        shift = np.log(5 * model.noise)
+        pos, neg = (hat * model.q[target]).sum(1) + (model.b - shift)[target], hat @ model.q[drawn].T + (model.b - shift)[drawn]
+        return np.log1p(np.exp(-pos)) + np.log1p(np.exp(neg)).sum(1)
+
+    backs, bend = model.backs(ctx, target, drawn), np.zeros((3, 3))
+    unit = lambda k, j, e: np.eye(6)[3 * k + j].reshape(1, 2, 3).repeat(4, 0) * e
+    for k in range(2):
+        for j in range(3):
+            e = 1e-4
+            assert np.allclose((loss(unit(k, j, e)) - loss(unit(k, j, -e))) / (2 * e), backs[k][:, j], atol=1e-4)
+            for i in range(3):
+                two = lambda a, b: loss(unit(k, j, a) + unit(k, i, b)).mean()  # noqa: B023, E731
+                e = 1e-3
+                bend[j, i] += (two(e, e) - two(e, -e) - two(-e, e) + two(-e, -e)) / (4 * e * e) / 2
+    assert np.allclose(model.gradient(ctx, target, drawn)[1], bend, atol=1e-4)
+
+
+def test_totals_beyond_32_bits():
+    for x in ([], [1, 2**32 - 1], [3, 2**32 + 5, 2**45]):
+        assert C.unpacked_totals(C.packed_totals(np.array(x, np.int64)), len(x)).tolist() == x
 
 
 def test_gradient_equals_differences():
@@ -55,7 +161,7 @@ def test_gradient_equals_differences():
         neg = hat @ m.q[drawn].T + (m.b - shift)[drawn]
         return np.mean(np.log1p(np.exp(-pos)) + np.log1p(np.exp(neg)).sum(1))
 
-    g = model.gradient(ctx, target, drawn)
+    g, _ = model.gradient(ctx, target, drawn)
     for i in range(0, len(g), 3):
         step = np.zeros_like(g)
         step[i] = 1e-5
@@ -66,54 +172,3 @@ def test_better_than_the_base_on_held_out_documents(spark):
     rows = queries.op6_lm_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert rows.s > rows.b
     assert lm.score_documents(docs(spark, [])).count() == 0
-
-
-def test_listed_words_grow_with_the_corpus_and_add_up_to_one():
-    """Every word above the count threshold has parameters of its own, as context and as target."""
-    rng = np.random.default_rng(1)
-    for size in (50, 5000):
-        keys = np.unique(rng.integers(1, 2**62, size).astype(np.uint64))
-        count = rng.integers(5, 500, len(keys))
-        group = (keys & np.uint64(lm.GROUPS - 1)).astype(int)
-        group_n, group_v = np.bincount(group, count, lm.GROUPS) + 6, np.bincount(group, minlength=lm.GROUPS) + 3
-        top = [(int(k), int(c)) for k, c in zip(keys[:9], count[:9])]
-        words = lm.Vocabulary(top, int(group_n.sum()), int(group_v.sum()), 0, group_n, group_v, (keys, count))
-        assert len(words.own_keys) == len(keys) - 9
-        model, listed = lm.LogBilinear(words.size, 4, np.maximum(words.counts, 0.5)), lm.Listed(words, 4)
-        listed.rows += rng.normal(0, 0.3, listed.rows.shape).astype(np.float32)
-        listed.rows[listed.none] = 0
-        # after one context: every listed word, a word of each group with count 3 and one with count 2 and 1, the unseen, the end
-        unseen = np.arange(lm.GROUPS, dtype=np.uint64)
-        every = np.concatenate([keys, unseen, unseen, unseen, unseen, [lm.END]])
-        own = np.concatenate([count, *(np.full(lm.GROUPS, c) for c in (3, 2, 1, 0)), [0]])
-        for first in keys[20:23]:
-            got = [lm.token_log10(model, listed, np.array([first, k]), np.arange(2), np.array([5, c]))[1] for k, c in zip(every[-600:], own[-600:])]
-            got = np.concatenate([lm.token_log10(model, listed, np.ravel(np.column_stack([np.full(len(every), first), every])), np.tile([0, 1], len(every)), np.ravel(np.column_stack([own, own])))[1::2][: len(every) - len(got)], got])
-            assert abs((10.0**got).sum() - 1) < 1e-3
-        ctx = [lm.token_log10(model, listed, np.array([k, keys[0]]), np.arange(2), np.array([5, 5]))[1] for k in keys[9:40]]
-        assert len(set(np.round(ctx, 9))) == len(ctx)  # no two listed words are the same context
-
-
-def test_gradient_of_ways_equals_differences():
-    rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(1, 2**62, 900).astype(np.uint64))
-    group = (keys & np.uint64(lm.GROUPS - 1)).astype(int)
-    count = rng.integers(5, 99, len(keys))
-    words = lm.Vocabulary([], 0, 0, 0, np.bincount(group, count, lm.GROUPS) + 1, np.bincount(group, minlength=lm.GROUPS) + 1, (keys, count))
-    listed = lm.Listed(words, 3)
-    listed.rows += rng.normal(0, 0.5, listed.rows.shape).astype(np.float32)
-    ids, own, hat = words.ids(keys), words.own(keys, words.ids(keys)), rng.normal(0, 1, (len(keys), 3))
-    leaf = words.leaves(ids, own)
-    g = lm.ListedTrainer(listed, 0.0).nodes(hat, ids, leaf)
-    for j in range(3):
-        step = np.zeros(3)
-        step[j] = 1e-2
-        want = -(listed.log_share(hat + step, ids, leaf) - listed.log_share(hat - step, ids, leaf)) / 2e-2
-        assert np.abs(want - g[:, j]).max() < 1e-2
-
-
-def test_moves_of_listed_rows_are_averaged_by_how_often_they_were_met():
-    pack = lambda rows, used, moved: (np.array(rows, "<u2").tobytes() + np.array(used, "<f4").tobytes() + np.array(moved, "<f2").tobytes(), len(rows))
-    n, raw = lm.met_mean([pack([3, 7], [1, 2], [[1.0, 0.5], [2.0, 1.0]]), pack([7], [6], [[-2.0, 3.0]])])
-    at, used, moved = lm.met_rows(raw, n)
-    assert at.tolist() == [3, 7] and used.tolist() == [1, 8] and moved.tolist() == [[1.0, 0.5], [-1.0, 2.5]]

@@ -14,6 +14,8 @@ can forge a control string and reading back is exact.
 Turns are formatted row by row; ``read_back`` follows one conversation at a time in
 order and holds one turn in memory, however long the conversation is.
 
+A part without a type is text, one of another type a placeholder ``other``, recorded under its
+own type; a further column named ``parts`` that does not hold typed parts is ignored like others.
 Null text or content is empty; a null role is the empty role and never under the
 mask; turns are ordered by turn (nulls first), then by what they are written as, so ties
 have one order; repeated rows are turns of their own; rows with a null conv_id form one
@@ -28,13 +30,15 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import bound_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = "\\"
 #: Tokens that one part of each kind expands to for each unit of its size.
-EXPANSION = {"image": 256, "audio": 50, "document": 512}
+EXPANSION = {"image": 256, "audio": 50, "document": 512, "other": 1}
+KINDS = ("text", "image", "audio", "document")
 
 
 def escape(text: str) -> str:
@@ -60,21 +64,25 @@ class Flatten:
 
     def visit(self, parts: list[dict]) -> Flatten:
         for part in parts:
-            getattr(self, f"visit_{part['type']}")(part)
+            kind = part.get("type") or "text"
+            getattr(self, f"visit_{kind if kind in KINDS else 'other'}")(part)
         return self
 
     def visit_text(self, part):
         self.out.append(escape(part.get("text") or ""))
 
-    def _attach(self, part):
-        kind, n = part["type"], len(self.attachments)
+    def _attach(self, part, kind=None):
+        kind, n = kind or part["type"], len(self.attachments)
         size = int(part.get("size") or 1)
         self.out.append(f"<|{kind}:{n}|>")
-        self.attachments.append((n, kind, part.get("ref") or ""))
+        self.attachments.append((n, part["type"], part.get("ref") or ""))
         self.tokens += size * EXPANSION[kind]
 
     visit_image = visit_audio = visit_document = _attach
 
+    def visit_other(self, part):
+        self._attach(part, "other")
+
 
 def flatten(parts: list[dict]) -> tuple[str, list[tuple[int, str, str]], int]:
     """Content text with placeholders in order, attachment records, tokens that the placeholders expand to."""
@@ -91,7 +99,8 @@ def format_turns(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     Content is the column ``parts`` (array of struct type, text, ref, size) if there is one, else ``text``."""
     bound_batches(df.sparkSession)
     kept = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string")]
-    typed = "parts" in df.columns
+    kind = df.schema["parts"].dataType if "parts" in df.columns else None
+    typed = isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "type" in kind.elementType.names
     content = F.col("parts") if typed else F.col("text").cast("string")
 
     def run(batches):

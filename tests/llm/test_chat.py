@@ -46,3 +46,15 @@ def test_empty(spark):
 def test_forged_conversation(spark):
     got = queries.op8_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -1").first()
     assert (got.n_turns, got.loss_chars) == (2, len(queries.FORGED))
+
+
+def test_parts_of_other_kinds_and_clashing_columns(spark):
+    """An unknown or missing type has a defined result; a column that happens to be called parts is no content."""
+    text, attached, tokens = chat.flatten([{"type": None, "text": "a<|"}, {"type": "video", "ref": "v", "size": 3}, {"text": "b"}, {"type": "image", "ref": None}])
+    assert (text, attached, tokens) == ("a<\\|<|other:0|>b<|image:1|>", [(0, "video", "v"), (1, "image", "")], 3 + 256)
+    for kind, value in (("string", "x"), ("array<string>", ["x"]), ("array<struct<name:string>>", [("x",)])):
+        df = spark.createDataFrame([(1, 1, "user", "hello", value)], f"conv_id long, turn long, role string, text string, parts {kind}")
+        assert "hello" in chat.format_turns(df).first().formatted
+    typed = spark.createDataFrame([(1, 1, "user", "hello", [("text", "typed", None, None), None, ("odd", None, "r", 2)])], "conv_id long, turn long, role string, text string, parts array<struct<type:string,text:string,ref:string,size:int>>")
+    got = chat.format_turns(typed).first()
+    assert got.formatted == "<|im_start|>user\ntyped<|other:0|><|im_end|>\n" and got.expanded_tokens == 2

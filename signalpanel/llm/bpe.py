@@ -130,9 +130,10 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
 
 def with_ids(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """df without its text and with n_tokens and ids (array of int), after decoding the ids back to exactly the text."""
+    """df without its text and with n_tokens and ids (array of int), after decoding the ids back to exactly the text. Columns of
+    df that have these names are replaced."""
     bound_batches(df.sparkSession)
-    names = [c for c in df.columns if c != text_col]
+    names = [c for c in df.columns if c not in (text_col, "n_tokens", "ids")]
 
     def run(batches):
         c = codec(path, pattern)

@@ -54,3 +54,11 @@ def test_store_starts_anew(monkeypatch, reference):
     codec = bpe.Codec(PATH, p.PATTERN)
     for t in ("a b c d e f", "g h i a b", "c d e"):
         assert codec.encode(t) == reference.encode_ordinary(t)
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    import public_tokenizers as p
+
+    df = spark.createDataFrame([(1, "hello world", "old", 5), (2, None, None, None)], "doc_id long, text string, ids string, n_tokens int")
+    got = bpe.with_ids(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and [(r.doc_id, r.n_tokens, len(r.ids)) for r in got.orderBy("doc_id").collect()] == [(1, 2, 2), (2, 0, 0)]

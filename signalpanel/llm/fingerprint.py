@@ -10,7 +10,7 @@ sets of at most k shingles.
 
 Null texts are empty. Equal texts have equal fingerprints. Two empty fingerprints
 resemble each other fully, an empty and another one not at all. Empty tables give no
-rows; further columns are ignored.
+rows; further columns are ignored, and own columns begin with __print_.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
     """df with the column `out`: the fingerprint of the text column, ascending hashes (array of long)."""
     words = F.filter(F.split(F.lower(F.col(text)), SPACE), lambda w: w != "")
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("__print_h", F.transform(words, lambda w: F.xxhash64(w)))
     # the hash list is named more than once below, so that the optimizer keeps it as a column and computes it once
-    n = F.size("_h")
-    shingle = lambda i: F.xxhash64(*(F.get(F.col("_h"), i + j) for j in range(WORDS)))
+    n = F.size("__print_h")
+    shingle = lambda i: F.xxhash64(*(F.get(F.col("__print_h"), i + j) for j in range(WORDS)))
     many = F.transform(F.sequence(F.lit(0), n - WORDS), shingle)
-    hashes = F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop("_h")
+    hashes = F.when(n >= WORDS, many).when(n > 0, F.array(F.xxhash64("__print_h"))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)).drop("__print_h")
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -94,16 +94,16 @@ def with_next(df: DataFrame, key: str, carried: list[str], parts: int) -> DataFr
     if not cuts:
         return df.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
     # which range: by every 64th cut first, then by the cuts after it
-    coarse = F.size(F.filter(F.array(*map(F.lit, cuts[::64])), lambda c: c <= F.col("_k"))) - 1
-    fine = F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), F.col("_c") * 64 + 1, F.lit(64)), lambda c: c <= F.col("_k"))) - 1
-    df = df.withColumn("_k", order).withColumn("_c", coarse).withColumn("_r", F.col("_c") * 64 + fine).drop("_c")
-    before = F.when(F.col("_k") != F.element_at(F.array(*map(F.lit, cuts)), F.col("_r") + 1), None)
-    before = before.when(F.col("_r") == 0, F.struct(F.lit(len(cuts) - 1).alias("r"), F.lit(2).alias("halo"))).otherwise(F.struct((F.col("_r") - 1).alias("r"), F.lit(1).alias("halo")))
-    places = F.filter(F.array(F.struct(F.col("_r").alias("r"), F.lit(0).alias("halo")), before), lambda p: p.isNotNull())
-    dealt = df.withColumn("_p", F.explode(places)).withColumn("_r", F.col("_p.r")).withColumn("_halo", F.col("_p.halo")).drop("_p")
-    w = Window.partitionBy("_r").orderBy("_halo", "_k", *carried)
+    coarse = F.size(F.filter(F.array(*map(F.lit, cuts[::64])), lambda c: c <= F.col("__print_k"))) - 1
+    fine = F.size(F.filter(F.slice(F.array(*map(F.lit, cuts)), F.col("__print_c") * 64 + 1, F.lit(64)), lambda c: c <= F.col("__print_k"))) - 1
+    df = df.withColumn("__print_k", order).withColumn("__print_c", coarse).withColumn("__print_r", F.col("__print_c") * 64 + fine).drop("__print_c")
+    before = F.when(F.col("__print_k") != F.element_at(F.array(*map(F.lit, cuts)), F.col("__print_r") + 1), None)
+    before = before.when(F.col("__print_r") == 0, F.struct(F.lit(len(cuts) - 1).alias("r"), F.lit(2).alias("halo"))).otherwise(F.struct((F.col("__print_r") - 1).alias("r"), F.lit(1).alias("halo")))
+    places = F.filter(F.array(F.struct(F.col("__print_r").alias("r"), F.lit(0).alias("halo")), before), lambda p: p.isNotNull())
+    dealt = df.withColumn("__print_p", F.explode(places)).withColumn("__print_r", F.col("__print_p.r")).withColumn("__print_halo", F.col("__print_p.halo")).drop("__print_p")
+    w = Window.partitionBy("__print_r").orderBy("__print_halo", "__print_k", *carried)
     out = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
-    return out.where("_halo = 0").drop("_r", "_k", "_halo")
+    return out.where("__print_halo = 0").drop("__print_r", "__print_k", "__print_halo")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:

@@ -56,3 +56,9 @@ def test_merge_and_estimates(spark):
     pair = spark.createDataFrame([(f[1], f[2], f[3])], "a array<long>, b array<long>, c array<long>")
     r, c, n = pair.select(fingerprint.resemblance(F.col("a"), F.col("b")), fingerprint.containment(F.col("a"), F.col("c")), fingerprint.distinct_shingles(F.col("c"))).first()
     assert abs(r - 1 / 3) < 0.15 and c > 0.85 and abs(n / 2996 - 1) < 0.3
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = spark.createDataFrame([(i, f"a b c d e f {i}", i, f"h{i}") for i in range(9)], "doc_id long, text string, _k int, _h string")
+    got = fingerprint.with_next(fingerprint.with_fingerprint(rows, "text", "own"), "doc_id", ["_h"], 3).orderBy("doc_id").collect()
+    assert [(r._k, r._h, r.next__h) for r in got] == [(i, f"h{i}", f"h{(i + 1) % 9}") for i in range(9)]

@@ -73,6 +73,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of the shared file system, with all that is in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def buckets(spark: SparkSession) -> int:
     """Key ranges of an exchange: several for each shuffle partition, so that partitions fill evenly."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,11 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 4. mixing: documents are drawn so that sources, languages and topics meet tempered weights.
 5. byte-level BPE: ids of every text, checked by decoding them.
 
-All but the last return the columns of documents. ORACLE_SQL is None: SQL cannot express
+All but the last return the columns of documents, and further ones as they are (the last replaces
+ids and n_tokens). Null and empty texts are never toxic, link with nothing, lose nothing, are drawn
+at the rate that MIX keeps, and have no ids; texts count whole, however long; rows with a null id
+stay rows of their own; of rows equal in id and text the second stage keeps one, of other ties the
+smallest hash of the text; an empty table passes every stage without a row. ORACLE_SQL is None: SQL cannot express
 the learned scorer, the join's components or BPE; tests hold the stages against brute force.
 """
 
@@ -69,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
             common.release(spark)
+            if k:  # the stage before has served
+                common.delete(spark, f"{folder}/{k - 1}")
     return docs

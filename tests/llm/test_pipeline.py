@@ -76,3 +76,21 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, folder):
+    """Nulls in any column, an empty and a very long text, ties, repeated rows, and columns that stages use inside."""
+    schema = COLUMNS + ", tokens long, factor double, chunk long, keys string, key long, grp long, ids string, n_tokens int, topic string"
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(9, "one two three four five six", "en", "s1", 27), (9, "one two three four five six", "en", "s1", 27), (8, None, None, None, None), (7, "", "en", "s1", 0), (None, "some words of no id at all", "fr", None, 26), (6, long, "fr", "s2", len(long))]
+    docs = spark.createDataFrame([(*r, 1, 0.5, 3, "k", 4, 5, "i", 6, None) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        ids = [r.doc_id for r in got.select("doc_id").collect()]
+        if name == "byte_bpe":
+            assert sorted(got.columns) == sorted(set(docs.columns) - {"text"}) and len(ids) == 6
+            continue
+        assert got.schema == docs.schema
+        if name != "mixing":  # which draws
+            assert sorted(map(str, ids)) == sorted(map(str, [9, 8, 7, None, 6] + [9] * (name != "near_duplicates")))
+    assert got.where("doc_id = 6").first().n_tokens > 300_000

@@ -117,15 +117,25 @@ class Vocabulary:
         return np.where(keys == END, STOP, out)
 
 
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the row of `out` at its place; places may repeat."""
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    place = at[order]
+    first = np.flatnonzero(np.diff(place, prepend=place[0] - 1))
+    out[place[first]] += np.add.reduceat(rows[order], first)
+
+
 class LogBilinear:
     """Parameters in one flat array; views by name."""
 
-    def __init__(self, classes: int, dim: int, noise: np.ndarray, flat: np.ndarray | None = None, seed: int = 7):
+    def __init__(self, classes: int, dim: int, noise: np.ndarray, flat: np.ndarray | None = None, seed: int = 7, kind=float):
         self.shapes = {"r": (classes + 1, dim), "c": (ORDER, dim, dim), "q": (classes, dim), "b": (classes,)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         self.noise = noise / noise.sum()
         fresh = flat is None
-        self.flat = np.zeros(size) if fresh else np.array(flat, float)
+        self.flat = np.zeros(size, kind) if fresh else np.array(flat, kind)
         at = 0
         for name, shape in self.shapes.items():
             n = int(np.prod(shape))
@@ -152,24 +162,21 @@ class LogBilinear:
         """Of the mean noise-contrastive loss; all tokens share the drawn noise classes. And the loss's mean curvature by the
         representation of a token before."""
         n, k = len(target), len(drawn)
-        shift = np.log(k * self.noise)
+        shift = np.log(k * self.noise).astype(self.flat.dtype)
         hat = self.predicted(ctx)
         pos = (hat * self.q[target]).sum(1) + self.b[target] - shift[target]
         neg = hat @ self.q[drawn].T + (self.b - shift)[drawn]
         gp = -1 / (1 + np.exp(np.clip(pos, -30, 30))) / n
         gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / n
         out = LogBilinear.__new__(LogBilinear)
-        LogBilinear.__init__(out, len(self.b), self.q.shape[1], self.noise, np.zeros_like(self.flat))
+        LogBilinear.__init__(out, len(self.b), self.q.shape[1], self.noise, np.zeros_like(self.flat), kind=self.flat.dtype)
         g_hat = gp[:, None] * self.q[target] + gn @ self.q[drawn]
-        gt, gd = gp[:, None] * hat, gn.T @ hat
-        for j in range(hat.shape[1]):
-            out.q[:, j] = np.bincount(target, gt[:, j], len(self.b)) + np.bincount(drawn, gd[:, j], len(self.b))
-        out.b[:] = np.bincount(target, gp, len(self.b)) + np.bincount(drawn, gn.sum(0), len(self.b))
+        both = np.concatenate([target, drawn])
+        add_rows(out.q, both, np.concatenate([gp[:, None] * hat, gn.T @ hat]))
+        add_rows(out.b[:, None], both, np.concatenate([gp, gn.sum(0)])[:, None])
         for i in range(ORDER):
             out.c[i] = self.r[ctx[:, i]].T @ g_hat
-            back = g_hat @ self.c[i].T
-            for j in range(hat.shape[1]):
-                out.r[:, j] += np.bincount(ctx[:, i], back[:, j], len(self.r))
+            add_rows(out.r, ctx[:, i], g_hat @ self.c[i].T)
         bend, slope = -gp * (1 + n * gp), (gn * (1 - n * gn)).sum(0)
         bend = (self.q[target] * bend[:, None]).T @ self.q[target] + (self.q[drawn] * slope[:, None]).T @ self.q[drawn]
         return out.flat, sum(c @ bend @ c.T for c in self.c) / ORDER
@@ -261,7 +268,7 @@ def train(chunks: DataFrame, words: Vocabulary, mod: int, remainder: int, dim: i
     for turn in range(rounds):
 
         def local(batches, flat=model.flat.copy(), turn=turn):
-            own, trainer = LogBilinear(words.size, dim, prior, flat), None
+            own, trainer = LogBilinear(words.size, dim, prior, flat, kind=np.float32), None
             for c in C.each_chunk(batches):
                 c = c.part(turn, rounds)
                 trainer = trainer or Trainer(own, rate / (1 + turn), batch, noise, c.chunk + 1)
@@ -270,7 +277,7 @@ def train(chunks: DataFrame, words: Vocabulary, mod: int, remainder: int, dim: i
                 use = ~s.held[s.doc]
                 trainer.feed(contexts(ids, s.at, words.size)[use], ids[use])
             if trainer and trainer.seen:
-                total = np.concatenate([own.flat * trainer.seen, trainer.bend.ravel()])
+                total = np.concatenate([own.flat.astype(float) * trainer.seen, trainer.bend.ravel().astype(float)])
                 parts = [total[lo : lo + SLICE] for lo in range(0, len(total), SLICE)]
                 meet = TaskContext.get().partitionId() // MEET
                 cols = [range(len(parts)), [meet] * len(parts), [trainer.seen] * len(parts), [p.tobytes() for p in parts]]
@@ -308,27 +315,35 @@ def evidence_rows(c: C.Chunk, k: Known, model: LogBilinear, words: Vocabulary, b
         at = use[lo : lo + batch]
         drawn = rng.choice(len(model.noise), noise, p=model.noise)
         for i, g in enumerate(model.backs(ctx[at], k.ids[at], drawn)):
-            order = np.argsort(own[at, i], kind="stable")
-            word = own[at, i][order]
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            grad[word[first]] += np.add.reduceat(g[order], first)
-            places[word[first]] += np.diff(first, append=len(word))
+            has = own[at, i] < n
+            add_rows(grad, own[at, i][has], g[has])
+        places += np.bincount(own[at].ravel(), minlength=n + 1)
     of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
     rows = []
     for b in np.unique(of):
         a = of == b
-        rows.append((c.chunk, int(b), k.keys[a].tobytes(), np.clip(grad[:-1][a], -6e4, 6e4).astype("<f2").tobytes(), C.packed_counts(places[:-1][a])))
+        rows.append((c.chunk, int(b), k.keys[a].tobytes(), packed_rows(grad[:-1][a]), C.packed_counts(places[:-1][a])))
     cols = list(zip(*rows)) if rows else [()] * 5
     return pa.table({f.split()[0]: pa.array(x, t) for f, x, t in zip(EVIDENCE.split(", "), cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])})
 
 
+def packed_rows(x: np.ndarray) -> bytes:
+    """Rows in steps of a 127th of their greatest value, a byte each."""
+    step = np.abs(x).max(axis=1, initial=0).astype("<f4") / np.float32(127)
+    return step.tobytes() + np.rint(x / np.where(step > 0, step, 1)[:, None]).astype(np.int8).tobytes()
+
+
+def unpacked_rows(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f4", n)[:, None] * np.frombuffer(raw, np.int8, offset=4 * n).reshape(n, -1)
+
+
 EVIDENCE = "chunk long, bucket long, keys binary, grad binary, places binary"
 #: Precision of the prior of a word's own representation, which has the mean 0.
 PRECISION = 16.0
 
 
 def representations(evidence: DataFrame, bend: np.ndarray) -> DataFrame:
-    """For each row of evidence, its words' representations in half precision: one Newton step of each from its summed
+    """For each row of evidence, its words' representations, packed: one Newton step of each from its summed
     gradient, with the mean curvature for each of its places and the prior's."""
     dim = len(bend)
     curve, axes = np.linalg.eigh((bend + bend.T) / 2)
@@ -337,10 +352,10 @@ def representations(evidence: DataFrame, bend: np.ndarray) -> DataFrame:
         parts = [np.frombuffer(x.as_py(), C.U64) for x in t.column("keys")]
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         places = np.bincount(inverse, np.concatenate([C.unpacked_counts(x.as_py(), len(p)) for x, p in zip(t.column("places"), parts)]))
-        grad = np.concatenate([np.frombuffer(x.as_py(), "<f2").reshape(-1, dim) for x in t.column("grad")])
+        grad = np.concatenate([unpacked_rows(x.as_py(), len(p)) for x, p in zip(t.column("grad"), parts)])
         grad = np.stack([np.bincount(inverse, grad[:, j]) for j in range(dim)], axis=1)
-        own = -(grad @ axes / (places[:, None] * np.maximum(curve, 0) + PRECISION) @ axes.T).astype("<f2")
-        replies = [own[x].tobytes() for x in np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])]
+        own = -(grad @ axes / (places[:, None] * np.maximum(curve, 0) + PRECISION) @ axes.T)
+        replies = [packed_rows(own[x]) for x in np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "reply": pa.array(replies, pa.binary())})
 
     return evidence.groupBy("bucket").applyInArrow(run, C.REPLY)
@@ -371,8 +386,8 @@ def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, share: floa
 
     both = replies.withColumn("own", F.lit(None).cast("binary"))
     if model:
-        own = representations(C.saved(C.with_replies(chunks, replies, weigh, EVIDENCE)), bend)
         C.release(df.sparkSession)  # the first exchange's shuffles have served
+        own = representations(C.with_replies(chunks, replies, weigh, EVIDENCE), bend)
         both = both.unionByName(own.select("chunk", "bucket", F.lit(None).cast("binary").alias("reply"), F.col("reply").alias("own")))
 
     def score(c, replies):
@@ -381,7 +396,7 @@ def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, share: floa
         if model and len(k.keys):
             got = {b: o for b, o in zip(replies.column("bucket").to_pylist(), replies.column("own").to_pylist()) if o is not None}
             of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
-            vectors[:-1] = np.concatenate([np.frombuffer(got[int(b)], "<f2").reshape(-1, dim) for b in np.unique(of)])
+            vectors[:-1] = np.concatenate([unpacked_rows(got[int(b)], size) for b, size in zip(*np.unique(of, return_counts=True))])
         base = np.log10((k.count + 1) / (n + v + 1))
         own = token_log10(model, words, k.ids, s.at, k.count, k.number, vectors) if model else base
         first = np.concatenate([[0], s.stop[:-1]]).astype(np.int64)

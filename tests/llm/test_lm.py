@@ -81,14 +81,14 @@ def test_scores_equal_plain_loops():
 
 def test_vocabulary_of_words_grows_with_the_corpus(spark):
     """Every word above the count threshold has a representation of its own: the Newton step from all of its places."""
-    grad = lambda *rows: np.array(rows, "<f2").tobytes()
+    grad = lambda *rows: lm.packed_rows(np.array(rows, float))
     key = lambda *k: np.array(k, np.uint64).tobytes()
     rows = [(0, 0, key(3, 9), grad([1, 2], [4, 0]), C.packed_counts(np.array([2, 300]))), (7, 0, key(9, 11), grad([-2, 2], [0, 0]), C.packed_counts(np.array([1, 0]))), (7, 5, key(77), grad([1, 1]), C.packed_counts(np.array([1])))]
     bend = np.array([[2.0, 0.5], [0.5, 1.0]])
-    got = {(r.chunk, r.bucket): np.frombuffer(r.reply, "<f2").reshape(-1, 2) for r in lm.representations(spark.createDataFrame(rows, lm.EVIDENCE), bend).collect()}
+    got = {(r.chunk, r.bucket): lm.unpacked_rows(r.reply, 1 if r.bucket or r.chunk == 9 else 2) for r in lm.representations(spark.createDataFrame(rows, lm.EVIDENCE), bend).collect()}
     step = lambda g, n: -np.linalg.solve(n * bend + lm.PRECISION * np.eye(2), g)
     want = {(0, 0): [step([1, 2], 2), step([2, 2], 301)], (7, 0): [step([2, 2], 301), step([0, 0], 0)], (7, 5): [step([1, 1], 1)]}
-    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=2e-3) for k in want)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=5e-3) for k in want)
     for n in (50, 3000):
         rng = np.random.default_rng(n)
         text = [" ".join(f"w{x}" for x in rng.integers(0, n, 40)) for _ in range(n // 4)]
@@ -113,7 +113,7 @@ def test_vocabulary_of_words_grows_with_the_corpus(spark):
                 if s.at[at] > i and k.number[at - i - 1] < len(k.keys):
                     want[k.number[at - i - 1]] += backs[i][j]
                     places[k.number[at - i - 1]] += 1
-        assert np.allclose(np.frombuffer(t.column("grad")[0].as_py(), "<f2").reshape(-1, 4), want, atol=0.02, rtol=2e-3)
+        assert (np.abs(lm.unpacked_rows(t.column("grad")[0].as_py(), len(want)) - want) <= np.abs(want).max(1)[:, None] / 200 + 1e-4).all()
         assert C.unpacked_counts(t.column("places")[0].as_py(), len(places)).tolist() == places.tolist()
 
 

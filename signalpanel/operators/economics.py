@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalpanel.functions.draws import triangular, uniform
@@ -159,9 +159,10 @@ def tornado(summary: DataFrame) -> DataFrame:
     """input, median net value at the bad and the good end, swing, place by swing."""
     parts = F.split("scenario", r"\|")
     side = lambda s: F.max(F.when(parts[1] == s, F.col("net_p50")))
-    return summary.groupBy(parts[0].alias("input")).agg(side("bad").alias("bad"), side("good").alias("good")).withColumn("swing", F.abs(F.col("good") - F.col("bad")))
+    out = summary.groupBy(parts[0].alias("input")).agg(side("bad").alias("bad"), side("good").alias("good")).withColumn("swing", F.abs(F.col("good") - F.col("bad")))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("swing").desc(), "input")))  # a row an input
 
 
 def operating_point(summary: DataFrame) -> DataFrame:
     """The scenario with the highest median net value; ties go to the first name."""
-    return summary.agg(F.max_by(F.struct("scenario", "net_p50", "p_positive"), F.struct("net_p50", F.col("scenario"))).alias("b")).select("b.*")
+    return summary.agg(F.min_by(F.struct("scenario", "net_p50", "p_positive"), F.struct(-F.col("net_p50"), "scenario")).alias("b")).select("b.*")

@@ -5,8 +5,13 @@ see one row a score."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from signalpanel.functions.draws import uniform
 from signalpanel.functions.running import running_totals
@@ -24,11 +29,45 @@ def by_score(df: DataFrame, score: str, label: str, weight: str | None = None, b
 
 
 def weighted_auc(df: DataFrame, score: str, label: str, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """auc (Mann-Whitney, ties one half) of each group, null where a class is missing."""
-    rows = running_totals(by_score(df, score, label, weight, by), "score", {"below": "nw"}, by)
-    inner = F.sum(F.col("pw") * (F.col("below") - F.col("nw") / 2))
-    agg = rows.groupBy(*by).agg(inner.alias("hits"), F.sum("pw").alias("p"), F.sum("nw").alias("n"))
-    return agg.select(*by, F.try_divide("hits", F.col("p") * F.col("n")).alias("auc"))
+    """auc (Mann-Whitney, ties one half) of each group, null where a class is missing.
+
+    Distinct scores are sorted in ranges, so a group may spread over many tasks; each range is added up for itself, and the
+    negatives of earlier ranges, a row a range and group, are added. Nothing runs before the query does."""
+    kinds = {c: df.schema[c] for c in by}
+    schema = StructType([StructField("__part", IntegerType()), *kinds.values(), *(StructField(c, DoubleType()) for c in ("__p", "__n", "__hits"))])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = by_score(df, score, label, weight, by).select(*by, "score", "pw", "nw").repartitionByRange(parts, *by, "score").sortWithinPartitions(*by, "score")
+
+    def pieces(batches):
+        part, held = TaskContext.get().partitionId(), None  # held: the last group, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
+            p, n = batch.column("pw").to_numpy(), batch.column("nw").to_numpy()
+            first = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            out = []
+            for lo, hi in zip(first, [*first[1:], len(keys)]):
+                if not (held and held[0] == keys[lo]):
+                    out += [held] if held else []
+                    held = (keys[lo], 0.0, 0.0, 0.0)
+                _, ps, ns, hits = held
+                held = (keys[lo], ps + p[lo:hi].sum(), ns + n[lo:hi].sum(), hits + float(p[lo:hi] @ (ns + np.cumsum(n[lo:hi]) - n[lo:hi] / 2)))
+            if out:
+                yield rows_of(out, part)
+        if held:
+            yield rows_of([held], part)
+
+    arrow = to_arrow_schema(schema)
+
+    def rows_of(found, part):
+        columns = [[part] * len(found), *([f[0][i] for f in found] for i in range(len(by))), *([float(f[i]) for f in found] for i in (1, 2, 3))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], arrow.names)
+
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    rows = rows.mapInArrow(pieces, schema).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0.0)))
+    agg = rows.groupBy(*by).agg(F.sum(F.col("__hits") + F.col("__p") * F.col("__before")).alias("__hits"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    return agg.select(*by, F.try_divide("__hits", F.col("__p") * F.col("__n")).alias("auc"))
 
 
 def univariate_auc(long: DataFrame, least: int = 50) -> DataFrame:
@@ -95,7 +134,7 @@ def resample_counts(groups: DataFrame, replicates: int, seed: int = 42, group: s
     Groups are numbered by hash order; a draw is a number, joined with its group, so counts are partial sums on any cluster."""
     numbered = groups.select(group).distinct().withColumn("_at", F.row_number().over(Window.orderBy(uniform(seed, group), F.col(group))) - 1)
     n = numbered.agg(F.count("*").alias("_n"))
-    draws = n.select("_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).where("_n > 0")
+    draws = groups.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")).crossJoin(F.broadcast(n)).where("_n > 0")
     draws = draws.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
     at = F.floor(uniform(seed, "replicate", "_draw") * F.col("_n")).cast("int")
     return draws.select("replicate", at.alias("_at")).groupBy("replicate", "_at").agg(F.count("*").alias("times")).join(numbered, "_at").drop("_at")
@@ -105,14 +144,78 @@ def _interval(values: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataF
     return values.groupBy(*by).agg(F.percentile(column, 0.025).alias("lo"), F.percentile(column, 0.975).alias("hi"), F.avg(column).alias("mean"), F.count(column).alias("replicates"))
 
 
+PIECES = "part int, name string, p array<double>, n array<double>, hits array<double>"
+
+
 def bootstrap_aucs(df: DataFrame, scores: list[str], label: str, counts: DataFrame, weight: str | None = None, group: str = "vehicle_id") -> DataFrame:
-    """replicate, name, auc of each score column; all share the replicates' draws."""
+    """replicate, name, auc of each score column; all share the replicates' draws.
+
+    Rows are sorted by score once for all replicates, range by range, each with the numbers of times that its group is drawn;
+    every range adds up all replicates in numpy, and the totals of earlier ranges, a row a range, are added."""
     w = _weight(df, weight)
     long = df.select(group, F.col(label).alias("y"), w.alias("w"), F.explode(F.array(*(F.struct(F.lit(s).alias("name"), F.col(s).cast("double").alias("score")) for s in scores))).alias("s"))
     # rows of a vehicle and score are one row before they meet the replicates
-    long = long.groupBy(group, "s.name", "s.score", "y").agg(F.sum("w").alias("w"))
-    drawn = long.join(counts, group).withColumn("w", F.col("w") * F.col("times"))
-    return weighted_auc(drawn, "score", "y", "w", ("replicate", "name"))
+    side = lambda y: F.sum(F.when(F.col("y") == y, F.col("w")).otherwise(0.0))
+    long = long.where("s.score IS NOT NULL").groupBy(group, "s.name", "s.score").agg(side(1).alias("pw"), side(0).alias("nw"))
+    drawn = long.join(counts.groupBy(group).agg(F.collect_list(F.struct("replicate", "times")).alias("drawn")), group)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = drawn.select("name", "score", "pw", "nw", "drawn").repartitionByRange(parts, "name", "score").sortWithinPartitions("name", "score")
+    pieces = sorted_rows.mapInArrow(_sorted_pieces, PIECES)
+    rows = pieces.select("part", "name", F.posexplode(F.arrays_zip("p", "n", "hits"))).select("part", "name", F.col("pos").alias("replicate"), "col.*")
+    # replicates of which a range has no rows are zeros at the ends of its arrays
+    earlier = Window.partitionBy("name", "replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0.0)))
+    agg = rows.groupBy("replicate", "name").agg(F.sum(F.col("hits") + F.col("p") * F.col("before")).alias("hits"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return agg.select("replicate", "name", F.try_divide("hits", F.col("p") * F.col("n")).alias("auc"))
+
+
+def _sorted_pieces(batches):
+    """For each name of a partition sorted by name and score, and each replicate: weights of positives and negatives, and
+    positives times the negatives below them (ties one half) within the partition."""
+    part, sums, held = TaskContext.get().partitionId(), {}, None  # held: the last score, whose rows may go on
+
+    def wide(x, size):
+        return np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, size - x.shape[-1])]) if x.shape[-1] < size else x
+
+    def close(name, p, n):
+        """Adds groups of equal score, ascending: (groups, replicates) weights."""
+        size = max(p.shape[1], len(sums[name][0]) if name in sums else 0)
+        p, n = wide(p, size), wide(n, size)
+        own = [wide(x, size) for x in sums.get(name, [np.zeros(size)] * 3)]
+        below = own[1] + np.cumsum(n, axis=0) - n / 2
+        sums[name] = [own[0] + p.sum(0), own[1] + n.sum(0), own[2] + (p * below).sum(0)]
+
+    for batch in batches:
+        names, score = batch.column("name").to_pylist(), batch.column("score").to_numpy(zero_copy_only=False)
+        drawn = batch.column("drawn")
+        flat, size = drawn.flatten(), np.diff(drawn.offsets.to_numpy())
+        rep, times = flat.field("replicate").to_numpy(), flat.field("times").to_numpy()
+        for lo in range(0, len(names), 2048):
+            hi = min(lo + 2048, len(names))
+            a, b = size[:lo].sum(), size[:hi].sum()
+            count = np.zeros((hi - lo, int(rep[a:b].max(initial=0)) + 1))
+            count[np.repeat(np.arange(hi - lo), size[lo:hi]), rep[a:b]] = times[a:b]
+            pw, nw = (batch.column(c).to_numpy()[lo:hi, None] * count for c in ("pw", "nw"))
+            keys = list(zip(names[lo:hi], score[lo:hi]))
+            first = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            p, n = np.add.reduceat(pw, first), np.add.reduceat(nw, first)
+            if held and held[0] == keys[0]:
+                width = max(p.shape[1], held[1].shape[1])
+                p, n = wide(p, width), wide(n, width)
+                p[0] += wide(held[1], width)[0]
+                n[0] += wide(held[2], width)[0]
+            elif held:
+                close(held[0][0], held[1], held[2])
+            of = [keys[i][0] for i in first]
+            for name in dict.fromkeys(of):
+                at = [i for i in range(len(of) - 1) if of[i] == name]
+                if at:
+                    close(name, p[at], n[at])
+            held = (keys[-1], p[-1:], n[-1:])
+    if held:
+        close(held[0][0], held[1], held[2])
+    if sums:
+        yield pa.RecordBatch.from_pylist([{"part": part, "name": k, "p": p.tolist(), "n": n.tolist(), "hits": h.tolist()} for k, (p, n, h) in sums.items()], pa.schema([("part", pa.int32()), ("name", pa.string()), *((c, pa.list_(pa.float64())) for c in ("p", "n", "hits"))]))
 
 
 def auc_interval(df: DataFrame, score: str, label: str, counts: DataFrame, weight: str | None = None) -> DataFrame:

@@ -56,8 +56,9 @@ def full_set(vehicles: DataFrame, coverage: DataFrame, years: DataFrame, catalog
 
 
 def event_rate(vehicles: DataFrame, panel: DataFrame, events: DataFrame, horizon: int) -> DataFrame:
-    """Events, vehicle-years, rate a vehicle-year with its normal interval, and rate a vehicle and horizon."""
-    span = panel.agg(F.count_distinct("vehicle_id").alias("vehicles"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("days"))
+    """Events, vehicle-years, rate a vehicle-year with its normal interval, and rate a vehicle and horizon. All vehicles given
+    count, also those that the panel is silent about."""
+    span = panel.agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("days")).crossJoin(vehicles.agg(F.count("*").alias("vehicles")))
     n = events.join(vehicles.select("vehicle_id"), "vehicle_id", "left_semi").agg(F.count("*").alias("events"))
     years, half = F.col("vehicles") * F.col("days") / 365.0, F.lit(1.96) * F.sqrt(F.greatest(F.col("events"), F.lit(1))) / F.col("years")
     out = n.crossJoin(F.broadcast(span)).withColumn("years", years).withColumn("rate", F.col("events") / F.col("years"))
@@ -77,22 +78,22 @@ def median_gap(long: DataFrame) -> DataFrame:
 
 def psi_drift(long: DataFrame, bins: int = 10, least_rows: int = 200, least_first: int = 50) -> DataFrame:
     """signal, psi between the first and the last quarter of its readings in order of date and vehicle; bins are quantiles of
-    the first. 0 where a quarter is small or does not vary; null where there are too few readings."""
+    the first, and a reading equal to an edge is above it. 0 where there are few readings or a quarter is small or does not vary."""
     w = Window.partitionBy("signal").orderBy("date", "vehicle_id")
     rows = long.where("value IS NOT NULL").withColumns({"_at": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("signal"))})
     quarter = F.floor(F.col("_n") / 4)
     rows = rows.withColumn("part", F.when(F.col("_at") <= quarter, "first").when(F.col("_at") > F.col("_n") - quarter, "last")).where("part IS NOT NULL")
     first = rows.where("part = 'first'").groupBy("signal").agg(F.percentile("value", [i / bins for i in range(1, bins)]).alias("edges"), F.count("*").alias("n"), F.stddev_pop("value").alias("sd"), F.max("_n").alias("all"))
-    # equal edges make one bin: a reading belongs to the bin after the last distinct edge below it
+    # equal edges make one bin: a reading belongs to the bin after the last distinct edge that it reaches
     first = first.withColumn("edges", F.array_distinct("edges"))
-    placed = rows.join(first, "signal").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value"))))
+    placed = rows.join(first, "signal").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
     count = lambda p: F.sum((F.col("part") == p).cast("long"))
     per = placed.groupBy("signal", "bin").agg(count("first").alias("a"), count("last").alias("b"))
     every = first.select("signal", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"), "n", "sd", "all")
     share = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.col("n"), F.lit(1e-6))
     rows = every.join(per, ["signal", "bin"], "left").withColumns({"a": share("a"), "b": share("b")})
     psi = rows.groupBy("signal", "n", "sd", "all").agg(F.sum((F.col("b") - F.col("a")) * F.ln(F.col("b") / F.col("a"))).alias("psi"))
-    return psi.select("signal", F.when(F.col("all") <= least_rows, None).when((F.col("n") < least_first) | (F.col("sd") == 0), 0.0).otherwise(F.col("psi")).alias("psi"))
+    return psi.select("signal", F.when((F.col("all") <= least_rows) | (F.col("n") < least_first) | (F.col("sd") == 0), 0.0).otherwise(F.col("psi")).alias("psi"))
 
 
 def frozen_share(long: DataFrame, days: int = 14) -> DataFrame:
@@ -160,12 +161,14 @@ def leakage_spearman(long: DataFrame, least: int = 50) -> DataFrame:
 
 
 def leakage_flag_lift(long: DataFrame, least: int = 20) -> DataFrame:
-    """signal, lift, recall of its largest value as a flag, of signals with 2 or 3 distinct values and more than `least` such rows."""
-    rows = long.where("value IS NOT NULL")
-    top = rows.groupBy("signal").agg(F.count_distinct("value").alias("distinct"), F.max("value").alias("top")).where("distinct IN (2, 3)")
-    on = (F.col("value") == F.col("top")).cast("double")
-    per = rows.join(F.broadcast(top), "signal").groupBy("signal").agg(F.sum(on).alias("active"), F.sum(on * F.col("y")).alias("hits"), F.sum("y").alias("pos"), F.count("*").alias("n"))
-    return per.where(F.col("active") > least).select("signal", F.try_divide(F.col("hits") / F.col("active"), F.col("pos") / F.col("n")).alias("lift"), F.try_divide("hits", "pos").alias("recall"))
+    """signal, lift, recall of its values other than the most frequent one (of equally frequent ones the smallest) as a flag, of
+    signals with 2 or 3 distinct values and more than `least` such rows. Rates are over all known rows, with a reading or not."""
+    per = long.groupBy("signal", "value").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    read = F.col("value").isNotNull()
+    mode = F.max(F.when(read, F.struct("n", (-F.col("value")).alias("v"), "y")))  # the greatest: most rows, then smallest value
+    own = per.groupBy("signal").agg(F.count("value").alias("distinct"), mode.alias("mode"), F.sum(F.when(read, F.col("n"))).alias("read"), F.sum(F.when(read, F.col("y"))).alias("hits"), F.sum("n").alias("n"), F.sum("y").alias("pos"))
+    own = own.where("distinct IN (2, 3)").withColumns({"active": F.col("read") - F.col("mode.n"), "hits": F.col("hits") - F.col("mode.y")})
+    return own.where(F.col("active") > least).select("signal", F.try_divide(F.col("hits") / F.col("active"), F.col("pos") / F.col("n")).alias("lift"), F.try_divide("hits", "pos").alias("recall"))
 
 
 def leakage_verdict(long: DataFrame, least_class: int = 20) -> DataFrame:
@@ -173,7 +176,7 @@ def leakage_verdict(long: DataFrame, least_class: int = 20) -> DataFrame:
     enough = long.where("y >= 0").groupBy("signal").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).where((F.col("p") >= least_class) & (F.col("n") >= least_class)).select("signal")
     known = long.where("y >= 0").join(F.broadcast(enough), "signal", "left_semi")
     out = enough
-    for part in (leakage_availability(known), leakage_spearman(known), leakage_flag_lift(known), univariate_auc(known)):
+    for part in (leakage_availability(known), leakage_spearman(known), leakage_flag_lift(known), univariate_auc(known, 101)):
         out = out.join(part, "signal", "left")
     rules = {
         "auc": F.col("auc") >= 0.99, "availability": (F.col("ratio") >= 2.0) & (F.col("pos_avail") > 0.2),
@@ -184,8 +187,53 @@ def leakage_verdict(long: DataFrame, least_class: int = 20) -> DataFrame:
     return out.select("signal", "reasons", "leaks", (~F.col("leaks") & F.coalesce(F.col("auc").between(0.95, 0.99), F.lit(False))).alias("suspicious"))
 
 
-def findings(vehicles: DataFrame, signals: DataFrame, events: DataFrame, today: str, ids: list[str]) -> DataFrame:
-    """rule, level, count: defects of the three tables against the contract, a row for each rule."""
+#: Required columns and the kinds that they may have.
+REQUIRED = {
+    "vehicles": {"vehicle_id": "text", "oem": "text", "model_year": "integer", "powertrain": "text"},
+    "events": {"vehicle_id": "text", "date": "date", "event_type": "text"},
+    "signals_daily": {"vehicle_id": "text", "date": "date"},
+}
+KINDS = {"text": ("string",), "integer": ("tinyint", "smallint", "int", "bigint"), "date": ("date", "timestamp", "timestamp_ntz")}
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+
+
+def schema_findings(vehicles: DataFrame, signals: DataFrame, events: DataFrame, ids: list[str]) -> DataFrame:
+    """rule, level, count, columns: required columns that are missing or of another kind, catalogued signals that are missing or
+    not numeric. From the tables' types alone; nothing is read."""
+    tables, rows = {"vehicles": vehicles, "events": events, "signals_daily": signals}, []
+    for name, required in REQUIRED.items():
+        have = dict(tables[name].dtypes)
+        rows.append((f"{name}_missing_column", [c for c in required if c not in have]))
+        rows.append((f"{name}_column_type", [c for c, kind in required.items() if c in have and have[c] not in KINDS[kind]]))
+    have = dict(signals.dtypes)
+    rows.append(("signals_absent", [i for i in ids if i not in have]))
+    rows.append(("signals_not_numeric", [i for i in ids if i in have and have[i].split("(")[0] not in NUMERIC]))
+    return vehicles.sparkSession.createDataFrame([(rule, "error", len(c), ",".join(sorted(c))) for rule, c in rows], "rule string, level string, count long, columns string")
+
+
+def shape_findings(vehicles: DataFrame, signals: DataFrame, events: DataFrame, least_days: int = 180) -> DataFrame:
+    """rule, level, count: a single group, vehicle-days missing from the grid, days short of a history that forward validation
+    needs, events outside the signals' dates, and events of each type."""
+    span = signals.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("days"))
+    fleet = vehicles.agg(F.count_distinct("vehicle_id").alias("vehicles"), F.count_distinct("oem").alias("groups"))
+    whole = span.crossJoin(F.broadcast(fleet))  # a row each
+    positive = lambda c: F.greatest(c, F.lit(0)).cast("long")
+    row = lambda rule, level, count: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), count.cast("long").alias("count"))
+    shape = whole.select(F.explode(F.array(
+        row("vehicles_single_group", "warning", (F.col("groups") < 2).cast("long")),
+        row("signals_grid_gaps", "warning", positive(F.col("vehicles") * F.coalesce("days", F.lit(0)) - F.col("n"))),
+        row("signals_short_history", "warning", positive(F.lit(least_days) - F.coalesce("days", F.lit(0)))),
+    )).alias("r")).select("r.*")
+    outside = events.crossJoin(F.broadcast(span)).where((F.col("date") < F.col("first")) | (F.col("date") > F.col("last")))
+    outside = outside.agg(F.count("*").alias("count")).select(F.lit("events_outside_dates").alias("rule"), F.lit("warning").alias("level"), "count")
+    kinds = events.groupBy("event_type").agg(F.count("*").alias("count")).select(F.concat(F.lit("events_by_type:"), "event_type").alias("rule"), F.lit("info").alias("level"), "count")
+    return shape.unionByName(outside).unionByName(kinds)
+
+
+def findings(vehicles: DataFrame, signals: DataFrame, events: DataFrame, today: str, ids: list[str], inactive_ok: frozenset[str] = frozenset()) -> DataFrame:
+    """rule, level, count: defects of the three tables against the contract, a row for each rule. Signals of `inactive_ok`, such
+    as positions of a vehicle that is otherwise dark, may speak on inactive days."""
+    ids = [i for i in ids if i not in inactive_ok]
     row = lambda df, rule, level: df.agg(F.count("*").alias("count")).select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), "count")
     twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
     own = vehicles.select("vehicle_id")
@@ -201,7 +249,7 @@ def findings(vehicles: DataFrame, signals: DataFrame, events: DataFrame, today:
         row(events.join(own, "vehicle_id", "left_anti"), "events_orphan", "error"),
         row(events.where(F.col("date") > F.lit(today).cast("date")), "events_future", "error"),
     ]
-    if "active" in signals.columns:
+    if "active" in signals.columns and ids:
         speaks = F.greatest(*(F.coalesce((F.col(i) != 0).cast("int"), F.lit(0)) for i in ids), F.lit(0)) == 1
         parts.append(row(signals.where(~F.col("active") & speaks), "signals_inactive_value", "warning"))
     out = parts[0]

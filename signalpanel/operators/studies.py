@@ -38,7 +38,7 @@ def _odds(p: Column, n: Column, all_p: Column, all_n: Column) -> Column:
 def out_of_fold(long: DataFrame, keys: list[str] = ROW, fold: str = "fold") -> DataFrame:
     """Every row's score by odds that its own fold had no part in; long comes from binned() with y and a fold."""
     per = bin_counts(long, fold)
-    folds = long.select(fold).distinct()
+    folds = per.select(fold).distinct()  # of the counts, which the query has anyway
     whole = per.groupBy("feature", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     own = per.select("feature", "bin", fold, F.col("p").alias("op"), F.col("n").alias("on"))
     rest = whole.crossJoin(F.broadcast(folds)).join(own, ["feature", "bin", fold], "left")  # features x bins x folds
@@ -68,6 +68,24 @@ def signal_of(feature: Column) -> Column:
     return F.split(feature, "__")[0]
 
 
+def top_signals(solo: DataFrame, most: int = 3) -> DataFrame:
+    """The signals with the highest AUC of their own, ties by name."""
+    return solo.orderBy(F.col("auc").desc(), "signal").limit(most)
+
+
+def compare_sets(long: DataFrame, sets: dict[str, list[str]], counts: DataFrame) -> DataFrame:
+    """name, auc, lo, hi of each set of signals out of fold, and the interval of its difference to the first set."""
+    out, first = None, None
+    for name, signals in sets.items():
+        scored = out_of_fold(long.where(signal_of(F.col("feature")).isin(signals))).select(*ROW, "y", F.col("score").alias("own"))
+        first = first if first is not None else scored.select(*ROW, F.col("own").alias("first"))
+        one = metrics.auc_interval(scored, "own", "y", counts).select(F.lit(name).alias("name"), F.col("point").alias("auc"), "lo", "hi")
+        delta = metrics.paired_delta(scored.join(first, ROW), "own", "first", "y", counts).select(F.col("lo").alias("delta_lo"), F.col("hi").alias("delta_hi"))
+        one = one.crossJoin(F.broadcast(delta))  # a row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def single_signal_auc(long: DataFrame) -> DataFrame:
     """signal, auc of its features alone, out of fold."""
     per = out_of_fold(long.withColumn("signal", signal_of(F.col("feature"))), ["signal", *ROW])
@@ -98,7 +116,7 @@ def permutation_importance(long: DataFrame, folds: int = 5, seed: int = 42) -> D
 def _fold_table(long: DataFrame) -> DataFrame:
     """feature, bin, fold, odds learned on the other folds."""
     per = bin_counts(long, "fold")
-    folds = long.select("fold").distinct()
+    folds = per.select("fold").distinct()
     whole = per.groupBy("feature", "bin").agg(F.sum("p").alias("wp"), F.sum("n").alias("wn"))
     rest = whole.crossJoin(F.broadcast(folds)).join(per, ["feature", "bin", "fold"], "left")
     rest = rest.select("feature", "bin", "fold", (F.col("wp") - F.coalesce("p", F.lit(0.0))).alias("p"), (F.col("wn") - F.coalesce("n", F.lit(0.0))).alias("n"))
@@ -115,16 +133,17 @@ def mutual_information(long: DataFrame) -> DataFrame:
 
 
 def ablation(rows: DataFrame, long: DataFrame, signals: list[str], cost: dict[str, float], counts: DataFrame, tolerance: float = 0.005, share: float = 0.8, screen: int = 20) -> list[dict]:
-    """Backward removal, least importance for its cost first. A removal stands if at least `share` of the replicates lose no
-    more than `tolerance` against the full set; one that does not stays and the search goes on. The trace, a row a step.
+    """Backward removal, least permutation importance for its cost first, of the `screen` signals that have most. A removal
+    stands if at least `share` of the replicates lose no more than `tolerance` against the full set; one that does not stays and
+    the search goes on. The trace, a row a step.
 
     Driver control flow over aggregates: each step is one scorecard and one paired bootstrap on the cluster."""
-    solo = {r.signal: r.auc for r in single_signal_auc(long).collect()}
-    order = sorted(signals, key=lambda s: (-(max(solo.get(s) or 0.5, 1 - (solo.get(s) or 0.5)) - 0.5), s))[:screen]
+    worth = {r.signal: max(r.importance or 0.0, 0.0) / max(cost.get(r.signal, 1.0), 1e-9) for r in permutation_importance(long).collect()}
+    order = sorted(signals, key=lambda s: (worth.get(s, 0.0), s))[-screen:]
     kept, trace = list(order), []
     full = out_of_fold(long.where(signal_of(F.col("feature")).isin(order))).select(*ROW, "y", F.col("score").alias("full"))
     full = full.persist()
-    for s in sorted(order, key=lambda s: (abs((solo.get(s) or 0.5) - 0.5) / max(cost.get(s, 1.0), 1e-9), s)):
+    for s in order:
         rest = [k for k in kept if k != s]
         if not rest:
             break
@@ -138,15 +157,20 @@ def ablation(rows: DataFrame, long: DataFrame, signals: list[str], cost: dict[st
     return trace
 
 
-def temporal(long: DataFrame, horizon: int, train_share: float = 0.7, windows: int = 3) -> DataFrame:
-    """window, rows, positives, auc of forward windows: odds of the earliest days, a gap of the horizon, then the windows."""
+def forward_scores(long: DataFrame, horizon: int, train_share: float = 0.7, windows: int = 3) -> DataFrame:
+    """Scores of the rows after the training days and a gap of the horizon, with their window (part): odds of the earliest days."""
     days = long.select("date").distinct()
     place = days.withColumn("_d", F.row_number().over(Window.orderBy("date")))
     n = place.agg(F.count("*").alias("_n"))
     cut = F.floor(F.col("_n") * train_share)
     place = place.crossJoin(F.broadcast(n)).withColumn("part", F.when(F.col("_d") <= cut, 0).when(F.col("_d") > cut + horizon, F.ceil((F.col("_d") - cut - horizon) * windows / (F.col("_n") - cut - horizon))))
     rows = long.join(F.broadcast(place.select("date", F.col("part").cast("int").alias("part"))), "date").where("part IS NOT NULL")
-    scored = fit_apply(rows, F.col("part") == 0, F.col("part") > 0, [*ROW, "part"])
+    return fit_apply(rows, F.col("part") == 0, F.col("part") > 0, [*ROW, "part"])
+
+
+def temporal(long: DataFrame, horizon: int, train_share: float = 0.7, windows: int = 3) -> DataFrame:
+    """window, rows, positives, auc of forward windows."""
+    scored = forward_scores(long, horizon, train_share, windows)
     size = scored.groupBy("part").agg(F.count("*").alias("rows"), F.sum("y").cast("long").alias("positives"))
     return size.join(metrics.weighted_auc(scored, "score", "y", None, ("part",)), "part").withColumnRenamed("part", "window")
 
@@ -167,6 +191,18 @@ def transfer_notes(per_group: DataFrame) -> DataFrame:
     return per_group.withColumn("note", note)
 
 
+def missing_share(rows: DataFrame, features: list[str], group: str = "oem") -> DataFrame:
+    """group, share of its readings that are missing, over all features."""
+    gone = sum(F.col(f).isNull().cast("double") for f in features) / len(features)
+    return rows.groupBy(group).agg(F.avg(gone).alias("missing_share"))
+
+
+def curve_gain(points: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """gain of the AUC from half of the vehicles to all, and whether more would help."""
+    at = lambda s: F.max(F.when(F.col("share") == s, F.col("auc")))
+    return points.agg((at(1.0) - at(0.5)).alias("gain")).withColumn("still_improving", F.coalesce(F.col("gain") > threshold, F.lit(False)))
+
+
 def learning_curve(rows: DataFrame, features: list[str], shares: list[float], seed: int = 42) -> DataFrame:
     """share, vehicles, auc with that share of the vehicles: nested subsets by hash order."""
     order = rows.select("vehicle_id").distinct().withColumn("_k", F.row_number().over(Window.orderBy(uniform(seed, F.lit("curve"), "vehicle_id"), "vehicle_id")))
@@ -204,7 +240,7 @@ def mllib_out_of_fold(rows: DataFrame, features: list[str], kind: str = "logisti
     if kind == "gbt":
         rows = rows.withColumns({f"{f}__null": F.col(f).isNull().cast("double") for f in features} | {f: F.coalesce(f, F.lit(-999.0)) for f in features})
         inputs = [*features, *(f"{f}__null" for f in features)]
-        model = GBTClassifier(featuresCol="x", labelCol="y", **{"maxIter": 10, "maxDepth": 5, "subsamplingRate": 0.8, "seed": 42} | settings)
+        model = GBTClassifier(featuresCol="x", labelCol="y", **{"maxIter": 60, "maxDepth": 5, "minInstancesPerNode": 50,  "subsamplingRate": 0.8, "seed": 42} | settings)
         stages = [VectorAssembler(inputCols=inputs, outputCol="x"), model]
     else:
         filled = [f"{f}__filled" for f in features]

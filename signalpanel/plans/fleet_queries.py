@@ -33,7 +33,7 @@ def supplier_grid_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grid_completeness(f.vehicles(), f.signals())
 
 
-@query(SECOND + """, s AS (SELECT (SELECT count(*) FROM targets WHERE vehicle_id IN (SELECT vehicle_id FROM vehicles)) AS events, count(DISTINCT vehicle_id) AS vehicles, max(date) - min(date) + 1 AS days FROM signals),
+@query(SECOND + """, s AS (SELECT (SELECT count(*) FROM targets WHERE vehicle_id IN (SELECT vehicle_id FROM vehicles)) AS events, (SELECT count(*) FROM vehicles) AS vehicles, max(date) - min(date) + 1 AS days FROM signals),
 r AS (SELECT *, vehicles * days / 365.0::DOUBLE AS years FROM s), result AS (SELECT events, vehicles, days::INT AS days, years, events / years AS rate, greatest(0, events / years - 1.96::DOUBLE * sqrt(greatest(events, 1)) / years) AS lo,
 events / years + 1.96::DOUBLE * sqrt(greatest(events, 1)) / years AS hi, events / years * 30 / 365.0::DOUBLE AS per_horizon FROM r)""", "events vehicles days years~ rate~ lo~ hi~ per_horizon~")
 def supplier_event_rate(spark, sf_dir):

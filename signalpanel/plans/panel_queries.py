@@ -181,7 +181,7 @@ def positive_rate_by_oem(v):
     return v.labeled.where("y >= 0").groupBy("oem").agg(F.avg("y").alias("positive_rate"), F.count("*").alias("known_days"), F.count_distinct("vehicle_id").alias("vehicles"))
 
 
-@query(BASE + f""", s AS (SELECT (SELECT count(*) FROM targets) AS events, count(DISTINCT vehicle_id) AS vehicles, max(date) - min(date) + 1 AS days FROM grid),
+@query(BASE + f""", s AS (SELECT (SELECT count(*) FROM targets) AS events, (SELECT count(*) FROM vehicles) AS vehicles, max(date) - min(date) + 1 AS days FROM grid),
 r AS (SELECT *, vehicles * days / 365.0::DOUBLE AS years FROM s), result AS (SELECT events, vehicles, days::INT AS days, years, events / years AS rate, greatest(0, events / years - 1.96::DOUBLE * sqrt(greatest(events, 1)) / years) AS lo,
 events / years + 1.96::DOUBLE * sqrt(greatest(events, 1)) / years AS hi, events / years * {HORIZON} / 365.0::DOUBLE AS per_horizon FROM r)""", "events vehicles days years~ rate~ lo~ hi~ per_horizon~")
 def event_rate_ci(v):
@@ -282,15 +282,28 @@ def candidate_signals_slow(v):
     return quality.candidates(v.catalog, "ice").where("declared_frequency <> 'realtime'").select("signal_id", "declared_frequency")
 
 
+@query(BASE + """, sp AS (SELECT min(date) AS first, max(date) AS last, count(*) AS n, max(date) - min(date) + 1 AS days FROM signals), fl AS (SELECT count(DISTINCT vehicle_id) AS vehicles, count(DISTINCT oem) AS groups FROM vehicles),
+result AS (SELECT 'vehicles_single_group' AS rule, 'warning' AS level, (groups < 2)::BIGINT AS count FROM fl UNION ALL SELECT 'signals_grid_gaps', 'warning', greatest(vehicles * days - n, 0)::BIGINT FROM sp, fl
+UNION ALL SELECT 'signals_short_history', 'warning', greatest(180 - days, 0)::BIGINT FROM sp UNION ALL SELECT 'events_outside_dates', 'warning', count(*) FROM targets, sp WHERE date NOT BETWEEN first AND last
+UNION ALL SELECT 'events_by_type:' || event_type, 'info', count(*) FROM targets GROUP BY event_type)""", "rule level count")
+def contract_shape(v):
+    return quality.shape_findings(v.vehicles, v.signals, v.events)
+
+
+@query()
+def contract_schema(v):
+    return quality.schema_findings(v.vehicles, v.signals, v.events, IDS)
+
+
 GAPS = ", gaps AS (SELECT signal, date - lag(date) OVER (PARTITION BY signal, vehicle_id ORDER BY date) AS gap FROM long WHERE value IS NOT NULL), mg AS (SELECT signal, quantile_cont(gap, 0.5) AS median_gap FROM gaps GROUP BY 1), nn AS (SELECT signal, count(value) / count(*) AS nonnull_rate FROM long GROUP BY 1)"
 PSI = """, nv AS (SELECT signal, value, row_number() OVER (PARTITION BY signal ORDER BY date, vehicle_id) AS pos, count(*) OVER (PARTITION BY signal) AS n FROM long WHERE value IS NOT NULL),
 q AS (SELECT signal, value, n, CASE WHEN pos <= n // 4 THEN 'first' ELSE 'last' END AS part FROM nv WHERE pos <= n // 4 OR pos > n - n // 4),
 e AS (SELECT signal, list_sort(list_distinct(quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS edges, count(*) AS m, stddev_pop(value) AS sd, max(n) AS n FROM q WHERE part = 'first' GROUP BY signal),
-pl AS (SELECT q.signal, part, len(list_filter(edges, lambda x: x < value)) AS bin FROM q JOIN e USING (signal)),
+pl AS (SELECT q.signal, part, len(list_filter(edges, lambda x: x <= value)) AS bin FROM q JOIN e USING (signal)),
 bn AS (SELECT signal, unnest(generate_series(0, len(edges))) AS bin, m, sd, n FROM e),
 sh AS (SELECT bn.signal, m, sd, n, greatest((SELECT count(*) FROM pl WHERE pl.signal = bn.signal AND pl.bin = bn.bin AND part = 'first') / m, 1e-6::DOUBLE) AS a,
    greatest((SELECT count(*) FROM pl WHERE pl.signal = bn.signal AND pl.bin = bn.bin AND part = 'last') / m, 1e-6::DOUBLE) AS b FROM bn),
-ps AS (SELECT signal, CASE WHEN n <= 200 THEN NULL WHEN m < 50 OR sd = 0 THEN 0 ELSE sum((b - a) * ln(b / a)) END AS psi FROM sh GROUP BY signal, m, sd, n)"""
+ps AS (SELECT signal, CASE WHEN n <= 200 OR m < 50 OR sd = 0 THEN 0 ELSE sum((b - a) * ln(b / a)) END AS psi FROM sh GROUP BY signal, m, sd, n)"""
 BOUND = "CASE unit WHEN 'pct' THEN value IN (0, 100) WHEN 'kPa' THEN value IN (0, 1400) WHEN 'count' THEN value = 0 ELSE FALSE END"
 FROZEN = f""", fz AS (SELECT *, lag(value) OVER w AS pv, lag(date) OVER w AS pd FROM long WHERE value IS NOT NULL AND unit IN {quality.PERSISTENT} AND declared_frequency <> 'weekly' WINDOW w AS (PARTITION BY signal, vehicle_id ORDER BY date)),
 isl AS (SELECT *, sum(CASE WHEN pv = value AND date - pd = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY signal, vehicle_id ORDER BY date) AS island FROM fz),
@@ -376,20 +389,14 @@ def ewma_state(v):
 
 SQL["ewma_state"] = SQL["ewma_state"].replace("WITH vehicles", "WITH RECURSIVE vehicles", 1)
 
-SAMPLED = LABELED + f""", n AS (SELECT sum((y = 1)::INT) AS p, sum((y = 0)::INT) AS n FROM labeled WHERE y >= 0), t AS (SELECT p, n, least(p, 1000) AS tp FROM n),
-tk AS (SELECT *, least(n, greatest(tp * 2, 1), 600 - tp) AS tn FROM t),
+SAMPLED = LABELED + f""", n AS (SELECT sum((y = 1)::INT) AS p, sum((y = 0)::INT) AS n FROM labeled WHERE y >= 0), t AS (SELECT p, n, least(p, greatest(1000, 150000 // 7)) AS tp FROM n),
+tk AS (SELECT *, least(n, greatest(tp * 6, 1), greatest(150000 - tp, 1)) AS tn FROM t),
 rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {uniform_sql(42, 'vehicle_id', 'date')}, vehicle_id, date) AS rank FROM labeled WHERE y >= 0),
 result AS (SELECT vehicle_id, date, y, CASE WHEN y = 1 THEN p / tp ELSE n / tn END AS weight FROM rk, tk WHERE rank <= CASE WHEN y = 1 THEN tp ELSE tn END)"""
 
 
 @query(SAMPLED, "vehicle_id date y weight~")
 def class_sample_weights(v):
-    return panel.class_sample(v.labeled, 2, 600).select("vehicle_id", "date", "y", "weight")
-
-
-@query()
-def class_sample_weights_full(v):
-    """The operator's own ratio and size."""
     return panel.class_sample(v.labeled).select("vehicle_id", "date", "y", "weight")
 
 
@@ -474,19 +481,16 @@ def event_level_metrics(v):
     return metrics.event_level(v.known, "score", HORIZON, RATES, "weight")
 
 
-B = 20
+#: Fixed value: replicates of an interval.
+B = 300
 DRAWS = f""", nb AS (SELECT vehicle_id, row_number() OVER (ORDER BY {uniform_sql(42, 'vehicle_id')}, vehicle_id) - 1 AS pos FROM (SELECT DISTINCT vehicle_id FROM known)),
 dr AS (SELECT replicate, floor({uniform_sql(42, 'replicate', 'draw')} * (SELECT count(*) FROM nb))::BIGINT AS pos FROM (SELECT unnest(range({B})) AS replicate), (SELECT unnest(range((SELECT count(*) FROM nb))) AS draw)),
 ct AS (SELECT replicate, vehicle_id, count(*) AS times FROM dr JOIN nb USING (pos) GROUP BY ALL),
 bt AS (SELECT replicate, score, other, y, weight * times AS w FROM known JOIN ct USING (vehicle_id))"""
 
 
-#: Replicates of the queries without SQL.
-B_FULL = 300
-
-
-def _counts(v, replicates=B):
-    return metrics.resample_counts(v.known, replicates)
+def _counts(v):
+    return metrics.resample_counts(v.known, B)
 
 
 @query(KNOWN + DRAWS + f", a AS (SELECT * FROM {_auc_sql('bt', 'score', 'y', 'w', 'replicate')}), result AS (SELECT (SELECT auc FROM {_auc_sql('known', 'score', 'y', 'weight')}) AS point, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi, avg(auc) AS mean, count(auc) AS replicates FROM a)", "point~ lo~ hi~ mean~ replicates")
@@ -494,38 +498,24 @@ def bootstrap_auc_ci(v):
     return metrics.auc_interval(v.known, "score", "y", _counts(v), "weight")
 
 
-@query()
-def bootstrap_auc_ci_full(v):
-    return metrics.auc_interval(v.known, "score", "y", _counts(v, B_FULL), "weight")
-
-
 @query(KNOWN + DRAWS + f", d AS (SELECT a.auc - b.auc AS delta FROM {_auc_sql('bt', 'score', 'y', 'w', 'replicate')} a JOIN {_auc_sql('bt', 'other', 'y', 'w', 'replicate')} b USING (replicate)), result AS (SELECT quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi, avg((delta > 0)::INT) AS p_above, (quantile_cont(delta, 0.975) - quantile_cont(delta, 0.025)) / 2 AS half_width FROM d)", "lo~ hi~ p_above~ half_width~")
 def paired_delta_auc(v):
     return metrics.paired_delta(v.known, "score", "other", "y", _counts(v), "weight")
 
 
-@query()
-def paired_delta_auc_full(v):
-    return metrics.paired_delta(v.known, "score", "other", "y", _counts(v, B_FULL), "weight")
-
-
 @query(EVENT.replace("result AS", "unused AS") + DRAWS + ", pe AS (SELECT vehicle_id, sum(caught) AS c, count(*) AS e FROM ev WHERE fraction = 0.1::DOUBLE GROUP BY 1), rr AS (SELECT replicate, sum(c * times) / sum(e * times) AS recall FROM pe JOIN ct USING (vehicle_id) GROUP BY 1), result AS (SELECT quantile_cont(recall, 0.025) AS lo, quantile_cont(recall, 0.975) AS hi, avg(recall) AS mean, count(recall) AS replicates FROM rr)", "lo~ hi~ mean~ replicates")
-def event_recall_ci(v, replicates=B):
+def event_recall_ci(v):
     rows = metrics.flagged(v.known, "score", [0.1], "weight", "row_id").where("y = 1")
     events = rows.groupBy("vehicle_id", F.date_add("date", F.col("days_to_event"))).agg(F.max(F.col("flag").cast("int")).alias("caught"))
-    return metrics.event_recall_interval(events, _counts(v, replicates))
-
-
-@query()
-def event_recall_ci_full(v):
-    return event_recall_ci(v, B_FULL)
+    return metrics.event_recall_interval(events, _counts(v))
 
 
 LEAK = KNOWN_LONG + """, av AS (SELECT signal, avg((value IS NOT NULL)::INT) FILTER (y = 1) AS pos_avail, avg((value IS NOT NULL)::INT) FILTER (y = 0) AS neg_avail FROM kl GROUP BY 1),
 sp0 AS (SELECT signal, rank() OVER (PARTITION BY signal ORDER BY value) + (count(*) OVER (PARTITION BY signal, value) - 1) / 2 AS rv, rank() OVER (PARTITION BY signal ORDER BY days_to_event) + (count(*) OVER (PARTITION BY signal, days_to_event) - 1) / 2 AS rd FROM kl WHERE y = 1 AND value IS NOT NULL),
 sp AS (SELECT signal, CASE WHEN isnan(corr(rv, rd)) THEN NULL ELSE abs(corr(rv, rd)) END AS rho FROM sp0 GROUP BY 1 HAVING count(*) > 50),
-tp AS (SELECT signal, max(value) AS top FROM kl WHERE value IS NOT NULL GROUP BY 1 HAVING count(DISTINCT value) IN (2, 3)),
-ft AS (SELECT signal, (sum(y) FILTER (value = top) / count(*) FILTER (value = top)) / (sum(y) / count(*)) AS lift, sum(y) FILTER (value = top) / sum(y) AS recall FROM kl JOIN tp USING (signal) WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (value = top) > 20)"""
+ct AS (SELECT signal, value, count(*) AS c FROM kl WHERE value IS NOT NULL GROUP BY ALL),
+md AS (SELECT signal, first(value ORDER BY c DESC, value) AS mode FROM ct GROUP BY 1 HAVING count(*) IN (2, 3)),
+ft AS (SELECT signal, (sum(y) FILTER (value <> mode) / count(*) FILTER (value <> mode)) / (sum(y) / count(*)) AS lift, sum(y) FILTER (value <> mode) / sum(y) AS recall FROM kl JOIN md USING (signal) GROUP BY 1 HAVING count(*) FILTER (value <> mode) > 20)"""
 
 
 @query(LEAK + ", result AS (SELECT signal, pos_avail, neg_avail, pos_avail / neg_avail AS ratio FROM av)", "signal pos_avail~ neg_avail~ ratio~")
@@ -543,7 +533,7 @@ def leakage_flag_lift(v):
     return quality.leakage_flag_lift(v.long_labeled.where("y >= 0"))
 
 
-@query(LEAK + f""", cls AS (SELECT signal FROM kl GROUP BY 1 HAVING sum(y) >= 20 AND sum(1 - y) >= 20), ok AS (SELECT signal FROM kl WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 50), src AS (SELECT kl.signal, value, y FROM kl JOIN ok USING (signal)),
+@query(LEAK + f""", cls AS (SELECT signal FROM kl GROUP BY 1 HAVING sum(y) >= 20 AND sum(1 - y) >= 20), ok AS (SELECT signal FROM kl WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) > 100), src AS (SELECT kl.signal, value, y FROM kl JOIN ok USING (signal)),
 ua AS (SELECT signal, greatest(auc, 1 - auc) AS auc FROM {_auc_sql('src', 'value', 'y', '1.0::DOUBLE', 'signal')}),
 vd AS (SELECT signal, auc, concat_ws(',', CASE WHEN auc >= 0.99 THEN 'auc' END, CASE WHEN pos_avail / neg_avail >= 2 AND pos_avail > 0.2 THEN 'availability' END, CASE WHEN lift >= 15 AND recall >= 0.25 THEN 'flag' END, CASE WHEN rho >= 0.9 THEN 'timing' END) AS reasons
   FROM cls LEFT JOIN av USING (signal) LEFT JOIN sp USING (signal) LEFT JOIN ft USING (signal) LEFT JOIN ua USING (signal)),

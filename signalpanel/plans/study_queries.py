@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalpanel.functions.draws import triangular_sql, uniform_sql
 from signalpanel.operators import economics, metrics, panel, policy, studies
-from signalpanel.plans.panel_queries import B_FULL, FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SQL as PANEL_SQL, View, _auc_sql, query, rounded
+from signalpanel.plans.panel_queries import B, FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SQL as PANEL_SQL, View, _auc_sql, query, rounded
 from signalpanel.sources import fleet
 from signalpanel.streaming import rollup
 
@@ -88,7 +88,7 @@ def perm_importance(v):
 def ablation_trace(v):
     rows = study_rows(v)
     signals = sorted({f.split("__")[0] for f in FEATURES})
-    counts = metrics.resample_counts(rows, B_FULL)
+    counts = metrics.resample_counts(rows, B)
     trace = studies.ablation(rows, studies.binned(rows, FEATURES), signals, {}, counts)
     return v.spark.createDataFrame([tuple(t.values()) for t in trace], "step int, signal string, p_above double, lo double, hi double, accepted boolean, underpowered boolean, kept_conservatively boolean")
 
@@ -151,7 +151,7 @@ def logistic_oof_auc(v):
 
 @query()
 def gbt_oof_auc(v):
-    return metrics.weighted_auc(studies.mllib_out_of_fold(study_rows(v), FEATURES, "gbt", folds=5, maxIter=5, maxDepth=3), "score", "y")
+    return metrics.weighted_auc(studies.mllib_out_of_fold(study_rows(v), FEATURES, "gbt"), "score", "y")
 
 
 @query()
@@ -160,7 +160,7 @@ def tuning_headroom(v):
     rows = study_rows(v)
     scored = lambda c, **s: studies.mllib_out_of_fold(rows, FEATURES, "logistic", **s).withColumnRenamed("score", c)
     both = scored("base").join(scored("loose", regParam=0.0).select("vehicle_id", "date", "loose"), ["vehicle_id", "date"])
-    out = metrics.paired_delta(both, "loose", "base", "y", metrics.resample_counts(rows, B_FULL))
+    out = metrics.paired_delta(both, "loose", "base", "y", metrics.resample_counts(rows, B))
     return out.withColumn("headroom", F.col("lo") > 0.01)
 
 
@@ -212,16 +212,18 @@ def deployment_fit(v):
     return economics.deployment_fit(v.spark, 7, 7200.0, "batch_daily")
 
 
-N_DRAWS, SEED, COST, FALSE_100 = 500, 11, 3500.0, 1.3
+#: Draws of the return, of each of the tornado's cases, and of each operating point.
+ROI_DRAWS, TORNADO_DRAWS, POINT_DRAWS = 10_000, 2_000, 3_000
+SEED, COST, FALSE_100 = 11, 3500.0, 1.3
 POINTS = {"0.005": (0.15, 0.5), "0.02": (0.40, 2.4), "0.1": (0.80, 14.0)}
 
 
-def simulation_sql(cases: list[tuple[str, dict, float, float]]) -> str:
+def simulation_sql(cases: list[tuple[str, dict, float, float]], n_draws: int) -> str:
     """CTEs sim (a row a case and draw) and summary of cases."""
     names = [f"{k}_{e}" for k in economics.INPUTS for e in ("low", "base", "high")]
     rows = ", ".join("(" + ", ".join([f"'{name}'", f"{cost!r}::DOUBLE", f"{false!r}::DOUBLE", *(f"{x!r}::DOUBLE" for k in economics.INPUTS for x in ranges[k])]) + ")" for name, ranges, cost, false in cases)
     draws = ", ".join(triangular_sql(uniform_sql(SEED, "draw", f"'{k}'"), *(f"{k}_{e}" for e in ("low", "base", "high"))) + f" AS {k}" for k in economics.INPUTS)
-    return f"""WITH cases AS (SELECT * FROM (VALUES {rows}) AS t(scenario, run_cost, false_100, {', '.join(names)})), dn AS (SELECT cases.*, draw, {draws} FROM cases, (SELECT unnest(range({N_DRAWS})) AS draw)),
+    return f"""WITH cases AS (SELECT * FROM (VALUES {rows}) AS t(scenario, run_cost, false_100, {', '.join(names)})), dn AS (SELECT cases.*, draw, {draws} FROM cases, (SELECT unnest(range({n_draws})) AS draw)),
 t1 AS (SELECT *, fleet * event_rate * least(1, greatest(0, recall)) AS detected, fleet * 12 * false_100 / 100 AS false_alerts, run_cost * 12 * fleet / fleet_base AS cost_year FROM dn),
 t2 AS (SELECT *, detected * value_bearing * preventable * usd_per_event - false_alerts * inspection - cost_year AS net FROM t1), sim AS (SELECT *, net / cost_year AS roi FROM t2),
 summary AS (SELECT scenario, quantile_cont(roi, 0.05) AS p5, quantile_cont(roi, 0.5) AS p50, quantile_cont(roi, 0.95) AS p95, avg(roi) AS mean, avg((roi > 0)::INT) AS p_positive, quantile_cont(net, 0.5) AS net_p50 FROM sim GROUP BY 1)"""
@@ -234,19 +236,14 @@ def _point_cases():
 BASE_CASE = [("base", economics.INPUTS, COST, FALSE_100)]
 
 
-@query(simulation_sql(BASE_CASE) + ", result AS (SELECT * FROM summary)", "scenario p5~ p50~ p95~ mean~ p_positive~ net_p50~")
+@query(simulation_sql(BASE_CASE, ROI_DRAWS) + ", result AS (SELECT * FROM summary)", "scenario p5~ p50~ p95~ mean~ p_positive~ net_p50~")
 def roi_distribution(v):
-    return economics.roi_summary(economics.value_terms(economics.drawn(economics.scenarios(v.spark, BASE_CASE), N_DRAWS, SEED)))
-
-
-@query()
-def roi_distribution_full(v):
-    return economics.roi_summary(economics.value_terms(economics.drawn(economics.scenarios(v.spark, BASE_CASE), 10_000, SEED)))
+    return economics.roi_summary(economics.value_terms(economics.drawn(economics.scenarios(v.spark, BASE_CASE), ROI_DRAWS, SEED)))
 
 
 @query()
 def roi_distribution_pert(v):
-    return economics.roi_summary(economics.value_terms(economics.drawn_pert(economics.scenarios(v.spark, BASE_CASE), 10_000, SEED)))
+    return economics.roi_summary(economics.value_terms(economics.drawn_pert(economics.scenarios(v.spark, BASE_CASE), ROI_DRAWS, SEED)))
 
 
 def _tornado_rows():
@@ -257,26 +254,16 @@ def _tornado_rows():
     return rows + [("run_cost|bad", economics.INPUTS, COST * 2, FALSE_100), ("run_cost|good", economics.INPUTS, COST / 2, FALSE_100)]
 
 
-@query(simulation_sql(_tornado_rows()) + ", r AS (SELECT split_part(scenario, '|', 1) AS input, max(net_p50) FILTER (scenario LIKE '%|bad') AS bad, max(net_p50) FILTER (scenario LIKE '%|good') AS good FROM summary GROUP BY 1), result AS (SELECT *, abs(good - bad) AS swing FROM r)", "input bad~ good~ swing~")
-def tornado(v, draws=N_DRAWS):
+@query(simulation_sql(_tornado_rows(), TORNADO_DRAWS) + ", r AS (SELECT split_part(scenario, '|', 1) AS input, max(net_p50) FILTER (scenario LIKE '%|bad') AS bad, max(net_p50) FILTER (scenario LIKE '%|good') AS good FROM summary GROUP BY 1), result AS (SELECT *, abs(good - bad) AS swing, row_number() OVER (ORDER BY abs(good - bad) DESC, input)::INT AS place FROM r)", "input bad~ good~ swing~ place")
+def tornado(v):
     cases = economics.tornado_cases(v.spark, economics.INPUTS, COST, FALSE_100)
-    return economics.tornado(economics.roi_summary(economics.value_terms(economics.drawn(cases, draws, SEED))))
+    return economics.tornado(economics.roi_summary(economics.value_terms(economics.drawn(cases, TORNADO_DRAWS, SEED))))
 
 
-@query()
-def tornado_full(v):
-    return tornado(v, 2_000)
-
-
-@query(simulation_sql(_point_cases()) + ", result AS (SELECT scenario, net_p50, p_positive FROM summary ORDER BY net_p50 DESC, scenario DESC LIMIT 1)", "scenario net_p50~ p_positive~")
-def operating_point_choice(v, draws=N_DRAWS):
+@query(simulation_sql(_point_cases(), POINT_DRAWS) + ", result AS (SELECT scenario, net_p50, p_positive FROM summary ORDER BY net_p50 DESC, scenario LIMIT 1)", "scenario net_p50~ p_positive~")
+def operating_point_choice(v):
     cases = economics.scenarios(v.spark, _point_cases())
-    return economics.operating_point(economics.roi_summary(economics.value_terms(economics.drawn(cases, draws, SEED))))
-
-
-@query()
-def operating_point_choice_full(v):
-    return operating_point_choice(v, 3_000)
+    return economics.operating_point(economics.roi_summary(economics.value_terms(economics.drawn(cases, POINT_DRAWS, SEED))))
 
 
 # ---------------------------------------------------------------- policy
@@ -404,13 +391,13 @@ SQL = {**PANEL_SQL, "stream_daily_rollup": PANEL_SQL["daily_rollup"]}
 
 
 def stream_daily_rollup(spark, sf_dir):
-    """The streamed roll-up of all files there are now, in complete mode: the same days as the batch."""
+    """The streamed roll-up of all files there are now, written by date in the shared folder: the same days as the batch."""
     schema = fleet.table(spark, sf_dir, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    name = f"stream_daily_{uuid.uuid4().hex}"
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream_daily_{uuid.uuid4().hex}"
     pings = rollup.ping_stream(spark, f"{sf_dir}/events.parquet*", schema)
-    rollup.run_to_table(rollup.daily(pings), name, f"{folder}/{name}")
-    return rounded(spark.table(name).select("vehicle_id", "date", "n_view", "n_click", "n_purchase", "n_signup", "level_view", "max_value"))
+    # all files at once, in no order: a watermark of the whole history drops no day
+    rollup.upsert_days(rollup.daily(pings, "3650 days"), f"{folder}/days", f"{folder}/log").awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/days").select("vehicle_id", "date", "n_view", "n_click", "n_purchase", "n_signup", "level_view", "max_value"))
 
 
 QUERIES = {**PANEL_QUERIES, "stream_daily_rollup": stream_daily_rollup}

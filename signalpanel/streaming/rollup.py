@@ -1,7 +1,7 @@
 """The daily roll-up as a stream: event-time day windows with a watermark, last value of the day inside the aggregate.
 
 Pings later than the watermark are dropped by the stream; recomputing the day in batch (sources.fleet.raw_rollup) is the
-backfill. Complete mode gives every day seen so far, append mode only days that the watermark has closed."""
+backfill. Update mode writes days as they change, append mode only days that the watermark has closed."""
 
 from __future__ import annotations
 
@@ -27,13 +27,6 @@ def daily(pings: DataFrame, watermark: str = "2 days") -> DataFrame:
     return rows.withColumn("date", F.to_date("day.start")).drop("day")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Everything that is there now, into a table in memory; for files, use to_files."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
-
-
 def to_files(df: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Closed days appended to Parquet by month, exactly once by the file sink's log."""
     w = df.withColumn("month", F.date_format("date", "yyyy-MM")).writeStream.format("parquet").outputMode("append").partitionBy("month")
@@ -42,9 +35,24 @@ def to_files(df: DataFrame, path: str, checkpoint: str, trigger: str | None = No
 
 
 def upsert_days(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch replaces the days it touches: update mode with dynamic partition overwrite of whole recomputed days."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-
-    return df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    """Vehicle-days as they change, in Parquet by date. Update mode: a batch holds only the days that it has changed, and the
+    watermark evicts closed days from the state. A batch reads the dates it touches, replaces its own vehicle-days in them, and
+    overwrites those dates alone; what is to be written is staged first, so a batch that is run again gives the same."""
+    keys = ["vehicle_id", "date"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, staged = batch.sparkSession, f"{path}_staged/{number}"
+        new = batch.persist()
+        merged = new
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(where):
+            old = spark.read.schema(batch.schema).parquet(path).join(new.select("date").distinct(), "date", "left_semi")
+            merged = new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+        merged.write.mode("overwrite").parquet(staged)
+        new.unpersist()
+        kept = spark.read.schema(batch.schema).parquet(staged)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
+    return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalpanel.functions.draws import uniform
+from signalpanel.functions.saved import saved
 from signalpanel.operators import metrics, panel
 
 ROW = ["vehicle_id", "date"]
@@ -142,7 +143,7 @@ def ablation(rows: DataFrame, long: DataFrame, signals: list[str], cost: dict[st
     order = sorted(signals, key=lambda s: (worth.get(s, 0.0), s))[-screen:]
     kept, trace = list(order), []
     full = out_of_fold(long.where(signal_of(F.col("feature")).isin(order))).select(*ROW, "y", F.col("score").alias("full"))
-    full = full.persist()
+    full = saved(full)
     for s in order:
         rest = [k for k in kept if k != s]
         if not rest:
@@ -153,7 +154,6 @@ def ablation(rows: DataFrame, long: DataFrame, signals: list[str], cost: dict[st
         trace.append({"step": len(trace), "signal": s, "p_above": d.p_above, "lo": d.lo, "hi": d.hi, "accepted": stands, "underpowered": bool(stands and d.half_width > tolerance / 2), "kept_conservatively": bool(not stands and d.hi is not None and d.hi > -tolerance)})
         if stands:
             kept = rest
-    full.unpersist()
     return trace
 
 
@@ -247,7 +247,7 @@ def mllib_out_of_fold(rows: DataFrame, features: list[str], kind: str = "logisti
         model = LogisticRegression(featuresCol="x", labelCol="y", **{"maxIter": 100, "regParam": 0.01} | settings)
         stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model]
     out = None
-    rows = rows.persist()
+    rows = saved(rows)
     for k in range(folds):
         fitted = Pipeline(stages=stages).fit(rows.where(F.col("fold") != k))
         part = fitted.transform(rows.where(F.col("fold") == k)).select(*ROW, F.col("y").cast("int").alias("y"), "fold", vector_to_array("probability")[1].alias("score"))

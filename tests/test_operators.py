@@ -1,12 +1,13 @@
 """Operators on small rows whose results are known, and a planted truth that a study must recover."""
 
+import json
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from signalpanel.operators import economics, metrics, panel, policy, quality
-from signalpanel.plans import study
+from signalpanel.plans import runs, study
 from signalpanel.sources import fleet, world
 
 DAY = date(2025, 1, 1)
@@ -134,7 +135,7 @@ def test_world_and_study_recover_the_truth(spark, tmp_path):
     vehicles, signals, events, catalog = (read(n) for n in ("vehicles", "signals_daily", "events", "signal_catalog"))
     assert quality.findings(vehicles, signals, events, "2030-01-01", ["pad_wear"]).where("level = 'error' AND count > 0").count() == 0
     some = catalog.where(F.col("signal_id").isin("pad_wear", "brake_temp", "noise_00", "service_flag"))
-    result = study.run(vehicles, signals.drop("month"), events, some, study.Spec("brake", "brake", 7, replicates=10))
+    result = study.run(vehicles, signals.drop("month"), events, some, study.Spec("brake", "brake", 7, replicates=20, draws=500), "fleet")
     dropped = result.ledger.items["usable"].outputs["dropped"]
     assert dropped.get("service_flag") == "leakage"
     assert {"pad_wear", "brake_temp"} & set(result.sufficient) and result.ledger.items["model"].outputs["point"] > 0.7
@@ -142,4 +143,30 @@ def test_world_and_study_recover_the_truth(spark, tmp_path):
     text = study.render(spark, result)
     assert result.ledger.items["verdict"].evidence_id in text
     assert result.ledger.frame(spark).count() == len(result.ledger.rows)
-    assert study.whatif(spark, result, min_coverage=1.01)["decision"] == "NOT_FEASIBLE"
+    assert {"learning_curve", "seed_stability", "redundancy", "baseline", "tornado", "operating_point", "runtime"} <= set(result.ledger.items)
+    assert result.metrics["curve_gain"] is not None and result.metrics["seed_spread"] is not None and result.metrics["degradation_upper"] >= result.ledger.items["temporal"].outputs["degradation"] - 1e-9
+
+    # what-if: economics anew, model evidence as it was, also from the stored run
+    store = runs.Runs(spark, f"{tmp_path}/runs")
+    store.say(result.run_id, capability="brake", kind="study", status="running")
+    store.save(result)
+    parent = store.load(result.run_id)
+    assert parent.spec == result.spec and parent.metrics == pytest.approx(json.loads(policy.canonical(result.metrics)))
+    assert study.whatif(spark, parent, min_coverage=1.01).decision == "NOT_FEASIBLE"
+    rich = study.whatif(spark, parent, inputs={"usd_per_event": (9e6, 9e6, 9e6)}, delivery="streaming")
+    old, new = (x.ledger.items for x in (parent, rich))
+    assert new["roi"].outputs["p50"] > old["roi"].outputs["p50"] and new["cost"].outputs["marginal_total"] > old["cost"].outputs["marginal_total"]
+    assert new["model"].evidence_id == old["model"].evidence_id and new["roi"].evidence_id != old["roi"].evidence_id
+    store.save(rich, "whatif", parent.run_id)
+    listed = store.listing().collect()
+    assert [(r.run_id, r.kind, r.status, r.derived_from) for r in listed] == [(rich.run_id, "whatif", "done", result.run_id), (result.run_id, "study", "done", None)]
+    assert set(store.evidence(rich.run_id)) == set(new) and "PILOT" in runs.summary(rich) or "NOT_FEASIBLE" in runs.summary(rich)
+    with pytest.raises(KeyError):
+        store.evidence("no such run")
+    with pytest.raises(KeyError):
+        study.whatif(spark, parent, nonsense=1)
+    with pytest.raises(ValueError):
+        study.replay(vehicles, signals, events, some, parent, "another fleet")
+    again, diff = study.replay(vehicles, signals.drop("month").repartition(3), events, some, parent, "fleet")
+    assert {r.status for r in diff.collect()} <= {"identical", "informational"} and again.decision == result.decision
+    assert runs.datasets(str(tmp_path.parent)) and runs.datasets(str(tmp_path))[0] == str(tmp_path)

@@ -5,7 +5,8 @@ group, seeded by its number alone: any partitioning gives the same fleet."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,14 @@ class World:
     decoys: int = 13
     noise: int = 7
     missing: float = 0.05
+    fade_rate: float = 0.0004
+    battery_hazard: float = 0.05
+    #: What a group never emits, and the first model year from which one does: {signal: {group: year, or null for never}}.
+    coverage: dict = field(default_factory=dict)
+    #: Shares of readings that get lost, by declared frequency.
+    lost: dict = field(default_factory=lambda: {"realtime": 0.0, "daily": 0.0, "weekly": 0.0})
+    #: Shares of the powertrains that are drawn; the first is the electric one.
+    weights: dict | None = None
 
     @classmethod
     def profile(cls, name: str, **overrides) -> World:
@@ -45,16 +54,27 @@ class World:
     def __post_init__(self):
         if not 0 <= self.ev_share <= 1 or self.vehicles < 1 or self.days < 2:
             raise ValueError("shares lie in [0, 1]; a world has a vehicle and two days at least")
+        if self.weights is not None and (set(self.weights) != {"ev", "ice"} or abs(sum(self.weights.values()) - 1) > 1e-9 or abs(self.weights["ev"] - self.ev_share) > 1e-9):
+            raise ValueError("weights of ev and ice add up to one and agree with ev_share")
+        known = {r[0] for r in registry(self)}
+        if set(self.coverage) - known or set(self.lost) - {"realtime", "daily", "weekly"} or not all(0 <= x <= 1 for x in self.lost.values()):
+            raise ValueError("coverage names signals, lost names frequencies and has shares")
 
+    @classmethod
+    def load(cls, text: str) -> World:
+        """A world from JSON: `profile`, if it names one, and any fields; powertrain weights set the electric share."""
+        given = json.loads(text)
+        given |= {"ev_share": given["weights"]["ev"]} if given.get("weights") else {}
+        name = given.pop("profile", None)
+        return cls.profile(name, **given) if name else cls(**given)
 
-DRIVERS = ("pad_wear", "brake_temp", "hard_stops")
-CONTEXT = ("miles", "odometer")
 
 
 def registry(world: World) -> list[tuple[str, str, str, str, str, str]]:
     """signal_id, category, unit, declared_frequency, powertrain, role of every signal."""
     rows = [("pad_wear", "health", "pct", "daily", "any", "driver"), ("brake_temp", "health", "C", "realtime", "any", "driver"), ("hard_stops", "driver_behavior", "count", "realtime", "any", "driver")]
     rows += [("miles", "location_trips", "mi", "daily", "any", "context"), ("odometer", "location_trips", "mi", "weekly", "any", "context"), ("soc", "fuel_energy", "pct", "daily", "ev", "context"), ("fuel", "fuel_energy", "gal", "daily", "ice", "context")]
+    rows += [("battery_health", "health", "pct", "weekly", "ev", "battery"), ("cell_spread", "health", "ratio", "daily", "ev", "battery")]
     rows += [(f"decoy_{i:02d}", "health", "ratio" if i % 2 else "count", "daily", "any", "decoy") for i in range(world.decoys)]
     rows += [(f"noise_{i:02d}", "context", "ratio", ("realtime", "daily", "weekly")[i % 3], "any", "noise") for i in range(world.noise)]
     return rows + [("service_flag", "derived", "count", "daily", "any", "leakage")]
@@ -107,13 +127,31 @@ def _days(world: World):
             out[name] = shapes[i % 4](out["pad_wear"]) * rng.lognormal(0, 0.3 + 0.05 * i, n)
         for name in noise:
             out[name] = rng.random(n)
+        # the battery fades with miles, faster in the heat; a worn one fails
+        health, failed = np.full(n, np.nan), np.zeros(n, bool)
+        if v.powertrain == "ev":
+            heat, level = {"cold": 0.8, "mild": 1.0, "hot": 1.6}[v.climate], rng.uniform(0.72, 1.0)
+            for t in range(n):
+                level -= world.fade_rate * heat * miles[t] / 45 * rng.lognormal(0, 0.2)
+                failed[t] = rng.random() < world.battery_hazard / (1 + np.exp(60 * (level - 0.7)))
+                health[t] = level
+                level = 1.0 if failed[t] else level  # a new one
+        out["battery_health"] = np.clip(100 * health + rng.normal(0, 0.8, n), 0, 100)
+        out["cell_spread"] = np.where(np.isnan(health), np.nan, np.clip(1.1 - health + rng.normal(0, 0.03, n), 0, 1))
+        phase = int(rng.integers(0, 7))
+        for name, _, _, often, _, role in registry(world):
+            if name in out and role != "leakage":
+                if often == "weekly":
+                    out[name] = np.where(np.arange(n) % 7 == phase, out[name], np.nan)
+                if world.lost.get(often):
+                    out[name] = np.where(rng.random(n) < world.lost[often], np.nan, out[name])
         df = pd.DataFrame(out)
         df.loc[~seen, [c for c in df.columns if c not in ("vehicle_id", "date", "active")]] = np.nan
-        df["_brake"], df["_theft"] = brake, theft
+        df["_brake"], df["_theft"], df["_battery"] = brake, theft, failed
         return df
 
     signals = [r[0] for r in registry(world) if r[5] != "leakage"]
-    return run, "vehicle_id string, date date, active boolean, " + ", ".join(f"{s} double" for s in signals) + ", _brake boolean, _theft boolean"
+    return run, "vehicle_id string, date date, active boolean, " + ", ".join(f"{s} double" for s in signals) + ", _brake boolean, _theft boolean, _battery boolean"
 
 
 def build(spark: SparkSession, world: World) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,26 +159,42 @@ def build(spark: SparkSession, world: World) -> tuple[DataFrame, DataFrame, Data
     fleet = vehicles(spark, world)
     run, schema = _days(world)
     days = fleet.groupBy("vehicle_id").applyInPandas(run, schema)
-    kinds = F.array(F.when(F.col("_brake"), "brake"), F.when(F.col("_theft"), "theft"))
+    kinds = F.array(F.when(F.col("_brake"), "brake"), F.when(F.col("_theft"), "theft"), F.when(F.col("_battery"), "battery"))
     events = days.withColumn("event_type", F.explode(F.filter(kinds, lambda k: k.isNotNull()))).select("vehicle_id", "date", "event_type")
-    near = next_event(days.drop("_brake", "_theft"), events.where("event_type = 'brake'"), strict=False, out="_ahead")
+    near = next_event(days.drop("_brake", "_theft", "_battery"), events.where("event_type = 'brake'"), strict=False, out="_ahead")
     leak = F.when(F.col("active"), (F.coalesce(F.col("_ahead"), F.lit(999)) <= 5).cast("double"))
     signals = near.withColumn("service_flag", leak).drop("_ahead").join(fleet.select("vehicle_id", "oem", "model_year"), "vehicle_id")
+    for name, groups in world.coverage.items():  # a when of a few groups, no join
+        never = F.col("oem").isin(*(g for g, year in groups.items() if year is None))
+        early = [(F.col("oem") == g) & (F.col("model_year") < year) for g, year in groups.items() if year is not None]
+        for gone in (never, *early):
+            signals = signals.withColumn(name, F.when(~gone, F.col(name)))
     return fleet.drop("id"), signals, events
 
 
+def coverage_matrix(spark: SparkSession, world: World) -> DataFrame:
+    """signal_id, oem, emits, from_year of every signal and group."""
+    rows = []
+    for name, *_ in registry(world):
+        for g in (f"oem_{i}" for i in range(world.groups)):
+            year = world.coverage.get(name, {}).get(g, 0)
+            rows.append((name, g, year is not None, year or None))
+    return spark.createDataFrame(rows, "signal_id string, oem string, emits boolean, from_year int")
+
+
 def truth(world: World) -> dict:
     names = lambda role: [r[0] for r in registry(world) if r[5] == role]
-    return {"targets": {"brake": {"drivers": names("driver"), "context": names("context"), "leakage": names("leakage")}}, "decoys": names("decoy"), "noise": names("noise")}
+    brake = {"drivers": names("driver"), "context": names("context"), "leakage": names("leakage")}
+    return {"targets": {"brake": brake, "battery": {"drivers": names("battery"), "context": names("context"), "leakage": []}}, "coverage": world.coverage, "decoys": names("decoy"), "noise": names("noise")}
 
 
 def write(spark: SparkSession, world: World, path: str) -> None:
     """The three tables and the catalog as Parquet (zstd; signals by month) and truth.json through Spark's own writers."""
-    import json
-
     fleet, signals, events = build(spark, world)
     fleet.write.mode("overwrite").parquet(f"{path}/vehicles")
     signals.withColumn("month", F.date_format("date", "yyyy-MM")).repartition("month").write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(f"{path}/signals_daily")
     events.write.mode("overwrite").parquet(f"{path}/events")
     catalog(spark, world).write.mode("overwrite").parquet(f"{path}/signal_catalog")
-    spark.createDataFrame([(json.dumps(truth(world), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/truth")
+    coverage_matrix(spark, world).coalesce(1).write.mode("overwrite").parquet(f"{path}/coverage")
+    for name, value in (("truth", truth(world)), ("params", asdict(world))):
+        spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalpanel.operators import economics, metrics, panel, quality
 from signalpanel.plans import catalog, study_queries
+from signalpanel.sources import world
 
 
 def test_class_sample_keeps_negatives_when_positives_exceed_the_size(spark):
@@ -95,3 +96,22 @@ def test_drift_of_ties_at_edges(spark):
     pa, pb = (np.clip(np.histogram(x, edges)[0] / q, 1e-6, None) for x in (a, b))
     assert quality.psi_drift(df).first().psi == pytest.approx(((pb - pa) * np.log(pb / pa)).sum())
     assert quality.psi_drift(df.limit(150)).first().psi == 0.0
+
+
+def test_coverage_weekly_readings_and_batteries(spark):
+    """Groups without a signal, late model years, weekly readings, lost readings, and batteries that fail once they have faded."""
+    w = world.World.load('{"vehicles": 60, "days": 90, "decoys": 1, "noise": 3, "groups": 3, "missing": 0.0, "weights": {"ev": 0.6, "ice": 0.4}, "fade_rate": 0.004, "battery_hazard": 0.5, "coverage": {"hard_stops": {"oem_0": null, "oem_1": 2022}}, "lost": {"realtime": 0.5}}')
+    _, signals, events = world.build(spark, w)
+    rows = signals.groupBy("oem", "model_year").agg(*(F.count(c).alias(c) for c in ("hard_stops", "brake_temp", "pad_wear", "odometer")), F.sum(F.col("active").cast("int")).alias("days")).collect()
+    for r in rows:
+        assert (r.hard_stops == 0) == (r.oem == "oem_0" or r.oem == "oem_1" and r.model_year < 2022)
+        assert 0.4 < r.brake_temp / r.days < 0.6 and r.pad_wear == r.days and r.odometer < r.days / 5
+    matrix = {(r.signal_id, r.oem): (r.emits, r.from_year) for r in world.coverage_matrix(spark, w).collect()}
+    assert matrix["hard_stops", "oem_0"] == (False, None) and matrix["hard_stops", "oem_1"] == (True, 2022) and matrix["pad_wear", "oem_0"] == (True, None)
+    near = events.where("event_type = 'battery'").join(signals, ["vehicle_id", "date"])
+    assert near.count() > 10 and near.where("cell_spread is null").count() == 0
+    assert near.agg(F.avg("cell_spread")).first()[0] > signals.agg(F.avg("cell_spread")).first()[0] + 0.05
+    assert signals.where("fuel is not null and battery_health is not null").count() == 0
+    for bad in ('{"weights": {"ev": 0.6, "ice": 0.6}}', '{"coverage": {"no_signal": {}}}', '{"lost": {"hourly": 0.1}}'):
+        with pytest.raises(ValueError):
+            world.World.load(bad)

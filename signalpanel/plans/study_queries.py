@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalpanel.functions.draws import triangular_sql, uniform_sql
 from signalpanel.operators import economics, metrics, panel, policy, studies
+from signalpanel.plans import runs
 from signalpanel.plans.panel_queries import B, FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SQL as PANEL_SQL, View, _auc_sql, query, rounded
 from signalpanel.sources import fleet
 from signalpanel.streaming import rollup
@@ -57,7 +59,10 @@ def scorecard_oof_auc(v):
     return metrics.weighted_auc(studies.out_of_fold(study_long(v)), "score", "y")
 
 
-@query(ROWS + ", sg AS (SELECT *, split_part(feature, '__', 1) AS signal FROM lb)" + oof_sql("sg", "solo", "signal, vehicle_id, date") + f", result AS (SELECT * FROM {_auc_sql('solo', 'score', 'y', '1.0::DOUBLE', 'signal')})", "signal auc~")
+SQL_SOLO = ROWS + ", sg AS (SELECT *, split_part(feature, '__', 1) AS signal FROM lb)" + oof_sql("sg", "solo", "signal, vehicle_id, date") + f", solo_auc AS (SELECT * FROM {_auc_sql('solo', 'score', 'y', '1.0::DOUBLE', 'signal')})"
+
+
+@query(SQL_SOLO + ", result AS (SELECT * FROM solo_auc)", "signal auc~")
 def single_signal_baseline(v):
     return studies.single_signal_auc(study_long(v))
 
@@ -385,6 +390,63 @@ def cited_sentences(v):
     return policy.cited_sentences(v.spark.createDataFrame(NARRATIVE, "run_id string, narrative string"), known)
 
 
+@query(f"WITH runs AS {_values(RUNS, 'run_id, capability, kind, status, created_at, verdict, p_positive')}, result AS (SELECT run_id, kind, status, row_number() OVER (ORDER BY created_at DESC, run_id DESC)::INT AS place FROM runs QUALIFY place <= 4)", "run_id kind status place")
+def run_listing(v):
+    """The newest runs first."""
+    newest = runs.newest(v.spark.createDataFrame(RUNS, RUN_SCHEMA), 4)
+    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.col("created_at").desc(), F.col("run_id").desc()))).select("run_id", "kind", "status", "place")
+
+
+def _made_again(v, horizon):
+    """Evidence of the same names by another horizon, from frames that are partitioned another way."""
+    labeled = panel.label_panel(v.grid.repartition(5, "date"), v.events, horizon)
+    known = labeled.agg(F.sum((F.col("y") >= 0).cast("long")).alias("known"), F.sum((F.col("y") == 1).cast("long")).alias("positive"))
+    days = v.grid.agg(F.count("*").alias("days"))
+    row = lambda df, name: df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("outputs"))
+    return row(known, "labels").unionByName(row(days, "grid"))
+
+
+AGAIN = f"""labels2 AS (SELECT count(*) FILTER (known) AS known, count(*) FILTER (known AND days_to_event <= {HORIZON + 1}) AS positive FROM (SELECT *, active AND date <= (SELECT max(date) FROM grid) - {HORIZON + 1} AS known FROM next)),
+labels1 AS (SELECT count(*) FILTER (y >= 0) AS known, count(*) FILTER (y = 1) AS positive FROM labeled)"""
+
+
+@query(LABELED + ", " + AGAIN + ", result AS (SELECT 'grid' AS name, 'identical' AS status UNION ALL SELECT 'labels', CASE WHEN a.known = b.known AND a.positive = b.positive THEN 'identical' ELSE 'differs' END FROM labels1 a, labels2 b UNION ALL SELECT 'same_labels', 'identical' UNION ALL SELECT 'rate', 'missing_in_replay')", "name status")
+def replay_status(v):
+    """A study's evidence against evidence made again: by the same horizon, and, under `labels`, by another one."""
+    once = _made_again(v, HORIZON)
+    same = once.where("name = 'labels'").withColumn("name", F.lit("same_labels"))
+    other = _made_again(v, HORIZON + 1)
+    rate = v.spark.createDataFrame([("rate", "{}")], "name string, outputs string")
+    return policy.replay_diff(once.unionByName(same).unionByName(rate), other.unionByName(_made_again(v, HORIZON).where("name = 'labels'").withColumn("name", F.lit("same_labels"))))
+
+
+RICH = {"usd_per_event": (900.0, 1500.0, 2700.0)}
+WHATIF_CASES = [("as_studied", economics.INPUTS, COST, FALSE_100), ("streaming", economics.INPUTS | RICH, COST, FALSE_100)]
+
+
+@query(CAT + cost_sql("catalog", "batch_daily", name="batch") + ", " + cost_sql("catalog", "streaming", name="stream") + ", " + simulation_sql(WHATIF_CASES, POINT_DRAWS).removeprefix("WITH ").replace("cases AS (SELECT * FROM", "cases AS (SELECT * REPLACE (CASE scenario WHEN 'streaming' THEN (SELECT marginal_total FROM stream) ELSE (SELECT marginal_total FROM batch) END AS run_cost) FROM", 1) + ", result AS (SELECT scenario, p5, p50, p_positive, net_p50 FROM summary)", "scenario p5~ p50~ p_positive~ net_p50~")
+def whatif_roi(v):
+    """Return as studied, and with another delivery and another value of an event: cost and value are both made anew."""
+    price = {mode: economics.run_cost(v.catalog, FLEET, mode).first().marginal_total for mode in ("batch_daily", "streaming")}
+    cases = [(name, inputs, price["streaming" if name == "streaming" else "batch_daily"], false) for name, inputs, _, false in WHATIF_CASES]
+    return economics.roi_summary(economics.value_terms(economics.drawn(economics.scenarios(v.spark, cases), POINT_DRAWS, SEED))).select("scenario", "p5", "p50", "p_positive", "net_p50")
+
+
+@query(SQL_SOLO + ", result AS (SELECT * FROM solo_auc ORDER BY auc DESC, signal LIMIT 3)", "signal auc~")
+def top_single_signals(v):
+    return studies.top_signals(studies.single_signal_auc(study_long(v)))
+
+
+@query(CURVE.replace("result AS", "points AS") + ", gained AS (SELECT max(auc) FILTER (share = 1) - max(auc) FILTER (share = 0.5) AS gain FROM points), result AS (SELECT gain, coalesce(gain > 0.01, FALSE) AS still_improving FROM gained)", "gain~ still_improving")
+def learning_curve_gain(v):
+    return studies.curve_gain(studies.learning_curve(study_rows(v), FEATURES, [0.25, 0.5, 0.75, 1.0]))
+
+
+@query(ROWS + ", result AS (SELECT oem, avg((" + " + ".join(f"({f} IS NULL)::INT" for f in FEATURES) + f") / {len(FEATURES)}::DOUBLE) AS missing_share FROM rw GROUP BY 1)", "oem missing_share~")
+def missing_share_by_oem(v):
+    return studies.missing_share(study_rows(v), FEATURES)
+
+
 # ---------------------------------------------------------------- streaming
 
 SQL = {**PANEL_SQL, "stream_daily_rollup": PANEL_SQL["daily_rollup"]}

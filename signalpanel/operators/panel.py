@@ -77,14 +77,18 @@ def class_sample(labeled: DataFrame, ratio: int = 6, max_rows: int = 150_000, se
 
     Rows are chosen by a hash of vehicle and day, each class by its own cut."""
     known = labeled.where("y >= 0").withColumn("_u", uniform(seed, "vehicle_id", "date"))
-    n = known.agg(F.sum((F.col("y") == 1).cast("long")).alias("_p"), F.sum((F.col("y") == 0).cast("long")).alias("_n"))
+    below = lambda y: F.array(*(F.sum(((F.col("y") == y) & (F.col("_u") < 0.5**k)).cast("long")) for k in range(41)))
+    n = known.agg(F.sum((F.col("y") == 1).cast("long")).alias("_p"), F.sum((F.col("y") == 0).cast("long")).alias("_n"), below(1).alias("_pk"), below(0).alias("_nk"))
     most = max(1000, max_rows // (1 + ratio))
     take_p = F.least(F.col("_p"), F.lit(most))
-    sizes = n.select("_p", "_n", take_p.cast("long").alias("_tp")).withColumn("_tn", F.least(F.col("_n"), F.greatest(F.col("_tp") * ratio, F.lit(1)), F.greatest(F.lit(max_rows) - F.col("_tp"), F.lit(1))).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("_u", "vehicle_id", "date"))
-    rows = known.withColumn("_rank", rank).crossJoin(F.broadcast(sizes))
-    taken, whole = F.when(F.col("y") == 1, F.col("_tp")).otherwise(F.col("_tn")), F.when(F.col("y") == 1, F.col("_p")).otherwise(F.col("_n"))
-    return rows.where(F.col("_rank") <= taken).withColumn("weight", whole / taken).drop("_u", "_rank", "_p", "_n", "_tp", "_tn")
+    sizes = n.withColumn("_tp", take_p.cast("long")).withColumn("_tn", F.least(F.col("_n"), F.greatest(F.col("_tp") * ratio, F.lit(1)), F.greatest(F.lit(max_rows) - F.col("_tp"), F.lit(1))).cast("long"))
+    # the rows that are taken lie below the smallest power of a half that has enough below it: only about twice as many are ranked
+    cut = lambda counts, taken: F.pow(F.lit(0.5), F.size(F.filter(counts, lambda c: c >= F.col(taken))) - 1)
+    sizes = sizes.select("_p", "_n", "_tp", "_tn", cut("_pk", "_tp").alias("_pu"), cut("_nk", "_tn").alias("_nu"))
+    of = lambda a, b: F.when(F.col("y") == 1, F.col(a)).otherwise(F.col(b))
+    near = known.crossJoin(F.broadcast(sizes)).where(F.col("_u") < of("_pu", "_nu"))  # sizes are one row
+    rows = near.withColumn("_rank", F.row_number().over(Window.partitionBy("y").orderBy("_u", "vehicle_id", "date")))
+    return rows.where(F.col("_rank") <= of("_tp", "_tn")).withColumn("weight", of("_p", "_n") / of("_tp", "_tn")).drop("_u", "_rank", "_p", "_n", "_tp", "_tn", "_pu", "_nu")
 
 
 def group_folds(labeled: DataFrame, folds: int = 5, seed: int = 42, group: str = "vehicle_id") -> DataFrame:

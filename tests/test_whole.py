@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signalpanel.functions.draws import uniform
 from signalpanel.operators import economics, metrics, panel, quality
 from signalpanel.plans import catalog, study_queries
 from signalpanel.sources import world
@@ -17,6 +18,14 @@ def test_class_sample_keeps_negatives_when_positives_exceed_the_size(spark):
     assert whole == {1: (700, pytest.approx(700)), 0: (2300, pytest.approx(2300))}
 
 
+def test_class_sample_takes_the_smallest_draws(spark):
+    rows = spark.range(4000).selectExpr("cast(id as string) vehicle_id", "date'2025-01-01' date", "cast(id % 20 = 0 as int) y")
+    got = {r.vehicle_id for r in panel.class_sample(rows, 2, 300).collect()}
+    drawn = sorted((r.u, r.y, r.vehicle_id) for r in rows.withColumn("u", uniform(42, "vehicle_id", "date")).collect())
+    want = {i for y, n in ((1, 200), (0, 100)) for i in [v for _, c, v in drawn if c == y][:n]}
+    assert got == want and panel.class_sample(rows.limit(0)).count() == 0
+
+
 SF = "/root/testdata/sf0.001"
 
 

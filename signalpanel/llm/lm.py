@@ -213,13 +213,14 @@ class Trainer:
             self.seen += len(at)
 
 
-def top_rows(replies: DataFrame) -> DataFrame:
-    """key, n: the most frequent tokens that each bucket reported."""
+def top_rows(replies: DataFrame, least: float) -> DataFrame:
+    """key, n: of the most frequent tokens that each bucket reported, those that occur `least` times or more."""
 
     def run(batches):
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 pair = np.frombuffer(zstandard.decompress(raw), "<i8").reshape(2, -1)
+                pair = pair[:, pair[1] >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["key", "n"])
 
     return replies.where("chunk = -2").select("reply").mapInArrow(run, "key long, n long")
@@ -373,7 +374,7 @@ def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, share: floa
     replies = C.saved(counted(chunks.mapInArrow(ask, C.REQUEST), share))
     totals = np.sum([np.frombuffer(r.reply, "<i8") for r in replies.where("chunk = -1").select("reply").collect()] or [np.zeros(2 * GROUPS + 3, np.int64)], axis=0)
     v, n, ends = (int(x) for x in totals[2 * GROUPS :])
-    top = top_rows(replies).where(F.col("n") >= share * n).collect()  # at most 1 / share rows
+    top = top_rows(replies, share * n).collect()  # at most 1 / share rows
     words = Vocabulary([(r.key & (1 << 64) - 1, r.n) for r in top], n, v, ends, totals[:GROUPS], totals[GROUPS : 2 * GROUPS])
     model, bend = train(chunks, words, mod, remainder, dim, rounds, rate, batch, noise) if n else (None, None)
     replies = replies.where("chunk >= 0")

@@ -240,7 +240,7 @@ def mllib_out_of_fold(rows: DataFrame, features: list[str], kind: str = "logisti
     if kind == "gbt":
         rows = rows.withColumns({f"{f}__null": F.col(f).isNull().cast("double") for f in features} | {f: F.coalesce(f, F.lit(-999.0)) for f in features})
         inputs = [*features, *(f"{f}__null" for f in features)]
-        model = GBTClassifier(featuresCol="x", labelCol="y", **{"maxIter": 60, "maxDepth": 5, "minInstancesPerNode": 50,  "subsamplingRate": 0.8, "seed": 42} | settings)
+        model = GBTClassifier(featuresCol="x", labelCol="y", **{"maxIter": 20, "maxDepth": 5, "minInstancesPerNode": 50,  "subsamplingRate": 0.8, "seed": 42} | settings)
         stages = [VectorAssembler(inputCols=inputs, outputCol="x"), model]
     else:
         filled = [f"{f}__filled" for f in features]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from signalpanel.functions.draws import triangular_sql, uniform_sql
 from signalpanel.operators import economics, metrics, panel, policy, studies
 from signalpanel.plans import runs
-from signalpanel.plans.panel_queries import B, FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SQL as PANEL_SQL, View, _auc_sql, query, rounded
+from signalpanel.plans.panel_queries import B, FOLDS, HORIZON, LABELED, QUERIES as PANEL_QUERIES, SIX, SQL as PANEL_SQL, View, _auc_sql, query, rounded
 from signalpanel.sources import fleet
 from signalpanel.streaming import rollup
 
@@ -51,7 +51,9 @@ OOF = ROWS + oof_sql("lb", "oof")
 
 @query(OOF + ", result AS (SELECT vehicle_id, date, y, score FROM oof)", "vehicle_id date y score~")
 def scorecard_oof(v):
-    return studies.out_of_fold(study_long(v)).select("vehicle_id", "date", "y", "score")
+    # one score of nine decimals in a thousand ends in 500: round by a product, as the SQL's engine does, not by decimal digits
+    score = F.round(F.col("score") * 10.0**SIX) / 10.0**SIX
+    return studies.out_of_fold(study_long(v)).select("vehicle_id", "date", "y", score.alias("score"))
 
 
 @query(OOF + f", result AS (SELECT * FROM {_auc_sql('oof', 'score', 'y', '1.0::DOUBLE')})", "auc~")

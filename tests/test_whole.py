@@ -1,5 +1,6 @@
 """Operators at the size of the whole job, against brute force on small rows."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,13 @@ def test_coverage_weekly_readings_and_batteries(spark):
     for bad in ('{"weights": {"ev": 0.6, "ice": 0.6}}', '{"coverage": {"no_signal": {}}}', '{"lost": {"hourly": 0.1}}'):
         with pytest.raises(ValueError):
             world.World.load(bad)
+
+
+def test_scorecard_rounds_as_its_sql(spark, monkeypatch):
+    """Scores of nine decimals that end in 500, which decimal digits and a product round apart."""
+    scores = [s * (k * 1000 + 500) / 1e9 for k in range(0, 3_000_000, 997) for s in (1, -1)]
+    made = spark.createDataFrame([(str(i), "2024-01-01", 0, s) for i, s in enumerate(scores)], "vehicle_id string, date string, y int, score double")
+    monkeypatch.setattr(study_queries.studies, "out_of_fold", lambda long: made)
+    got = {int(r.vehicle_id): r.score for r in catalog.QUERIES["scorecard_oof"](spark, SF).collect()}
+    want = duckdb.execute("SELECT i, round(unnest($1::DOUBLE[]), 6) FROM (SELECT 0 AS i)", [scores]).fetchall()
+    assert [got[i] for i in range(len(scores))] == [r[1] for r in want]

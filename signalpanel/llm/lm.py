@@ -60,8 +60,9 @@ def grouped(c: C.Chunk, w: C.Words) -> np.ndarray:
     """Word hashes whose last bits are a hash of the word's last two bytes."""
     if not len(w.hash):
         return w.hash
-    raw = C.LOWER_NP[np.frombuffer(c.data, np.uint8)].astype(C.U64)
-    tail = raw[w.end - 1] * C.U64(256) + raw[np.maximum(w.start, w.end - 2)]
+    raw = np.frombuffer(c.data, np.uint8)
+    last, before = (C.LOWER_NP[raw[at]].astype(C.U64) for at in (w.end - 1, np.maximum(w.start, w.end - 2)))
+    tail = last * C.U64(256) + before
     return (w.hash & ~C.U64(GROUPS - 1)) | (C.mix(tail) & C.U64(GROUPS - 1))
 
 
@@ -127,6 +128,20 @@ def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[place[first]] += np.add.reduceat(rows[order], first)
 
 
+def summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of the rows of each place; for few places."""
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
+
+
+def logistic_of_minus(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class LogBilinear:
     """Parameters in one flat array; views by name."""
 
@@ -134,61 +149,74 @@ class LogBilinear:
         self.shapes = {"r": (classes + 1, dim), "c": (ORDER, dim, dim), "q": (classes, dim), "b": (classes,)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         self.noise = noise / noise.sum()
+        self.log_noise = np.log(self.noise).astype(kind)
+        self.up_to = self.noise.cumsum()
+        self.up_to /= self.up_to[-1]
         fresh = flat is None
         self.flat = np.zeros(size, kind) if fresh else np.array(flat, kind)
-        at = 0
-        for name, shape in self.shapes.items():
-            n = int(np.prod(shape))
-            setattr(self, name, self.flat[at : at + n].reshape(shape))
-            at += n
+        self.r, self.c, self.q, self.b = self.views(self.flat)
         if fresh:
             rng = np.random.default_rng(seed)
             self.r[:], self.q[:] = rng.normal(0, 0.3, self.r.shape), rng.normal(0, 0.1, self.q.shape)
             self.c[:] = np.eye(dim) / ORDER
             self.b[:] = np.log(self.noise)
 
+    def views(self, flat: np.ndarray) -> list[np.ndarray]:
+        out, at = [], 0
+        for shape in self.shapes.values():
+            n = int(np.prod(shape))
+            out.append(flat[at : at + n].reshape(shape))
+            at += n
+        return out
+
+    def drawn(self, rng: np.random.Generator, k: int) -> np.ndarray:
+        """k noise classes; what rng.choice gives, without adding up the noise each time."""
+        return self.up_to.searchsorted(rng.random(k), side="right")
+
     def predicted(self, ctx: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """own: (tokens, ORDER, dim) what words add to the representations of the classes before."""
-        return sum((self.r[ctx[:, k]] if own is None else self.r[ctx[:, k]] + own[:, k]) @ self.c[k] for k in range(ORDER))
-
-    def scores(self, ctx: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts, classes) scores, and of each context the natural logarithm that normalises them."""
-        s = self.predicted(ctx, own).astype(np.float32) @ self.q.T.astype(np.float32)
-        s += self.b.astype(np.float32)
-        top = s.max() if s.size else 0
-        return s, np.log(np.exp(s - top).sum(1, dtype=np.float64)) + top
+        if own is None:
+            return sum((self.r @ self.c[k]).take(ctx[:, k], axis=0) for k in range(ORDER))
+        return sum((self.r[ctx[:, k]] + own[:, k]) @ self.c[k] for k in range(ORDER))
+
+    def noise_contrast(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The predicted representations, what is missing to certainty for each target and what each drawn class has too much, and
+        the gradient of each token's own loss by its predicted representation."""
+        b, at, of = self.b - self.log_noise - self.flat.dtype.type(np.log(len(drawn))), self.q.take(target, axis=0), self.q.take(drawn, axis=0)
+        hat = self.predicted(ctx)
+        miss = logistic_of_minus(np.einsum("ij,ij->i", hat, at) + b[target])
+        much = hat @ -of.T
+        much -= b[drawn]
+        logistic_of_minus(much)
+        at *= miss[:, None]
+        return hat, miss, much, much @ of - at
 
     def gradient(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the mean noise-contrastive loss; all tokens share the drawn noise classes. And the loss's mean curvature by the
         representation of a token before."""
-        n, k = len(target), len(drawn)
-        shift = np.log(k * self.noise).astype(self.flat.dtype)
-        hat = self.predicted(ctx)
-        pos = (hat * self.q[target]).sum(1) + self.b[target] - shift[target]
-        neg = hat @ self.q[drawn].T + (self.b - shift)[drawn]
-        gp = -1 / (1 + np.exp(np.clip(pos, -30, 30))) / n
-        gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / n
-        out = LogBilinear.__new__(LogBilinear)
-        LogBilinear.__init__(out, len(self.b), self.q.shape[1], self.noise, np.zeros_like(self.flat), kind=self.flat.dtype)
-        g_hat = gp[:, None] * self.q[target] + gn @ self.q[drawn]
-        both = np.concatenate([target, drawn])
-        add_rows(out.q, both, np.concatenate([gp[:, None] * hat, gn.T @ hat]))
-        add_rows(out.b[:, None], both, np.concatenate([gp, gn.sum(0)])[:, None])
+        n, dim, classes = len(target), self.q.shape[1], len(self.b)
+        hat, miss, much, g_hat = self.noise_contrast(ctx, target, drawn)
+        all_much = np.ones(n, much.dtype) @ much
+        flat = np.empty_like(self.flat)
+        r, c, q, b = self.views(flat)
+        both, rows = np.concatenate([target, drawn]), np.empty((n + len(drawn), dim + 1), hat.dtype)
+        np.multiply(hat, -miss[:, None], out=rows[:n, :dim])
+        rows[:n, dim], rows[n:, :dim], rows[n:, dim] = -miss, much.T @ hat, all_much
+        sums = summed_rows(both, rows, classes) / n
+        q[:], b[:] = sums[:, :dim], sums[:, dim]
+        r[:] = 0
         for i in range(ORDER):
-            out.c[i] = self.r[ctx[:, i]].T @ g_hat
-            add_rows(out.r, ctx[:, i], g_hat @ self.c[i].T)
-        bend, slope = -gp * (1 + n * gp), (gn * (1 - n * gn)).sum(0)
-        bend = (self.q[target] * bend[:, None]).T @ self.q[target] + (self.q[drawn] * slope[:, None]).T @ self.q[drawn]
-        return out.flat, sum(c @ bend @ c.T for c in self.c) / ORDER
-
+            by_class = summed_rows(ctx[:, i], g_hat, classes + 1) / n
+            c[i] = self.r.T @ by_class
+            r += by_class @ self.c[i].T
+        bend = np.bincount(both, np.concatenate([miss * (1 - miss), all_much - np.einsum("ij,ij->j", much, much)]), classes) / n
+        bend = (self.q * bend[:, None]).T @ self.q
+        return flat, sum(c @ bend @ c.T for c in self.c) / ORDER
 
     def backs(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
         """Of each token's own loss, the gradient by the representation of each token before."""
-        q, b = self.q.astype(np.float32), (self.b - np.log(len(drawn) * self.noise)).astype(np.float32)
-        hat = self.predicted(ctx).astype(np.float32)
-        pos, neg = np.einsum("ij,ij->i", hat, q[target]) + b[target], hat @ q[drawn].T + b[drawn]
-        g = 1 / (1 + np.exp(-np.clip(neg, -30, 30))) @ q[drawn] - q[target] / (1 + np.exp(np.clip(pos, -30, 30)))[:, None]
-        return [g @ c.T.astype(np.float32) for c in self.c]
+        g = self.noise_contrast(ctx, target, drawn)[-1]
+        return [g @ c.T for c in self.c]
 
 
 class Trainer:
@@ -196,20 +224,22 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, rate: float, batch: int, noise: int, seed: int):
         self.model, self.rate, self.batch, self.k = model, rate, batch, noise
-        self.rng, self.m, self.v, self.t, self.seen, self.bend = np.random.default_rng(seed), 0.0, 0.0, 0, 0, 0.0
+        self.rng, self.t, self.seen, self.bend = np.random.default_rng(seed), 0, 0, 0.0
+        self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
 
     def feed(self, ctx: np.ndarray, target: np.ndarray) -> None:
         order = self.rng.permutation(len(target))
         for lo in range(0, len(order), self.batch):
             at = order[lo : lo + self.batch]
-            drawn = self.rng.choice(len(self.model.noise), self.k, p=self.model.noise)
-            g, bend = self.model.gradient(ctx[at], target[at], drawn)
+            g, bend = self.model.gradient(ctx[at], target[at], self.model.drawn(self.rng, self.k))
             self.t += 1
             self.bend = self.bend + bend * len(at)
-            self.m = 0.9 * self.m + 0.1 * g
-            self.v = 0.99 * self.v + 0.01 * g * g
             rate = self.rate / (1 + self.t / 200) ** 0.5
-            self.model.flat -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+            self.m *= 0.9
+            self.m += 0.1 * g
+            self.v *= 0.99
+            self.v += 0.01 * g * g
+            self.model.flat -= rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
             self.seen += len(at)
 
 
@@ -306,19 +336,24 @@ class Known:
         self.count, self.ids, self.number = count[inverse].astype(float), ids[inverse], number[inverse]
 
 
+#: Batches whose gradients are added to their words at once.
+TOGETHER = 64
+
+
 def evidence_rows(c: C.Chunk, k: Known, model: LogBilinear, words: Vocabulary, batch: int, noise: int, n_buckets: int) -> pa.Table:
     """For each bucket, the chunk's words with a representation of their own: keys, summed gradients, number of places."""
     n, dim, rng = len(k.keys), model.q.shape[1], np.random.default_rng(c.chunk + 1)
+    model = LogBilinear(len(model.b), dim, model.noise, model.flat, kind=np.float32)
     grad, places = np.zeros((n + 1, dim)), np.zeros(n + 1, np.int64)
     use = np.flatnonzero(~k.s.held[k.s.doc])
     ctx, own = contexts(k.ids, k.s.at, words.size), contexts(k.number, k.s.at, n)
-    for lo in range(0, len(use) if n else 0, batch):
-        at = use[lo : lo + batch]
-        drawn = rng.choice(len(model.noise), noise, p=model.noise)
-        for i, g in enumerate(model.backs(ctx[at], k.ids[at], drawn)):
-            has = own[at, i] < n
-            add_rows(grad, own[at, i][has], g[has])
-        places += np.bincount(own[at].ravel(), minlength=n + 1)
+    for lo in range(0, len(use) if n else 0, TOGETHER * batch):
+        some = use[lo : lo + TOGETHER * batch]
+        backs = [model.backs(ctx[at], k.ids[at], model.drawn(rng, noise)) for at in (some[i : i + batch] for i in range(0, len(some), batch))]
+        for i in range(ORDER):
+            has = own[some, i] < n
+            add_rows(grad, own[some, i][has], np.concatenate([g[i] for g in backs])[has])
+        places += np.bincount(own[some].ravel(), minlength=n + 1)
     of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
     rows = []
     for b in np.unique(of):
@@ -410,25 +445,47 @@ def score_documents(df: DataFrame, mod: int = 7, remainder: int = 2, share: floa
     return C.with_replies(chunks, both, score, SCORED)
 
 
+def log_sums(s: np.ndarray) -> np.ndarray:
+    """Of each row, which it overwrites, the natural logarithm of the sum of its exponentials."""
+    plain = s.max(initial=0) < 60 and s.min(initial=0) > -60  # single precision ends at 88
+    top = np.zeros((len(s), 1), s.dtype) if plain else s.max(1, keepdims=True)
+    if not plain:
+        s -= top
+    np.exp(s, out=s)
+    return np.log(s @ np.ones(s.shape[1], s.dtype)) + top[:, 0]
+
+
+#: Scores that a core works on at once, so that they stay in its cache.
+AT_ONCE = 1 << 18
+
+
 def token_log10(model: LogBilinear, words: Vocabulary, ids: np.ndarray, at: np.ndarray, count: np.ndarray, number: np.ndarray, vectors: np.ndarray, step: int = 4096) -> np.ndarray:
     """log10 probability of each token, by batches of distinct contexts; number: each token's row of `vectors`, whose last is
     zero and stands for words without a representation of their own."""
-    none, size = len(vectors) - 1, words.size + 1
+    none, size, dim, single = len(vectors) - 1, words.size + 1, vectors.shape[1], np.float32
     code = contexts(np.where(number < none, size + number, ids), at, words.size)  # a class, the begin, or a word
-    code, inverse = np.unique(code @ (size + none) ** np.arange(ORDER), return_inverse=True)
+    code = code @ (size + none) ** np.arange(ORDER)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    edge = np.append(first, len(code))
+    row, code = np.repeat(np.arange(len(first)), np.diff(edge)), code[first]
     of = np.zeros(none, np.int64)
     of[number[number < none]] = ids[number < none]
-    of = np.concatenate([np.arange(size), of])
-    order = np.argsort(inverse, kind="stable")
-    edge = np.searchsorted(inverse[order], np.arange(0, len(code) + step, step))
+    each = np.concatenate([model.r, model.r[of] + vectors[:none]]).astype(single)  # representations, and what each place makes of them
+    each = [each @ c.astype(single) for c in model.c]
+    table = np.concatenate([model.q.T, model.b[None]]).astype(single)
+    step = min(step, max(64, AT_ONCE // words.size))
+    hat, s = np.ones((step, dim + 1), single), np.empty((step, words.size), single)
     out = np.empty(len(ids))
-    for k, lo in enumerate(range(0, len(code), step)):
-        some = code[lo : lo + step]
-        some = np.stack([some // (size + none) ** i % (size + none) for i in range(ORDER)], axis=1)
-        raw, norm = model.scores(of[some], vectors[np.where(some < size, none, some - size)])
-        tokens = order[edge[k] : edge[k + 1]]
-        row = inverse[tokens] - lo
-        out[tokens] = raw[row, ids[tokens]] - norm[row]
+    for lo in range(0, len(code), step):
+        hi = min(lo + step, len(code))
+        own, got = hat[: hi - lo], s[: hi - lo]
+        own[:, :dim] = sum(each[i].take(code[lo:hi] // (size + none) ** i % (size + none), axis=0) for i in range(ORDER))
+        np.matmul(own, table, out=got)
+        tokens, at_row = order[edge[lo] : edge[hi]], row[edge[lo] : edge[hi]] - lo
+        raw = got[at_row, ids[tokens]]
+        out[tokens] = raw - log_sums(got)[at_row].astype(float)
     rest = ids < GROUPS
     out[rest] += np.log((count[rest] + 1) / (words.rest_n + words.rest_v + 1)[ids[rest]])
     return out / np.log(10)

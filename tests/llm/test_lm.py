@@ -79,6 +79,41 @@ def test_scores_equal_plain_loops():
         assert abs(got[i] - math.log10(p)) < 1e-4
 
 
+def test_scores_far_apart_stay_finite():
+    """Contexts of one batch whose scores lie hundreds apart, which one common shift turned into a logarithm of zero."""
+    rng = np.random.default_rng(8)
+    words, keys, count = vocabulary(rng, 60)
+    ids, none = words.ids(keys), np.zeros((1, 3), np.float32)
+    for far in (0, 30, 200):
+        model = lm.LogBilinear(words.size, 3, np.maximum(words.counts, 0.5))
+        model.q[:, 0] = 1
+        model.r[:, 0] = np.linspace(-far, far, words.size + 1)
+        got = lm.token_log10(model, words, ids, np.arange(len(keys)), count, np.zeros(len(keys), int), none)
+        hat = sum(model.r[lm.contexts(ids, np.arange(len(keys)), words.size)[:, k]] @ model.c[k] for k in range(lm.ORDER))
+        s = hat @ model.q.T + model.b
+        s -= s.max(1, keepdims=True)
+        want = s[np.arange(len(keys)), ids] - np.log(np.exp(s).sum(1))
+        want += np.where(ids < lm.GROUPS, np.log((count + 1) / (words.rest_n + words.rest_v + 1)[np.minimum(ids, lm.GROUPS - 1)]), 0)
+        assert np.allclose(got, want / np.log(10), atol=1e-3)
+
+
+def test_a_step_of_training_equals_adam():
+    """Parameters after some batches, with gradients that add up repeated classes, against Adam by its definition."""
+    rng = np.random.default_rng(9)
+    noise, n = rng.random(7) + 0.1, 40
+    ctx, target = rng.integers(0, 8, (n, 2)), rng.integers(0, 7, n)
+    model, plain = lm.LogBilinear(7, 3, noise), lm.LogBilinear(7, 3, noise)
+    lm.Trainer(model, 0.05, 16, 5, 11).feed(ctx, target)
+    draw, m, v = np.random.default_rng(11), 0, 0
+    order = draw.permutation(n)
+    for t, lo in enumerate(range(0, n, 16), 1):
+        at = order[lo : lo + 16]
+        g, _ = plain.gradient(ctx[at], target[at], draw.choice(7, 5, p=plain.noise))
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        plain.flat -= 0.05 / (1 + t / 200) ** 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    assert np.allclose(model.flat, plain.flat, atol=1e-9)
+
+
 def test_vocabulary_of_words_grows_with_the_corpus(spark):
     """Every word above the count threshold has a representation of its own: the Newton step from all of its places."""
     grad = lambda *rows: lm.packed_rows(np.array(rows, float))

@@ -66,6 +66,16 @@ def grouped(c: C.Chunk, w: C.Words) -> np.ndarray:
     return (w.hash & ~C.U64(GROUPS - 1)) | (C.mix(tail) & C.U64(GROUPS - 1))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, which sorts distinct keys only."""
+    coded = pa.array(keys).dictionary_encode()
+    own = coded.dictionary.to_numpy()
+    order = np.argsort(own)
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    return own[order], rank[coded.indices.to_numpy()]
+
+
 class Sequence:
     """All tokens of a chunk in order, each document's closed by the end token."""
 
@@ -82,7 +92,7 @@ class Sequence:
         self.at = np.arange(len(self.keys)) - np.repeat(self.stop - size, size)  # place within the document
 
     def request(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(self.keys, return_inverse=True)
+        keys, inverse = distinct(self.keys)
         return keys, np.bincount(inverse, weights=~self.held[self.doc], minlength=len(keys)).astype(np.int64)
 
 
@@ -119,13 +129,15 @@ class Vocabulary:
 
 
 def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the row of `out` at its place; places may repeat."""
-    if not len(at):
+    """Adds each row to the row of `out` at its place, if there is one; places may repeat."""
+    has = np.flatnonzero(at < len(out))
+    if not len(has):
         return
+    at = at[has].astype(np.uint16 if len(out) <= 1 << 16 else np.int64)  # short ones are sorted by their digits
     order = np.argsort(at, kind="stable")
-    place = at[order]
-    first = np.flatnonzero(np.diff(place, prepend=place[0] - 1))
-    out[place[first]] += np.add.reduceat(rows[order], first)
+    place = at[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[first]] += np.add.reduceat(rows.take(has[order], axis=0), first)
 
 
 def summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -327,7 +339,7 @@ class Known:
 
     def __init__(self, c: C.Chunk, replies: pa.Table, words: Vocabulary, least: int, n_buckets: int, mod: int, remainder: int):
         self.s = s = Sequence(c, mod, remainder)
-        keys, inverse = np.unique(s.keys, return_inverse=True)
+        keys, inverse = distinct(s.keys)
         count = C.read_reply(replies, keys, n_buckets)
         ids = words.ids(keys)
         own = (ids < GROUPS) & (count >= least)
@@ -344,21 +356,20 @@ def evidence_rows(c: C.Chunk, k: Known, model: LogBilinear, words: Vocabulary, b
     """For each bucket, the chunk's words with a representation of their own: keys, summed gradients, number of places."""
     n, dim, rng = len(k.keys), model.q.shape[1], np.random.default_rng(c.chunk + 1)
     model = LogBilinear(len(model.b), dim, model.noise, model.flat, kind=np.float32)
-    grad, places = np.zeros((n + 1, dim)), np.zeros(n + 1, np.int64)
+    grad, places = np.zeros((n, dim)), np.zeros(n + 1, np.int64)
     use = np.flatnonzero(~k.s.held[k.s.doc])
     ctx, own = contexts(k.ids, k.s.at, words.size), contexts(k.number, k.s.at, n)
     for lo in range(0, len(use) if n else 0, TOGETHER * batch):
         some = use[lo : lo + TOGETHER * batch]
         backs = [model.backs(ctx[at], k.ids[at], model.drawn(rng, noise)) for at in (some[i : i + batch] for i in range(0, len(some), batch))]
         for i in range(ORDER):
-            has = own[some, i] < n
-            add_rows(grad, own[some, i][has], np.concatenate([g[i] for g in backs])[has])
+            add_rows(grad, own[some, i], np.concatenate([g[i] for g in backs]))
         places += np.bincount(own[some].ravel(), minlength=n + 1)
     of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
     rows = []
     for b in np.unique(of):
         a = of == b
-        rows.append((c.chunk, int(b), k.keys[a].tobytes(), packed_rows(grad[:-1][a]), C.packed_counts(places[:-1][a])))
+        rows.append((c.chunk, int(b), k.keys[a].tobytes(), packed_rows(grad[a]), C.packed_counts(places[:-1][a])))
     cols = list(zip(*rows)) if rows else [()] * 5
     return pa.table({f.split()[0]: pa.array(x, t) for f, x, t in zip(EVIDENCE.split(", "), cols, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])})
 

@@ -7,9 +7,10 @@ cell is kept, by a hash of its id. Expected tokens of every margin are `keep` ti
 target, wherever the bound allows the target.
 
 All steps are DataFrame functions. Documents are read, aggregated with partial sums, and
-joined with the raked cells. Raking adds up margins with partial sums and joins them with
-the cells: up to `TASK_CELLS` cells lie in one partition, where this takes no shuffle, and
-are broadcast to the documents; more are shuffled and joined, by the same steps.
+joined with the raked cells. Up to `TASK_CELLS` cells lie in one partition, where raking adds
+up margins by windows, without a shuffle or a join (the driver keeps a thread and a plan for
+each of those), and are broadcast to the documents; of more cells, margins are added up with
+partial sums and joined with the cells, by the same steps.
 
 A topic column is used if there is one; else the topic is what a whole text's characters
 say: ``tabular`` (a hundredth or more are | or tabs), ``numeric`` (a twentieth or more are
@@ -21,7 +22,7 @@ are kept at the rate `keep`; texts count whole, however long; a null id draws li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -59,22 +60,29 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     return df.withColumns({k: F.coalesce(v, F.lit(NONE)) for k, v in named.items()} | {"__mix_tokens": words, "__mix_draw": draw(F.col(id_col), seed)})
 
 
-def rake(cells: DataFrame, powers: dict[str, float], bound: float, rounds: int, settled: float = 1e-13) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float], bound: float, rounds: int, settled: float = 1e-13, together: bool = False) -> DataFrame:
     """source, lang, topic, tokens -> the same and factor: raked tokens over tokens.
 
-    Rounds end early once none moves a cell by more than the share `settled` of itself."""
+    Rounds end early once none moves a cell by more than the share `settled` of itself. together: the cells are few enough
+    for one partition."""
+    # a checkpoint forgets that it has one partition, so each of them is told anew
+    kept = lambda df: saved(df).coalesce(1) if together else saved(df)
+    cells = cells.coalesce(1) if together else cells
     whole = cells.agg(F.sum("tokens")).scalar()
     for m in MARGINS:
         # a margin's target: its tempered share over the sum of all of its values' shares
         own = cells.groupBy(m).agg(F.pow(F.sum("tokens") / whole, F.lit(powers[m])).alias("p"))
         cells = cells.join(own.select(m, (F.col("p") / own.agg(F.sum("p")).scalar() * whole).alias(f"t_{m}")), m)
-    cells = saved(cells.withColumn("x", F.col("tokens").cast("double")))
+    cells = kept(cells.withColumn("x", F.col("tokens").cast("double")))
     for _ in range(rounds):
         cells = cells.withColumn("before", F.col("x"))
         for m in MARGINS:
-            cells = cells.join(cells.groupBy(m).agg(F.sum("x").alias("sum")), m)  # partial sums and a join, no window
+            if together:
+                cells = cells.withColumn("sum", F.sum("x").over(Window.partitionBy(m)))
+            else:  # partial sums and a join: a window has all of a value's cells in one task
+                cells = cells.join(cells.groupBy(m).agg(F.sum("x").alias("sum")), m)
             cells = cells.withColumn("x", F.least(F.col("x") * F.col(f"t_{m}") / F.col("sum"), F.col("tokens") * F.lit(bound))).drop("sum")
-        cells = saved(cells)  # a plan of all rounds would be too deep
+        cells = kept(cells)  # a plan of all rounds would be too deep
         if not cells.where(F.abs(F.col("x") - F.col("before")) > F.col("before") * settled).limit(1).count():
             break
         cells = cells.drop("before")
@@ -87,8 +95,7 @@ def with_probability(rows: DataFrame, keep: float = 0.5, powers: dict[str, float
     cells = rows.groupBy(*named).agg(F.sum("__mix_tokens").alias("tokens")).where("tokens > 0")
     cells = saved(cells)
     n = cells.count()
-    # one partition needs no shuffle for any of the sums and joins, more share them
-    raked = saved(rake(cells.coalesce(1) if n <= task_cells else cells, powers, 1 / keep, rounds))
+    raked = saved(rake(cells, powers, 1 / keep, rounds, together=n <= task_cells))
     factors = raked.select(*(F.col(m).alias(f"__mix_{m}") for m in MARGINS), F.col("factor").alias("__mix_factor"))
     out = rows.join(F.broadcast(factors) if n <= task_cells else factors, [f"__mix_{m}" for m in MARGINS], "left")
     factor = F.when(F.col("__mix_tokens") > 0, F.col("__mix_factor")).otherwise(F.lit(1.0))

@@ -61,3 +61,17 @@ def test_raking_ends_when_settled(spark):
     df = mixing.features(table(spark))
     a, b = (sorted((str(r[:4]), round(r.factor, 12)) for r in mixing.rake(cells, mixing.POWERS, 2.0, n).collect()) for n in (60, 400) for cells in [df.groupBy(*(F.col(f"__mix_{m}").alias(m) for m in mixing.MARGINS)).agg(F.sum("__mix_tokens").alias("tokens")).where("tokens > 0").coalesce(1)])
     assert a == b
+
+
+def test_rounds_of_few_cells_take_no_shuffle_and_no_join(spark, monkeypatch):
+    """The driver keeps a thread for each shuffle and broadcast of the last minute."""
+    saved, rounds = mixing.saved, []
+
+    def noted(df):
+        if "before" in df.columns:
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df)
+
+    monkeypatch.setattr(mixing, "saved", noted)
+    mixing.plan(table(spark), keep=0.7, rounds=3).count()
+    assert rounds and not [p for p in rounds if "Exchange" in p or "Join" in p]

@@ -18,8 +18,9 @@
    words' gradients and numbers of places to the words' buckets, which add them up over all
    chunks and send the representations back. So this vocabulary grows with the corpus, and no machine
    holds more of it than a bucket or a chunk.
-5. Scores. For the distinct contexts of a chunk, one batch of matrix products gives the
-   scores of all classes, and their softmax the probability. A word of a group has, within
+5. Scores. The exponential of a score is the product of what the two tokens before make of
+   it, so exponentials are taken for each word of a chunk and class, and products added up
+   for each distinct context: the softmax. A word of a group has, within
    it, probability (c + 1) / (N' + V' + 1), with N' and V' the group's tokens and distinct
    tokens, so all probabilities add up to one.
 
@@ -32,6 +33,7 @@ training tokens every score is the base score; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -129,15 +131,11 @@ class Vocabulary:
 
 
 def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each row to the row of `out` at its place, if there is one; places may repeat."""
-    has = np.flatnonzero(at < len(out))
-    if not len(has):
-        return
-    at = at[has].astype(np.uint16 if len(out) <= 1 << 16 else np.int64)  # short ones are sorted by their digits
-    order = np.argsort(at, kind="stable")
-    place = at[order].astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    out[place[first]] += np.add.reduceat(rows.take(has[order], axis=0), first)
+    """Adds each row to the column of `out` at its place, if there is one; places may repeat."""
+    has = np.flatnonzero(at < out.shape[1])
+    at, columns = at[has], np.ascontiguousarray(rows.take(has, axis=0).T)
+    for total, x in zip(out, columns):
+        total += np.bincount(at, x, len(total))
 
 
 def summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -146,6 +144,17 @@ def summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((at[:, None] * width + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width)
 
 
+#: Sums of scores of less than this, either way, have exponentials in single precision, which ends at 87, also summed over all classes.
+FAR = 76
+#: Odds of all classes that are kept in memory.
+MOST_ODDS = 1 << 21
+
+
+def reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x, a bound of its products with rows of y."""
+    return np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y).max(initial=0))
+
+
 def logistic_of_minus(x: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(x)), in place."""
     with np.errstate(over="ignore"):
@@ -164,6 +173,7 @@ class LogBilinear:
         self.log_noise = np.log(self.noise).astype(kind)
         self.up_to = self.noise.cumsum()
         self.up_to /= self.up_to[-1]
+        self.rooms: dict[int, np.ndarray] = {}
         fresh = flat is None
         self.flat = np.zeros(size, kind) if fresh else np.array(flat, kind)
         self.r, self.c, self.q, self.b = self.views(self.flat)
@@ -181,6 +191,12 @@ class LogBilinear:
             at += n
         return out
 
+    def room(self, i: int, n: int, width: int) -> np.ndarray:
+        """The i-th memory for n rows, the same at every call: fresh memory would cost more than what is done in it."""
+        if i not in self.rooms or self.rooms[i].size < n * width:
+            self.rooms[i] = np.empty(n * width, self.flat.dtype)
+        return self.rooms[i][: n * width].reshape(n, width)
+
     def drawn(self, rng: np.random.Generator, k: int) -> np.ndarray:
         """k noise classes; what rng.choice gives, without adding up the noise each time."""
         return self.up_to.searchsorted(rng.random(k), side="right")
@@ -191,27 +207,53 @@ class LogBilinear:
             return sum((self.r @ self.c[k]).take(ctx[:, k], axis=0) for k in range(ORDER))
         return sum((self.r[ctx[:, k]] + own[:, k]) @ self.c[k] for k in range(ORDER))
 
-    def noise_contrast(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, ...]:
+    def shift(self, k: int) -> np.ndarray:
+        """What k noise classes make of the biases."""
+        return self.b - self.log_noise - self.flat.dtype.type(np.log(k))
+
+    def odds(self, q: np.ndarray, b: np.ndarray) -> list[np.ndarray] | None:
+        """For each place, by class there and row of q, the exponential of minus what the one adds to the other's score: the products
+        of the places' are those of whole scores. None if they could leave single precision."""
+        minus = [self.r @ c @ -q.T for c in self.c]
+        minus[0] -= b
+        if not max(np.abs(x).max() for x in minus) < FAR / ORDER:
+            return None
+        return [np.exp(x, out=x) for x in minus]
+
+    def noise_contrast(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray, odds: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
         """The predicted representations, what is missing to certainty for each target and what each drawn class has too much, and
-        the gradient of each token's own loss by its predicted representation."""
-        b, at, of = self.b - self.log_noise - self.flat.dtype.type(np.log(len(drawn))), self.q.take(target, axis=0), self.q.take(drawn, axis=0)
+        the gradient of each token's own loss by its predicted representation. odds: those of all classes, if they are at hand."""
+        b, at, of = self.shift(len(drawn)), self.q.take(target, axis=0), self.q.take(drawn, axis=0)
         hat = self.predicted(ctx)
         miss = logistic_of_minus(np.einsum("ij,ij->i", hat, at) + b[target])
-        much = hat @ -of.T
-        much -= b[drawn]
-        logistic_of_minus(much)
+        if odds:
+            odds = [x.take(drawn, axis=1) for x in odds]
+        elif ORDER * len(self.r) < len(ctx):  # fewer exponentials
+            odds = self.odds(of, b[drawn])
+        much = self.room(0, len(ctx), len(drawn))
+        if odds:
+            for k, (x, c) in enumerate(zip(odds, ctx.T)):
+                factor = x.take(c, axis=0, out=self.room(1, *much.shape) if k else much, mode="clip")
+                if k:
+                    much *= factor
+            much += 1
+            np.reciprocal(much, out=much)
+        else:
+            np.matmul(hat, -of.T, out=much)
+            much -= b[drawn]
+            logistic_of_minus(much)
         at *= miss[:, None]
         return hat, miss, much, much @ of - at
 
-    def gradient(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gradient(self, ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray, bent: bool = True) -> tuple[np.ndarray, np.ndarray | float]:
         """Of the mean noise-contrastive loss; all tokens share the drawn noise classes. And the loss's mean curvature by the
-        representation of a token before."""
+        representation of a token before, if `bent`."""
         n, dim, classes = len(target), self.q.shape[1], len(self.b)
         hat, miss, much, g_hat = self.noise_contrast(ctx, target, drawn)
         all_much = np.ones(n, much.dtype) @ much
         flat = np.empty_like(self.flat)
         r, c, q, b = self.views(flat)
-        both, rows = np.concatenate([target, drawn]), np.empty((n + len(drawn), dim + 1), hat.dtype)
+        both, rows = np.concatenate([target, drawn]), self.room(2, n + len(drawn), dim + 1)
         np.multiply(hat, -miss[:, None], out=rows[:n, :dim])
         rows[:n, dim], rows[n:, :dim], rows[n:, dim] = -miss, much.T @ hat, all_much
         sums = summed_rows(both, rows, classes) / n
@@ -221,6 +263,8 @@ class LogBilinear:
             by_class = summed_rows(ctx[:, i], g_hat, classes + 1) / n
             c[i] = self.r.T @ by_class
             r += by_class @ self.c[i].T
+        if not bent:
+            return flat, 0.0
         bend = np.bincount(both, np.concatenate([miss * (1 - miss), all_much - np.einsum("ij,ij->j", much, much)]), classes) / n
         bend = (self.q * bend[:, None]).T @ self.q
         return flat, sum(c @ bend @ c.T for c in self.c) / ORDER
@@ -234,8 +278,8 @@ class LogBilinear:
 class Trainer:
     """Adam over batches of tokens, each with noise classes of its own."""
 
-    def __init__(self, model: LogBilinear, rate: float, batch: int, noise: int, seed: int):
-        self.model, self.rate, self.batch, self.k = model, rate, batch, noise
+    def __init__(self, model: LogBilinear, rate: float, batch: int, noise: int, seed: int, bent: bool = True):
+        self.model, self.rate, self.batch, self.k, self.bent = model, rate, batch, noise, bent
         self.rng, self.t, self.seen, self.bend = np.random.default_rng(seed), 0, 0, 0.0
         self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
 
@@ -243,7 +287,7 @@ class Trainer:
         order = self.rng.permutation(len(target))
         for lo in range(0, len(order), self.batch):
             at = order[lo : lo + self.batch]
-            g, bend = self.model.gradient(ctx[at], target[at], self.model.drawn(self.rng, self.k))
+            g, bend = self.model.gradient(ctx[at], target[at], self.model.drawn(self.rng, self.k), self.bent)
             self.t += 1
             self.bend = self.bend + bend * len(at)
             rate = self.rate / (1 + self.t / 200) ** 0.5
@@ -314,13 +358,13 @@ def train(chunks: DataFrame, words: Vocabulary, mod: int, remainder: int, dim: i
             own, trainer = LogBilinear(words.size, dim, prior, flat, kind=np.float32), None
             for c in C.each_chunk(batches):
                 c = c.part(turn, rounds)
-                trainer = trainer or Trainer(own, rate / (1 + turn), batch, noise, c.chunk + 1)
+                trainer = trainer or Trainer(own, rate / (1 + turn), batch, noise, c.chunk + 1, turn == rounds - 1)
                 s = Sequence(c, mod, remainder)
                 ids = words.ids(s.keys)
                 use = ~s.held[s.doc]
                 trainer.feed(contexts(ids, s.at, words.size)[use], ids[use])
             if trainer and trainer.seen:
-                total = np.concatenate([own.flat.astype(float) * trainer.seen, trainer.bend.ravel().astype(float)])
+                total = np.concatenate([own.flat.astype(float) * trainer.seen, (trainer.bend + np.zeros((dim, dim))).ravel()])
                 parts = [total[lo : lo + SLICE] for lo in range(0, len(total), SLICE)]
                 meet = TaskContext.get().partitionId() // MEET
                 cols = [range(len(parts)), [meet] * len(parts), [trainer.seen] * len(parts), [p.tobytes() for p in parts]]
@@ -356,15 +400,18 @@ def evidence_rows(c: C.Chunk, k: Known, model: LogBilinear, words: Vocabulary, b
     """For each bucket, the chunk's words with a representation of their own: keys, summed gradients, number of places."""
     n, dim, rng = len(k.keys), model.q.shape[1], np.random.default_rng(c.chunk + 1)
     model = LogBilinear(len(model.b), dim, model.noise, model.flat, kind=np.float32)
-    grad, places = np.zeros((n, dim)), np.zeros(n + 1, np.int64)
+    sums, places, odds = np.zeros((ORDER, dim, n)), np.zeros(n + 1, np.int64), None
+    if len(model.r) * len(model.q) <= MOST_ODDS:
+        odds = model.odds(model.q, model.shift(noise))
     use = np.flatnonzero(~k.s.held[k.s.doc])
     ctx, own = contexts(k.ids, k.s.at, words.size), contexts(k.number, k.s.at, n)
     for lo in range(0, len(use) if n else 0, TOGETHER * batch):
         some = use[lo : lo + TOGETHER * batch]
-        backs = [model.backs(ctx[at], k.ids[at], model.drawn(rng, noise)) for at in (some[i : i + batch] for i in range(0, len(some), batch))]
+        pulls = np.concatenate([model.noise_contrast(ctx[at], k.ids[at], model.drawn(rng, noise), odds)[-1] for at in (some[i : i + batch] for i in range(0, len(some), batch))])
         for i in range(ORDER):
-            add_rows(grad, own[some, i], np.concatenate([g[i] for g in backs]))
+            add_rows(sums[i], own[some, i], pulls)
         places += np.bincount(own[some].ravel(), minlength=n + 1)
+    grad = sum(x.T @ c.T for x, c in zip(sums, model.c))
     of = ((k.keys >> C.U64(32)) * C.U64(n_buckets)) >> C.U64(32)
     rows = []
     for b in np.unique(of):
@@ -468,35 +515,56 @@ def log_sums(s: np.ndarray) -> np.ndarray:
 
 #: Scores that a core works on at once, so that they stay in its cache.
 AT_ONCE = 1 << 18
+#: Classes whose exponentials are held at once for all words of a chunk.
+CLASSES = 64
+
+
+def log_normalisers(each: list[np.ndarray], pairs: np.ndarray, q: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    """Of each context (a column of `pairs`, which names for each place a row of `each`), the natural logarithm of the sum over all
+    classes of their scores' exponentials. These are products of one factor for each place, so that exponentials are
+    taken once a word, not once a context; where factors could leave single precision, they are taken of the scores."""
+    far = [reach(x, q) + np.abs(b).max() > FAR / ORDER for x in each]
+    apart = functools.reduce(np.logical_or, (f.take(p) for f, p in zip(far, pairs)))
+    out, near = np.zeros(pairs.shape[1]), np.flatnonzero(~apart)
+    own = [p[near] for p in pairs]
+    calm = [np.where(f[:, None], 0, x) for f, x in zip(far, each)]
+    kept = np.empty((2, len(pairs), max(len(each[0]), step) * CLASSES), q.dtype)  # fresh memory for each step would cost more than the sums
+    for y in range(0, len(q) if len(near) else 0, CLASSES):
+        some, bias = q[y : y + CLASSES].T, b[y : y + CLASSES]
+        shape = lambda x, n, w=len(bias): x[: n * w].reshape(n, w)
+        factors = [shape(x, len(each[0])) for x in kept[0]]
+        for i, (x, factor) in enumerate(zip(calm, factors)):
+            for lo in range(0, len(x), step):
+                part = np.matmul(x[lo : lo + step], some, out=factor[lo : lo + step])
+                if not i:
+                    part += bias
+                np.exp(part, out=part)
+        for lo in range(0, len(near), step):
+            got = [f.take(p[lo : lo + step], axis=0, out=shape(x, len(p[lo : lo + step])), mode="clip") for f, p, x in zip(factors, own, kept[1])]
+            out[near[lo : lo + step]] += np.einsum("ij,ij->i", functools.reduce(np.multiply, got[:-1]), got[-1])
+    out[near] = np.log(out[near])
+    rest, step = np.flatnonzero(apart), min(step, max(64, AT_ONCE // len(q)))
+    for lo in range(0, len(rest), step):
+        some = rest[lo : lo + step]
+        out[some] = log_sums(sum(x.take(p[some], axis=0) for x, p in zip(each, pairs)) @ q.T + b)
+    return out
 
 
 def token_log10(model: LogBilinear, words: Vocabulary, ids: np.ndarray, at: np.ndarray, count: np.ndarray, number: np.ndarray, vectors: np.ndarray, step: int = 4096) -> np.ndarray:
     """log10 probability of each token, by batches of distinct contexts; number: each token's row of `vectors`, whose last is
     zero and stands for words without a representation of their own."""
-    none, size, dim, single = len(vectors) - 1, words.size + 1, vectors.shape[1], np.float32
-    code = contexts(np.where(number < none, size + number, ids), at, words.size)  # a class, the begin, or a word
-    code = code @ (size + none) ** np.arange(ORDER)
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    first = np.flatnonzero(np.diff(code, prepend=-1))
-    edge = np.append(first, len(code))
-    row, code = np.repeat(np.arange(len(first)), np.diff(edge)), code[first]
+    none, size, single = len(vectors) - 1, words.size + 1, np.float32
+    before = contexts(np.where(number < none, size + number, ids), at, words.size)  # a class, the begin, or a word
+    code, row = np.unique(before @ (size + none) ** np.arange(ORDER), return_inverse=True)
     of = np.zeros(none, np.int64)
     of[number[number < none]] = ids[number < none]
     each = np.concatenate([model.r, model.r[of] + vectors[:none]]).astype(single)  # representations, and what each place makes of them
-    each = [each @ c.astype(single) for c in model.c]
-    table = np.concatenate([model.q.T, model.b[None]]).astype(single)
-    step = min(step, max(64, AT_ONCE // words.size))
-    hat, s = np.ones((step, dim + 1), single), np.empty((step, words.size), single)
-    out = np.empty(len(ids))
-    for lo in range(0, len(code), step):
-        hi = min(lo + step, len(code))
-        own, got = hat[: hi - lo], s[: hi - lo]
-        own[:, :dim] = sum(each[i].take(code[lo:hi] // (size + none) ** i % (size + none), axis=0) for i in range(ORDER))
-        np.matmul(own, table, out=got)
-        tokens, at_row = order[edge[lo] : edge[hi]], row[edge[lo] : edge[hi]] - lo
-        raw = got[at_row, ids[tokens]]
-        out[tokens] = raw - log_sums(got)[at_row].astype(float)
+    each, q, b = [each @ c.astype(single) for c in model.c], model.q.astype(single), model.b.astype(single)
+    out = -log_normalisers(each, np.stack([code // (size + none) ** i % (size + none) for i in range(ORDER)]), q, b, step)[row]
+    for lo in range(0, len(ids), step):
+        some = ids[lo : lo + step]
+        hat = sum(x.take(p, axis=0) for x, p in zip(each, before[lo : lo + step].T))
+        out[lo : lo + step] += np.einsum("ij,ij->i", hat, q.take(some, axis=0)) + b[some]
     rest = ids < GROUPS
     out[rest] += np.log((count[rest] + 1) / (words.rest_n + words.rest_v + 1)[ids[rest]])
     return out / np.log(10)

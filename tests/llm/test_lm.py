@@ -207,3 +207,67 @@ def test_better_than_the_base_on_held_out_documents(spark):
     rows = queries.op6_lm_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert rows.s > rows.b
     assert lm.score_documents(docs(spark, [])).count() == 0
+
+
+def chunk_of_many_contexts(rng):
+    """A vocabulary, a trained-looking model, tokens of few words in many contexts, and some words' own representations."""
+    words, keys, count = vocabulary(rng)
+    model = lm.LogBilinear(words.size, 4, np.maximum(words.counts, 0.5))
+    pick = rng.integers(0, 60, 4000)
+    ids = words.ids(keys)
+    number = np.where(ids < lm.GROUPS, np.arange(len(keys)), len(keys)).clip(max=40)
+    vectors = np.concatenate([rng.normal(0, 0.5, (40, 4)), np.zeros((1, 4))]).astype(np.float32)
+    return words, model, ids[pick], number[pick], count[pick], vectors
+
+
+def test_exponentials_are_taken_once_a_word(monkeypatch):
+    """Not once a context: 4000 tokens make some 2400 contexts of 60 words."""
+    words, model, ids, number, count, vectors = chunk_of_many_contexts(np.random.default_rng(12))
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (taken.append(np.size(x)), exp(x, *a, **k))[1])
+    got = lm.token_log10(model, words, ids, np.arange(len(ids)), count, number, vectors)
+    assert sum(taken) <= lm.ORDER * (words.size + 1 + 40) * words.size < len(ids) / 3 * words.size
+    assert np.isfinite(got).all()
+
+
+def test_sums_by_factors_equal_sums_of_scores():
+    """Also where some words' scores lie too far apart for factors in single precision, alone or with others."""
+    rng = np.random.default_rng(13)
+    for far in (0, 60, 1000):
+        for classes in (5, lm.CLASSES, 2 * lm.CLASSES + 1):
+            each = [rng.normal(0, 1, (30, 4)).astype(np.float32) for _ in range(lm.ORDER)]
+            each[0][:5] *= far
+            each[1][3:9, 2] += far
+            q, b = rng.normal(0, 1, (classes, 4)).astype(np.float32), rng.normal(-4, 2, classes).astype(np.float32)
+            pairs = rng.integers(0, 30, (lm.ORDER, 500))
+            got = lm.log_normalisers(each, pairs, q, b, 64)
+            s = sum(x[p].astype(float) for x, p in zip(each, pairs)) @ q.T.astype(float) + b
+            assert np.allclose(got, s.max(1) + np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)), rtol=1e-6, atol=1e-4)
+    assert lm.log_normalisers(each, pairs[:, :0], q, b, 64).shape == (0,)
+
+
+def test_odds_by_class_give_the_gradient_of_whole_scores():
+    """With odds of all classes, with those of the drawn ones, and where odds would leave single precision."""
+    rng = np.random.default_rng(14)
+    noise = rng.random(9) + 0.1
+    ctx, target, drawn = rng.integers(0, 10, (50, lm.ORDER)), rng.integers(0, 9, 50), rng.integers(0, 9, 6)
+    for far in (1, 10, 1000):
+        model = lm.LogBilinear(9, 3, noise, kind=np.float32)
+        model.r[:] *= far
+        hat = model.predicted(ctx).astype(float)
+        shift = (model.b - np.log(6 * model.noise)).astype(float)
+        with np.errstate(over="ignore"):
+            much = 1 / (1 + np.exp(-(hat @ model.q[drawn].T + shift[drawn])))
+            miss = 1 / (1 + np.exp((hat * model.q[target]).sum(1) + shift[target]))
+        want = much @ model.q[drawn] - miss[:, None] * model.q[target]
+        odds = model.odds(model.q, model.shift(6))
+        assert (odds is None) == (far == 1000)
+        for n in (50, 20):  # 20 tokens are fewer than the classes at both places
+            for o in (None, odds):
+                assert np.allclose(model.noise_contrast(ctx[:n], target[:n], drawn, o)[-1], want[:n], atol=1e-4)
+
+
+def test_rows_add_up_by_place():
+    out, at, rows = np.ones((2, 3)), np.array([2, 0, 3, 2]), np.array([[1, 2], [3, 4], [5, 6], [7, 8]], np.float32)
+    lm.add_rows(out, at, rows)
+    assert out.tolist() == [[4, 1, 9], [5, 1, 11]]

@@ -102,8 +102,8 @@ def contexts(ids: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
     """(tokens, ORDER) ids of the tokens before, `begin` where the document has none."""
     out = np.full((len(ids), ORDER), begin, np.int64)
     for k in range(ORDER):
-        ok = at > k
-        out[ok, k] = ids[np.flatnonzero(ok) - k - 1]
+        out[k + 1 :, k] = ids[: max(0, len(ids) - k - 1)]
+        out[np.flatnonzero(at <= k), k] = begin
     return out
 
 
@@ -125,9 +125,14 @@ class Vocabulary:
     def ids(self, keys: np.ndarray) -> np.ndarray:
         out = (keys & C.U64(GROUPS - 1)).astype(np.int64)
         if len(self.keys):
-            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            out = np.where(self.keys[slot] == keys, slot + GROUPS + 1, out)
-        return np.where(keys == END, STOP, out)
+            begins = np.zeros(1 << 16, bool)  # by first bits; other keys are not searched for
+            begins[self.keys >> C.U64(48)] = True
+            some = np.flatnonzero(begins[keys >> C.U64(48)])
+            slot = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+            listed = np.flatnonzero(self.keys[slot] == keys[some])
+            out[some[listed]] = slot[listed] + GROUPS + 1
+        out[keys == END] = STOP
+        return out
 
 
 def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:

@@ -271,3 +271,15 @@ def test_rows_add_up_by_place():
     out, at, rows = np.ones((2, 3)), np.array([2, 0, 3, 2]), np.array([[1, 2], [3, 4], [5, 6], [7, 8]], np.float32)
     lm.add_rows(out, at, rows)
     assert out.tolist() == [[4, 1, 9], [5, 1, 11]]
+
+
+def test_class_ids_and_contexts_by_their_definitions():
+    """Also for keys that share their first bits with listed ones, and documents shorter than a context."""
+    listed = [(5 << 48) + 9, (5 << 48) + 300, (7 << 48) + 1]
+    words = lm.Vocabulary([(x, 3) for x in listed], 20, 9, 2, np.full(lm.GROUPS, 3.0), np.full(lm.GROUPS, 2))
+    keys = np.array([*listed, listed[0] + 1, (1 << 64) - 1, 0, (6 << 48) + 9, int(lm.END)], np.uint64)
+    assert words.ids(keys).tolist() == [lm.GROUPS + 1, lm.GROUPS + 2, lm.GROUPS + 3, 10, 127, 0, 9, lm.STOP]
+    assert lm.Vocabulary([], 20, 9, 2, np.ones(lm.GROUPS), np.ones(lm.GROUPS)).ids(keys[:4]).tolist() == [9, 44, 1, 10]
+    ids, at = np.arange(6) + 50, np.array([0, 0, 1, 2, 3, 0])
+    assert lm.contexts(ids, at, 99).tolist() == [[99, 99], [99, 99], [51, 99], [52, 51], [53, 52], [99, 99]]
+    assert lm.contexts(ids[:1], at[:1], 99).tolist() == [[99, 99]] and lm.contexts(ids[:0], at[:0], 99).shape == (0, lm.ORDER)
